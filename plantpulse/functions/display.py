@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions.columns import col_
 
-__all__ = ["fmt_py2", "fmt_n2", "fmt_plain2", "fmt_pct", "fmt_py_pct", "display"]
+__all__ = ["fmt_py2", "fmt_n2", "fmt_plain2", "fmt_pct", "fmt_plain_pct", "fmt_py_pct", "display"]
 
 
 def fmt_py2(c: str | Column) -> Column:
@@ -29,7 +29,7 @@ def fmt_n2(c: str | Column) -> Column:
 
 
 def fmt_plain2(c: str | Column) -> Column:
-    return F.format_number(F.round(col_(c), 2), "0.00")
+    return F.call_function("format_number", F.round(col_(c), 2), F.lit("0.00"))
 
 
 def _suffix(text: Column, src: Column) -> Column:
@@ -47,8 +47,13 @@ def fmt_py_pct(c: str | Column, scale: float = 1.0) -> Column:
     return _suffix(fmt_py2(c), c)
 
 
+def fmt_plain_pct(c: str | Column) -> Column:
+    c = col_(c)
+    return _suffix(fmt_plain2(c), c)
+
+
 _STYLES = {"py2": fmt_py2, "n2": fmt_n2, "plain2": fmt_plain2, "pct": fmt_pct,
-           "py_pct": fmt_py_pct}
+           "plain_pct": fmt_plain_pct, "py_pct": fmt_py_pct}
 
 
 def display(df: DataFrame, styles: dict[str, str]) -> DataFrame:

@@ -258,3 +258,152 @@ SELECT machine_id, reading_ts, defect_rate_pct, latency_ms, packet_loss_pct, pm_
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY machine_id, reading_ts ORDER BY reading_id) AS rn
       FROM conv WHERE quality_reason IS NULL) WHERE rn = 1"""),
 }
+
+ETL_SQL["reload_adds_nothing"] = d("""
+, h AS (SELECT *, CASE WHEN reading_id % 2 = 0 THEN 1 ELSE 2 END AS step FROM conv),
+m AS (SELECT step, COUNT(*) AS n FROM (SELECT machine_id, MIN(step) AS step FROM h
+      WHERE key_reason IS NULL GROUP BY machine_id) GROUP BY step),
+t AS (SELECT step, COUNT(*) AS n FROM (SELECT reading_ts, MIN(step) AS step FROM h
+      WHERE key_reason IS NULL GROUP BY reading_ts) GROUP BY step),
+p AS (SELECT step, COUNT(*) AS n FROM (SELECT machine_id, reading_ts, MIN(step) AS step FROM h
+      WHERE production_reason IS NULL GROUP BY 1, 2) GROUP BY step),
+q AS (SELECT step, COUNT(*) AS n FROM (SELECT machine_id, reading_ts, MIN(step) AS step FROM h
+      WHERE quality_reason IS NULL GROUP BY 1, 2) GROUP BY step),
+s AS (SELECT * FROM (VALUES (1), (2), (3)) v(step))
+SELECT CAST(s.step AS INTEGER) AS step, COALESCE(m.n, 0) AS machines_added, COALESCE(t.n, 0) AS times_added,
+       COALESCE(p.n, 0) AS production_added, COALESCE(q.n, 0) AS quality_added
+FROM s LEFT JOIN m USING (step) LEFT JOIN t USING (step) LEFT JOIN p USING (step) LEFT JOIN q USING (step)
+ORDER BY 1""")
+
+FILTER = ("reading_ts >= TIMESTAMP '2024-01-08' AND reading_ts < TIMESTAMP '2024-01-22' "
+          "AND hour(reading_ts) BETWEEN 8 AND 17")
+MODE_CODES = """codes AS (SELECT operation_mode,
+    CAST(DENSE_RANK() OVER (ORDER BY operation_mode) - 1 AS INTEGER) AS mode_code
+  FROM (SELECT DISTINCT operation_mode FROM readings))"""
+
+CHART_SQL = {
+    "filtered_readings": r(f"SELECT * FROM readings WHERE {FILTER}"),
+    "data_status": r(f"""
+SELECT COUNT(*) AS n_rows, CASE WHEN COUNT(*) > 0 THEN 'ok' ELSE 'no data' END AS status
+FROM readings WHERE {FILTER}"""),
+    "production_series": r(f"SELECT machine_id, reading_ts, speed_uph FROM readings WHERE {FILTER}"),
+    "error_series": r(f"SELECT machine_id, reading_ts, error_rate_pct FROM readings WHERE {FILTER}"),
+    "production_series_15min": r("""
+SELECT machine_id, time_bucket(INTERVAL 15 MINUTE, reading_ts) AS bucket_start,
+       AVG(speed_uph) AS speed_uph, COUNT(*) AS n_readings
+FROM readings GROUP BY 1, 2"""),
+    "means_by_mode": r(f"""
+, {MODE_CODES}
+SELECT operation_mode, mode_code, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
+FROM readings JOIN codes USING (operation_mode) WHERE {FILTER} GROUP BY 1, 2"""),
+    "means_by_machine": r(f"""
+SELECT machine_id, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
+FROM readings WHERE {FILTER} GROUP BY 1"""),
+    "score_histogram": r(f"""
+, f AS (SELECT pm_score FROM readings WHERE {FILTER} AND pm_score IS NOT NULL),
+b AS (SELECT MIN(pm_score) AS lo, MAX(pm_score) AS hi FROM f),
+x AS (SELECT CAST(CASE WHEN hi = lo THEN 0
+                       ELSE LEAST(FLOOR((pm_score - lo) / ((hi - lo) / 30)), 29) END AS INTEGER) AS bin, lo, hi
+      FROM f, b)
+SELECT bin, lo + bin * ((hi - lo) / 30) AS bin_start,
+       CASE WHEN hi = lo THEN hi ELSE lo + (bin + 1) * ((hi - lo) / 30) END AS bin_end, COUNT(*) AS n
+FROM x GROUP BY bin, lo, hi"""),
+    "filter_domains": r(f"""
+, {MODE_CODES}
+SELECT 'date' AS kind, 0 AS code, CAST(CAST(MIN(reading_ts) AS DATE) AS VARCHAR) AS label FROM readings
+UNION ALL SELECT 'date', 1, CAST(CAST(MAX(reading_ts) AS DATE) AS VARCHAR) FROM readings
+UNION ALL SELECT DISTINCT 'machine', machine_id, CAST(machine_id AS VARCHAR) FROM readings
+UNION ALL SELECT 'mode', mode_code, operation_mode FROM codes"""),
+    "means_long": r("""
+, w AS (SELECT operation_mode, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
+        FROM readings GROUP BY 1)
+SELECT operation_mode, measure, value
+FROM (UNPIVOT w ON avg_speed, avg_error_rate INTO NAME measure VALUE value)"""),
+}
+
+_AVAIL = f"AVG(CASE WHEN {ACTIVE} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+_OEE = (f"{_AVAIL} * (AVG(speed_uph) / NULLIF(MAX(speed_uph), 0)) * (1 - AVG(defect_rate_pct) / 100)")
+
+KPI_SQL = {
+    "fleet_oee": r(f"""
+SELECT ROUND(AVG(oee), 9) AS fleet_oee, COUNT(*) AS n_machines
+FROM (SELECT machine_id, {_OEE} AS oee FROM readings GROUP BY machine_id)"""),
+    "failure_rate": r("""
+SELECT AVG(CASE WHEN error_rate_pct > 5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS failure_rate,
+       COUNT_IF(error_rate_pct > 5) AS n_failures, COUNT(*) AS n_readings
+FROM readings"""),
+    "mtbf": r("""
+, s AS (SELECT machine_id, MIN(epoch_us(reading_ts)) AS t0, MAX(epoch_us(reading_ts)) AS t1, COUNT(*) AS n
+        FROM readings WHERE error_rate_pct > 5 GROUP BY machine_id)
+SELECT CAST(SUM(t1 - t0) AS DOUBLE) / NULLIF(CAST(3600000000 AS DOUBLE) * SUM(n - 1), 0) AS mtbf_hours,
+       CAST(SUM(n - 1) AS BIGINT) AS n_gaps
+FROM s"""),
+    "mtbf_by_machine": r("""
+SELECT machine_id, COUNT(*) AS n_failures,
+       CASE WHEN COUNT(*) > 1 THEN CAST(MAX(epoch_us(reading_ts)) - MIN(epoch_us(reading_ts)) AS DOUBLE)
+            / (CAST(3600000000 AS DOUBLE) * (COUNT(*) - 1)) END AS mtbf_hours
+FROM readings WHERE error_rate_pct > 5 GROUP BY machine_id"""),
+    "kpi_trend": r(f"""
+, a AS (SELECT MAX(epoch_us(reading_ts)) AS anchor FROM readings),
+j AS (SELECT r.*, epoch_us(reading_ts) AS tk,
+        CASE WHEN epoch_us(reading_ts) > anchor - 7200000000 THEN 'recent'
+             WHEN epoch_us(reading_ts) > anchor - 14400000000 THEN 'previous' END AS tag
+      FROM readings r, a),
+per AS (SELECT tag, machine_id, {_AVAIL} AS a_, AVG(speed_uph) / NULLIF(MAX(speed_uph), 0) AS p_,
+          1 - AVG(defect_rate_pct) / 100 AS q_, COUNT(*) AS n, COUNT_IF(error_rate_pct > 5) AS nf,
+          MIN(CASE WHEN error_rate_pct > 5 THEN tk END) AS t0, MAX(CASE WHEN error_rate_pct > 5 THEN tk END) AS t1
+        FROM j WHERE tag IS NOT NULL GROUP BY 1, 2),
+pt AS (SELECT tag, AVG(a_ * p_ * q_) AS oee, SUM(nf) / SUM(n) AS failure_rate,
+         SUM(t1 - t0) / NULLIF(SUM(CASE WHEN nf > 0 THEN nf - 1 END), 0) / 3600000000.0 AS mtbf_hours
+       FROM per GROUP BY 1),
+l AS (SELECT tag, 'oee' AS kpi, oee AS value FROM pt
+      UNION ALL SELECT tag, 'failure_rate', failure_rate FROM pt
+      UNION ALL SELECT tag, 'mtbf_hours', mtbf_hours FROM pt),
+w AS (SELECT kpi, ROUND(MAX(CASE WHEN tag = 'recent' THEN value END), 9) AS recent,
+             ROUND(MAX(CASE WHEN tag = 'previous' THEN value END), 9) AS previous
+      FROM l GROUP BY kpi),
+c AS (SELECT *, ROUND((recent - previous) / NULLIF(previous, 0), 9) AS relative_change FROM w)
+SELECT kpi, recent, previous, relative_change,
+       CASE WHEN relative_change IS NULL THEN 'unknown' WHEN ABS(relative_change) <= 0.05 THEN 'stable'
+            WHEN relative_change > 0 THEN 'rising' ELSE 'falling' END AS trend
+FROM c ORDER BY kpi"""),
+}
+
+N2 = "format('{{:,.2f}}', round(CAST({} AS DECIMAL(28, 10)), 2))"
+PLAIN2 = "format('{{:.2f}}', round(CAST({} AS DECIMAL(28, 10)), 2))"
+PY2 = "format('{{:,.2f}}', {})"
+
+DISPLAY_SQL = {
+    "hourly_display": r(f"""
+SELECT CAST(hour(reading_ts) AS INTEGER) AS hour, {N2.format('AVG(speed_uph)')} AS avg_speed,
+       {N2.format('AVG(error_rate_pct)')} || '%' AS avg_error_rate, COUNT(*) AS n_readings
+FROM readings GROUP BY 1"""),
+    "hourly_plain_display": r(f"""
+SELECT CAST(hour(reading_ts) AS INTEGER) AS hour, {PLAIN2.format('AVG(speed_uph)')} AS avg_speed,
+       {PLAIN2.format('AVG(error_rate_pct)')} || '%' AS avg_error_rate, COUNT(*) AS n_readings
+FROM readings GROUP BY 1"""),
+    "efficiency_display": r(f"""
+SELECT machine_id, efficiency_status, {PY2.format('AVG(speed_uph)')} AS avg_speed,
+       {PY2.format('AVG(error_rate_pct)')} || '%' AS avg_error_rate, COUNT(*) AS n_readings
+FROM readings GROUP BY machine_id, efficiency_status"""),
+}
+
+MODEL_SQL = {
+    "label_codes": r("""
+SELECT kind, label, CAST(DENSE_RANK() OVER (PARTITION BY kind ORDER BY label) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT 'operation_mode' AS kind, operation_mode AS label FROM readings
+      UNION ALL SELECT DISTINCT 'efficiency_status', efficiency_status FROM readings)"""),
+    "failure_label": r("""
+SELECT reading_id, CASE WHEN pm_score > 0.8 OR error_rate_pct > 10 THEN 1 ELSE 0 END AS failure_label
+FROM readings"""),
+    "split_flags": r("""
+SELECT reading_id, substr(md5('42:' || CAST(reading_id AS VARCHAR)), 1, 8) >= 'cccccccc' AS is_test
+FROM readings"""),
+    "incomplete_inputs": d("""
+SELECT reading_id,
+  CASE WHEN temperature_c IS NOT NULL AND vibration_hz IS NOT NULL AND power_kw IS NOT NULL
+        AND speed_uph IS NOT NULL AND error_rate_pct IS NOT NULL AND defect_rate_pct IS NOT NULL
+        AND latency_ms IS NOT NULL AND packet_loss_pct IS NOT NULL AND pm_score IS NOT NULL
+        AND operation_mode IS NOT NULL THEN 'ready' ELSE 'incomplete' END AS status
+FROM conv"""),
+}

@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantpulse.functions.columns import ts_of_time_key
-from plantpulse.operators import analytics
+from plantpulse.functions.display import display
+from plantpulse.operators import analytics, charts, fleet, models
 from plantpulse.operators.clean import convert, null_profile
 from plantpulse.schema import CATEGORIES, MEASURES, PRODUCTION_MEASURES, QUALITY_MEASURES
 from plantpulse.sources.files import count_staged
 from plantpulse.sources.fixture import sensor_readings
-from plantpulse.warehouses import clean_warehouse, dirty_warehouse, staged_raw
+from plantpulse.warehouses import (
+    clean_warehouse, dirty_warehouse, incremental_warehouse, staged_raw, trained_models,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +64,82 @@ ETL: dict[str, Query] = {
     "quality_fact": lambda s, d: _natural_fact(s, d, "quality_fact", QUALITY_MEASURES),
 }
 
+
+
+def _reload_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows each of the three incremental loads added, per table."""
+    wh = incremental_warehouse(spark, sf_dir)
+    from pyspark.sql import Window
+
+    steps = wh.log().select("load_id", F.row_number().over(Window.orderBy("load_id")).alias("step"))
+    out = steps
+    for t, name in (("machine_dim", "machines_added"), ("time_dim", "times_added"),
+                    ("production_fact", "production_added"), ("quality_fact", "quality_added")):
+        counts = wh.table(t, keep_load_id=True).groupBy("load_id").agg(F.count(F.lit(1)).alias(name))
+        out = out.join(counts, "load_id", "left")
+    return out.na.fill(0).drop("load_id").orderBy("step")
+
+
+ETL["reload_adds_nothing"] = _reload_steps
+
+# Dashboard filter used by the registered chart queries: two weeks, working hours.
+FILTER = {"start": "2024-01-08", "end": "2024-01-21", "hours": (8, 17)}
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.filter_readings(sensor_readings(spark, sf_dir), **FILTER)
+
+
+CHARTS: dict[str, Query] = {
+    "filtered_readings": _filtered,
+    "data_status": lambda s, d: charts.data_status(_filtered(s, d)),
+    "production_series": lambda s, d: charts.production_series(_filtered(s, d)),
+    "error_series": lambda s, d: charts.error_series(_filtered(s, d)),
+    "production_series_15min": lambda s, d: charts.production_series(sensor_readings(s, d), "15 minutes"),
+    "means_by_mode": lambda s, d: charts.means_by_mode(_filtered(s, d), charts.mode_codes(sensor_readings(s, d))),
+    "means_by_machine": lambda s, d: charts.means_by_machine(_filtered(s, d)),
+    "score_histogram": lambda s, d: charts.score_histogram(_filtered(s, d)),
+    "filter_domains": lambda s, d: charts.filter_domains(sensor_readings(s, d)),
+    "means_long": lambda s, d: charts.means_long(
+        charts.means_by_mode(sensor_readings(s, d)).drop("mode_code"), ["operation_mode"]),
+}
+
+KPIS: dict[str, Query] = {
+    "fleet_oee": _analysis(fleet.fleet_oee),
+    "failure_rate": _analysis(fleet.failure_rate),
+    "mtbf": _analysis(fleet.mtbf),
+    "mtbf_by_machine": _analysis(fleet.mtbf_by_machine),
+    "kpi_trend": _analysis(fleet.kpi_trend),
+}
+
+DISPLAYS: dict[str, Query] = {
+    "hourly_display": lambda s, d: display(
+        analytics.hourly_performance(clean_warehouse(s, d).star()),
+        {"avg_speed": "n2", "avg_error_rate": "pct"}),
+    "hourly_plain_display": lambda s, d: display(
+        analytics.hourly_performance(clean_warehouse(s, d).star()),
+        {"avg_speed": "plain2", "avg_error_rate": "plain_pct"}),
+    "efficiency_display": lambda s, d: display(
+        analytics.machine_efficiency(clean_warehouse(s, d).star()),
+        {"avg_speed": "py2", "avg_error_rate": "py_pct"}),
+}
+
+
+def _test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensor_readings(spark, sf_dir).where(models.is_test_row())
+
+
+MODELS: dict[str, Query] = {
+    "label_codes": lambda s, d: models.label_codes(sensor_readings(s, d)),
+    "failure_label": lambda s, d: models.failure_labels(sensor_readings(s, d)),
+    "split_flags": lambda s, d: models.split_flags(sensor_readings(s, d)),
+    "incomplete_inputs": lambda s, d: models.incomplete_inputs(_filled(s, d)),
+    "efficiency_scores": lambda s, d: models.score_efficiency(trained_models(s, d)[0], _test_rows(s, d)),
+    "failure_scores": lambda s, d: models.score_failure(trained_models(s, d)[1], _test_rows(s, d)),
+    "model_metrics": lambda s, d: models.evaluate(*trained_models(s, d), _test_rows(s, d)),
+}
+
 QUERIES: dict[str, Query] = {
     **{name: _analysis(fn) for name, fn in analytics.ANALYSES.items()},
-    **ETL,
+    **ETL, **CHARTS, **KPIS, **DISPLAYS, **MODELS,
 }

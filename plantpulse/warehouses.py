@@ -92,3 +92,46 @@ def dirty_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     raw = staged_raw(spark, sf_dir)
     return _get(spark, _root(spark, sf_dir, "dirty") + "/star",
                 lambda wh: wh.load(convert(raw)))
+
+
+def incremental_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """Three loads into one warehouse: even reading ids, odd ids, even ids again.
+    The third load must add nothing (re-load protection)."""
+    from pyspark.sql import functions as F
+
+    conv = convert(staged_raw(spark, sf_dir))
+    halves = [conv.where(F.col("reading_id") % 2 == h) for h in (0, 1, 0)]
+
+    def build(wh: Warehouse) -> None:
+        for part in halves[len(wh.committed_ids()):]:
+            wh.load(part)
+
+    return _get(spark, _root(spark, sf_dir, "dirty") + "/incremental", build)
+
+
+_MODELS: dict[tuple[int, str], object] = {}
+
+
+def trained_models(spark: SparkSession, sf_dir: str):
+    """(efficiency model, failure model), fitted once on the training split of
+    the clean readings and saved under the shared folder."""
+    from pyspark.ml import PipelineModel
+
+    from plantpulse.operators.models import is_test_row, train_efficiency, train_failure
+
+    root = _root(spark, sf_dir, "models")
+    key = (id(spark), root)
+    with _LOCK:
+        if key not in _MODELS:
+            train = sensor_readings(spark, sf_dir).where(~is_test_row())
+            out = []
+            for name, fit in (("efficiency", train_efficiency), ("failure", train_failure)):
+                path = f"{root}/{name}"
+                if _path_exists(spark, path + "/metadata/_SUCCESS"):
+                    out.append(PipelineModel.load(path))
+                else:
+                    m = fit(train)
+                    m.write().overwrite().save(path)
+                    out.append(m)
+            _MODELS[key] = tuple(out)
+    return _MODELS[key]
