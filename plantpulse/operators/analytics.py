@@ -333,9 +333,12 @@ _SD = {"speed_uph": "sd_speed", "temperature_c": "sd_temperature", "vibration_hz
 
 def deviant_machines(star: Star) -> DataFrame:
     """Active machines whose st.dev. of speed, temperature or vibration is above
-    the fleet mean of that st.dev.  The fleet means are a one-row aggregate of
-    the per-machine frame, broadcast to it (a proven single row)."""
-    sd = _active_per_machine(star, *[F.stddev_samp(c).alias(n) for c, n in _SD.items()])
+    the fleet mean of that st.dev.  The per-machine frame is built once (with
+    its machine id) and feeds both the one-row fleet means -- broadcast back,
+    a proven single row -- and the filter, so the two uses are one identical
+    subtree and the planner reuses its shuffle instead of scanning twice."""
+    sd = with_machine_id(
+        _active_per_machine(star, *[F.stddev_samp(c).alias(n) for c, n in _SD.items()]), star)
     means = sd.agg(*[F.avg(n).alias(f"mean_{n}") for n in _SD.values()])
     cond = None
     for n in _SD.values():
@@ -343,8 +346,7 @@ def deviant_machines(star: Star) -> DataFrame:
         cond = c if cond is None else cond | c
     hit = sd.crossJoin(F.broadcast(means)).where(cond)
     cols = list(_SD.values()) + [f"mean_{n}" for n in _SD.values()]
-    out = with_machine_id(hit, star).select(
-        "machine_id", *[F.round(c, 6).alias(c) for c in cols])
+    out = hit.select("machine_id", *[F.round(c, 6).alias(c) for c in cols])
     return out.orderBy(F.desc("sd_speed"), "machine_id")
 
 

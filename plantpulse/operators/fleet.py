@@ -64,12 +64,17 @@ def mtbf(star: Star) -> DataFrame:
 def kpi_trend(star: Star, hours: int = 2) -> DataFrame:
     """KPIs for the last ``hours`` vs the ``hours`` before (one row per KPI)."""
     win = hours * MICROS_PER_HOUR
-    anchor = star.production.agg(F.max("time_key").alias("_anchor"))  # one row
+    anchor = F.broadcast(star.production.agg(F.max("time_key").alias("_anchor")))  # one row
     tk = F.col("time_key")
-    tag = (F.when(tk > F.col("_anchor") - win, "recent")
-           .when(tk > F.col("_anchor") - 2 * win, "previous"))
-    j = (production_quality(star).crossJoin(F.broadcast(anchor))
-         .withColumn("_tag", tag).where(F.col("_tag").isNotNull()))
+
+    def window_rows(df: DataFrame) -> DataFrame:
+        # keep only the two windows on each side *before* the fact-fact join
+        return df.crossJoin(anchor).where(tk > F.col("_anchor") - 2 * win)
+
+    tag = F.when(tk > F.col("_anchor") - win, "recent").otherwise("previous")
+    j = (window_rows(star.production)
+         .join(window_rows(star.quality).drop("_anchor"), ["machine_key", "time_key"])
+         .withColumn("_tag", tag))
     f = is_failure()
     per = (j.groupBy("_tag", "machine_key").agg(
         F.avg(F.when(is_active(), 1.0).otherwise(0.0)).alias("_a"),

@@ -71,6 +71,7 @@ class Warehouse:
             self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.prefix = "pp_" + hashlib.sha1(self.root.encode()).hexdigest()[:12]
         self._ensured = False
+        self._ids: list[int] | None = None
 
     # -- catalog ---------------------------------------------------------
     def name(self, table: str) -> str:
@@ -98,11 +99,18 @@ class Warehouse:
 
     # -- commit log ------------------------------------------------------
     def committed_ids(self) -> list[int]:
-        """Committed load ids (the log holds one row per load, not per record)."""
-        if not _exists(self.spark, f"{self.root}/_loads"):
-            return []
-        rows = self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads").collect()
-        return sorted(r["load_id"] for r in rows)
+        """Committed load ids (the log holds one row per load, not per record).
+        Read once and kept; :meth:`refresh` re-reads after another writer's load."""
+        if self._ids is None:
+            if not _exists(self.spark, f"{self.root}/_loads"):
+                return []
+            rows = self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads").collect()
+            self._ids = sorted(r["load_id"] for r in rows)
+        return list(self._ids)
+
+    def refresh(self) -> None:
+        self._ids = None
+        self._ensured = False
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads")
@@ -111,6 +119,7 @@ class Warehouse:
         (self.spark.createDataFrame([(load_id,)], "load_id bigint")
          .withColumn("committed_at", F.current_timestamp())
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_loads"))
+        self._ids = None
 
     # -- read ------------------------------------------------------------
     def table(self, table: str, ids: list[int] | None = None, keep_load_id: bool = False) -> DataFrame:
