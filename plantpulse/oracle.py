@@ -259,6 +259,11 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY machine_id, reading_ts ORDER BY
       FROM conv WHERE quality_reason IS NULL) WHERE rn = 1"""),
 }
 
+ETL_SQL["streamed_production_fact"] = ETL_SQL["production_fact"]
+ETL_SQL["csv_readings"] = r("""
+SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
+       speed_uph, error_rate_pct, defect_rate_pct, latency_ms, packet_loss_pct, pm_score
+FROM readings""")
 ETL_SQL["reload_adds_nothing"] = d("""
 , h AS (SELECT *, CASE WHEN reading_id % 2 = 0 THEN 1 ELSE 2 END AS step FROM conv),
 m AS (SELECT step, COUNT(*) AS n FROM (SELECT machine_id, MIN(step) AS step FROM h

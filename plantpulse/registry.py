@@ -19,7 +19,8 @@ from plantpulse.schema import CATEGORIES, MEASURES, PRODUCTION_MEASURES, QUALITY
 from plantpulse.sources.files import count_staged
 from plantpulse.sources.fixture import sensor_readings
 from plantpulse.warehouses import (
-    clean_warehouse, dirty_warehouse, incremental_warehouse, staged_raw, trained_models,
+    clean_warehouse, dirty_warehouse, incremental_warehouse, staged_raw, streamed_warehouse,
+    trained_models,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +30,8 @@ def _analysis(fn) -> Query:
     return lambda spark, sf_dir: fn(clean_warehouse(spark, sf_dir).star())
 
 
-def _natural_fact(spark: SparkSession, sf_dir: str, table: str, cols: list[str]) -> DataFrame:
-    wh = dirty_warehouse(spark, sf_dir)
+def _natural_fact(spark: SparkSession, sf_dir: str, table: str, cols: list[str], wh=None) -> DataFrame:
+    wh = wh or dirty_warehouse(spark, sf_dir)
     fact = wh.table(table)
     dim = wh.table("machine_dim").select("machine_key", "machine_id")
     return fact.join(dim, "machine_key").select(
@@ -80,7 +81,20 @@ def _reload_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.na.fill(0).drop("load_id").orderBy("step")
 
 
+def _csv_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantpulse.operators.clean import good_rows
+    from plantpulse.sources.files import read_csv
+    from plantpulse.warehouses import source_csv
+
+    conv = convert(read_csv(spark, source_csv(spark, sf_dir)))
+    return good_rows(conv, "keys").select("machine_id", "reading_ts", *CATEGORIES, *MEASURES)
+
+
+ETL["csv_readings"] = _csv_readings
 ETL["reload_adds_nothing"] = _reload_steps
+ETL["streamed_production_fact"] = lambda s, d: _natural_fact(
+    s, d, "production_fact", PRODUCTION_MEASURES + ["efficiency_status", "operation_mode"],
+    streamed_warehouse(s, d))
 
 # Dashboard filter used by the registered chart queries: two weeks, working hours.
 FILTER = {"start": "2024-01-08", "end": "2024-01-21", "hours": (8, 17)}

@@ -30,6 +30,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.xxhash64(*cols).alias("reading_id"), *cols)
 
 
+def write_source_csv(readings: DataFrame, path: str) -> None:
+    """Write readings in the source CSV layout (original header, text cells).
+    Used to produce CSV input from other tables; the engine itself reads CSV
+    only at the edge and works on Parquet after landing."""
+    back = {v: k for k, v in SOURCE_COLUMNS.items()}
+    (readings.select(*[F.col(c).cast("string").alias(back[c]) for c in SOURCE_COLUMNS.values()])
+     .write.mode("overwrite").option("header", True).csv(path))
+
+
 def land_raw(raw: DataFrame, path: str) -> None:
     """Append raw records to staging, unchanged.  Like any append, running it
     twice lands the records twice; the star loader is the idempotent step."""

@@ -48,6 +48,7 @@ _BUCKET_COLS = {
 _LOG_SCHEMA = T.StructType([
     T.StructField("load_id", T.LongType(), False),
     T.StructField("committed_at", T.TimestampType(), False),
+    T.StructField("batch_key", T.StringType(), True),
 ])
 
 
@@ -106,8 +107,13 @@ class Warehouse:
                 return []
             rows = self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads").collect()
             self._ids = sorted(r["load_id"] for r in rows)
+            self._keys = {r["batch_key"] for r in rows if r["batch_key"] is not None}
         return list(self._ids)
 
+    def has_batch(self, batch_key: str) -> bool:
+        self.committed_ids()
+        return batch_key in getattr(self, "_keys", set())
+
     def refresh(self) -> None:
         self._ids = None
         self._ensured = False
@@ -115,9 +121,9 @@ class Warehouse:
     def log(self) -> DataFrame:
         return self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads")
 
-    def _commit(self, load_id: int) -> None:
-        (self.spark.createDataFrame([(load_id,)], "load_id bigint")
-         .withColumn("committed_at", F.current_timestamp())
+    def _commit(self, load_id: int, batch_key: str | None) -> None:
+        (self.spark.createDataFrame([(load_id, batch_key)], "load_id bigint, batch_key string")
+         .select("load_id", F.current_timestamp().alias("committed_at"), "batch_key")
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_loads"))
         self._ids = None
 
@@ -144,15 +150,22 @@ class Warehouse:
             w = w.bucketBy(self.buckets, *cols).sortBy(*cols)
         w.option("path", self.path(table)).saveAsTable(self.name(table))
 
-    def load(self, converted: DataFrame, with_rejects: bool = True) -> int:
+    def load(self, converted: DataFrame, with_rejects: bool = True, batch_key: str | None = None) -> int | None:
         """Load one batch of converted readings; returns the committed load id.
 
         Order: dimensions, then facts (which look up machine keys in the
         committed dimension plus this load's new machines), then rejects, then
         the commit record.  Each step is a Spark write of set operations; the
         driver handles only table names and load ids.
+
+        ``batch_key`` names the input batch (e.g. a stream epoch): a batch whose
+        key is already committed is skipped, so replaying it after a failure
+        cannot load its rejects twice (facts and dimensions are idempotent
+        anyway).  Returns None when skipped.
         """
         self.ensure_tables()
+        if batch_key is not None and self.has_batch(batch_key):
+            return None
         ids = self.committed_ids()
         load_id = int(time.time() * 1_000_000)
         existing = self.star(ids)
@@ -165,7 +178,7 @@ class Warehouse:
         self._append("quality_fact", new_quality_rows(converted, machines, existing.quality), load_id)
         if with_rejects:
             self._append("rejects", reject_rows(converted), load_id)
-        self._commit(load_id)
+        self._commit(load_id, batch_key)
         return load_id
 
 

@@ -88,6 +88,17 @@ def staged_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged(spark, path)
 
 
+def source_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The clean readings written once as a source-format CSV folder."""
+    from plantpulse.sources.files import write_source_csv
+
+    path = _root(spark, sf_dir, "csv") + "/readings"
+    with _LOCK:
+        if not _path_exists(spark, path + "/_SUCCESS"):
+            write_source_csv(sensor_readings(spark, sf_dir), path)
+    return path
+
+
 def dirty_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     raw = staged_raw(spark, sf_dir)
     return _get(spark, _root(spark, sf_dir, "dirty") + "/star",
@@ -109,6 +120,20 @@ def incremental_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     return _get(spark, _root(spark, sf_dir, "dirty") + "/incremental", build)
 
 
+def streamed_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The dirty staging loaded by the streaming front end (catch-up run)."""
+    from plantpulse.streaming.incremental import start_incremental_load
+
+    staged_raw(spark, sf_dir)  # make sure the raw rows are landed
+
+    def build(wh: Warehouse) -> None:
+        q = start_incremental_load(spark, staging_path(spark, sf_dir), wh, available_now=True)
+        q.awaitTermination()
+        wh.refresh()
+
+    return _get(spark, _root(spark, sf_dir, "dirty") + "/streamed", build)
+
+
 _MODELS: dict[tuple[int, str], object] = {}
 
 
