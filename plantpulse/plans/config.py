@@ -25,6 +25,9 @@ def scale_conf(shuffle_partitions: int = 8) -> dict[str, str]:
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # coalesce shuffle output to the advisory size (64 MB) rather than keeping
+        # one partition per core: fewer, fuller tasks on a busy cluster
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.localShuffleReader.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
