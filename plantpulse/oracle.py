@@ -210,6 +210,22 @@ WHERE sd_speed > mean_sd_speed OR sd_temperature > mean_sd_temperature OR sd_vib
 ORDER BY sd_speed DESC, machine_id"""),
 }
 
+ANALYSES_SQL["pre_failure_conditions_any_reading"] = r("""
+, f AS (
+  SELECT machine_id, error_rate_pct,
+    LAG(temperature_c, 1) OVER w AS prev_t, LAG(vibration_hz, 1) OVER w AS prev_v,
+    LAG(power_kw, 1) OVER w AS prev_p
+  FROM readings
+  WINDOW w AS (PARTITION BY machine_id ORDER BY reading_ts))
+SELECT machine_id, AVG(prev_t) AS avg_prev_temperature, AVG(prev_v) AS avg_prev_vibration,
+       AVG(prev_p) AS avg_prev_power, COUNT(*) AS n_failures
+FROM f WHERE error_rate_pct > 5 GROUP BY machine_id""")
+ANALYSES_SQL["top_defect_machines_text_order"] = r("""
+SELECT machine_id, AVG(defect_rate_pct) AS avg_defect_rate, COUNT(*) AS n_readings
+FROM readings GROUP BY machine_id
+ORDER BY format('{:,.2f}', round(CAST(AVG(defect_rate_pct) AS DECIMAL(28, 10)), 2)) || '%' DESC, machine_id
+LIMIT 10""")
+
 ETL_SQL = {
     "readings": r("SELECT * FROM readings"),
     "staged_count": d("SELECT COUNT(*) AS n_records FROM raw"),

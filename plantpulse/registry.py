@@ -153,7 +153,17 @@ MODELS: dict[str, Query] = {
     "model_metrics": lambda s, d: models.evaluate(*trained_models(s, d), _test_rows(s, d)),
 }
 
+VARIANTS: dict[str, Query] = {
+    # Q11 with "previous" = the previous reading of any kind (chunked, skew-safe lag)
+    "pre_failure_conditions_any_reading": _analysis(
+        lambda star: analytics.pre_failure_conditions(star, previous="reading")),
+    # Q06 / Q09 ranked on the formatted text, reproducing the reference's sort
+    "top_defect_machines_text_order": _analysis(
+        lambda star: analytics.top_defect_machines(star, order="text")),
+}
+
 QUERIES: dict[str, Query] = {
     **{name: _analysis(fn) for name, fn in analytics.ANALYSES.items()},
+    **VARIANTS,
     **ETL, **CHARTS, **KPIS, **DISPLAYS, **MODELS,
 }
