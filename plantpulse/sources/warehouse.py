@@ -2,12 +2,12 @@
 
 Layout under ``root``::
 
-    machine_dim/load_id=<n>/...       tiny; broadcast by the planner on real file size
-    time_dim/load_id=<n>/...          bucketed by time_key
-    production_fact/load_id=<n>/...   bucketed + sorted by (machine_key, time_key)
-    quality_fact/load_id=<n>/...      same bucketing -> fact-fact join has no shuffle
-    rejects/load_id=<n>/...           dead-letter rows of each load
-    _loads/                           commit log: one row per committed load
+    machine_dim/load_id=<n>/...                       tiny; broadcast by the planner on real file size
+    time_dim/load_id=<n>/reading_date=<d>/...         bucketed by time_key
+    production_fact/load_id=<n>/reading_date=<d>/...  bucketed + sorted by (machine_key, time_key)
+    quality_fact/load_id=<n>/reading_date=<d>/...     same bucketing -> fact-fact join has no shuffle
+    rejects/load_id=<n>/...                           dead-letter rows of each load
+    _loads/                                           commit log: one row per committed load
 
 Why this shape at scale
 -----------------------
@@ -17,9 +17,17 @@ Why this shape at scale
   the machine).
 * Each load only *appends* a ``load_id`` partition to every table; nothing is
   rewritten.  A load becomes visible when its id is appended to ``_loads``,
-  which happens last.  Readers prune to committed ids, so a load that died
-  half-way (lost executors, a killed driver) is invisible, and re-running it
-  is safe because the loader skips what committed loads already hold.
+  which happens last.  Readers prune to live ids, so a load that died half-way
+  (lost executors, a killed driver) is invisible, and re-running it is safe
+  because the loader skips what live loads already hold.
+* The time dimension and the facts are also partitioned by reading date.  An
+  incremental load checks "already loaded?" only against the existing
+  partitions of the dates present in its batch (a semi-join on the partition
+  column, which the planner turns into dynamic partition pruning), so a load
+  of one day reads one day of keys, not the whole history.
+* :meth:`Warehouse.compact` rewrites many small loads (e.g. streaming
+  micro-batches) into one, and records which ids it supersedes; readers then
+  skip the superseded ids.  The number of live partitions stays small.
 * Single writer per warehouse (no concurrent loads).
 """
 
@@ -33,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantpulse.functions.columns import ts_of_time_key
 from plantpulse.operators.clean import rejects as reject_rows
 from plantpulse.operators.star import (
     Star, new_machine_rows, new_production_rows, new_quality_rows, new_time_rows,
@@ -45,10 +54,12 @@ _BUCKET_COLS = {
     "production_fact": ("machine_key", "time_key"),
     "quality_fact": ("machine_key", "time_key"),
 }
+_DATED = ("time_dim", "production_fact", "quality_fact")
 _LOG_SCHEMA = T.StructType([
     T.StructField("load_id", T.LongType(), False),
     T.StructField("committed_at", T.TimestampType(), False),
     T.StructField("batch_key", T.StringType(), True),
+    T.StructField("supersedes", T.ArrayType(T.LongType()), True),
 ])
 
 
@@ -60,11 +71,32 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence check on the cluster file system (HDFS, object store, local)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def date_partition(ts: F.Column, grain: str) -> F.Column:
+    """Partition value of a timestamp: its day, or the first day of its month."""
+    if grain == "day":
+        return F.to_date(ts)
+    if grain == "month":
+        return F.to_date(F.date_trunc("month", ts))
+    raise ValueError("grain must be 'day' or 'month'")
+
+
 @dataclass
 class Warehouse:
+    """``buckets``: files per partition of each bucketed table (default: the
+    shuffle partition count); size it so a bucket of a fact is ~1 GB.
+    ``date_grain``: 'day' (default) or 'month'; pick the grain that keeps a
+    date partition of a fact well above ~1 GB."""
+
     spark: SparkSession
     root: str
     buckets: int = 0
+    date_grain: str = "day"
 
     def __post_init__(self) -> None:
         self.root = self.root.rstrip("/")
@@ -73,6 +105,8 @@ class Warehouse:
         self.prefix = "pp_" + hashlib.sha1(self.root.encode()).hexdigest()[:12]
         self._ensured = False
         self._ids: list[int] | None = None
+        self._keys: set[str] = set()
+        self._star: Star | None = None
 
     # -- catalog ---------------------------------------------------------
     def name(self, table: str) -> str:
@@ -81,6 +115,9 @@ class Warehouse:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _partitions(self, table: str) -> list[str]:
+        return ["load_id", "reading_date"] if table in _DATED else ["load_id"]
+
     def ensure_tables(self) -> None:
         """Create the five tables if absent (CREATE TABLE IF NOT EXISTS over a
         fixed location), and pick up partitions written by other sessions."""
@@ -91,60 +128,88 @@ class Warehouse:
             if t in _BUCKET_COLS:
                 cols = ", ".join(_BUCKET_COLS[t])
                 spec = f" CLUSTERED BY ({cols}) SORTED BY ({cols}) INTO {self.buckets} BUCKETS"
+            extra = ", load_id BIGINT" + (", reading_date DATE" if t in _DATED else "")
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.name(t)} ({_ddl(_schema(t))}, load_id BIGINT) "
-                f"USING parquet PARTITIONED BY (load_id){spec} LOCATION '{self.path(t)}'")
+                f"CREATE TABLE IF NOT EXISTS {self.name(t)} ({_ddl(_schema(t))}{extra}) "
+                f"USING parquet PARTITIONED BY ({', '.join(self._partitions(t))}){spec} "
+                f"LOCATION '{self.path(t)}'")
             if _exists(self.spark, self.path(t)):
                 self.spark.sql(f"ALTER TABLE {self.name(t)} RECOVER PARTITIONS")
         self._ensured = True
 
     # -- commit log ------------------------------------------------------
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads")
+
     def committed_ids(self) -> list[int]:
-        """Committed load ids (the log holds one row per load, not per record).
-        Read once and kept; :meth:`refresh` re-reads after another writer's load."""
+        """Live load ids: committed and not superseded by a compaction.  The log
+        holds one row per load (not per record); it is read once and kept, and
+        :meth:`refresh` re-reads it after another writer's load."""
         if self._ids is None:
             if not _exists(self.spark, f"{self.root}/_loads"):
                 return []
-            rows = self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads").collect()
-            self._ids = sorted(r["load_id"] for r in rows)
+            rows = self.log().collect()
+            dead = {i for r in rows for i in (r["supersedes"] or [])}
+            self._ids = sorted(r["load_id"] for r in rows if r["load_id"] not in dead)
             self._keys = {r["batch_key"] for r in rows if r["batch_key"] is not None}
         return list(self._ids)
 
     def has_batch(self, batch_key: str) -> bool:
         self.committed_ids()
-        return batch_key in getattr(self, "_keys", set())
+        return batch_key in self._keys
 
     def refresh(self) -> None:
         self._ids = None
+        self._star = None
         self._ensured = False
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads")
-
-    def _commit(self, load_id: int, batch_key: str | None) -> None:
-        (self.spark.createDataFrame([(load_id, batch_key)], "load_id bigint, batch_key string")
-         .select("load_id", F.current_timestamp().alias("committed_at"), "batch_key")
+    def _commit(self, load_id: int, batch_key: str | None, supersedes: list[int] | None = None) -> None:
+        (self.spark.createDataFrame([(load_id, batch_key, supersedes)],
+                                    "load_id bigint, batch_key string, supersedes array<bigint>")
+         .select("load_id", F.current_timestamp().alias("committed_at"), "batch_key", "supersedes")
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_loads"))
         self._ids = None
+        self._star = None
 
     # -- read ------------------------------------------------------------
-    def table(self, table: str, ids: list[int] | None = None, keep_load_id: bool = False) -> DataFrame:
+    def table(self, table: str, ids: list[int] | None = None, keep_partition_cols: bool = False,
+              keep_load_id: bool = False) -> DataFrame:
         self.ensure_tables()
         ids = self.committed_ids() if ids is None else ids
         df = self.spark.table(self.name(table)).where(F.col("load_id").isin(ids or [-1]))
-        return df if keep_load_id else df.drop("load_id")
+        if not keep_partition_cols:
+            df = df.drop(*[c for c in self._partitions(table) if not (keep_load_id and c == "load_id")])
+        return df
 
     def star(self, ids: list[int] | None = None) -> Star:
-        ids = self.committed_ids() if ids is None else ids
-        return Star(*[self.table(t, ids) for t in TABLES[:4]])
+        """The four tables over the live loads (or the given ids).  The live
+        view is built once and kept until the next commit: DataFrames are
+        immutable plans, so queries can share them."""
+        if ids is not None:
+            return Star(*[self.table(t, ids) for t in TABLES[:4]])
+        if self._star is None:
+            live = self.committed_ids()
+            self._star = Star(*[self.table(t, live) for t in TABLES[:4]])
+        return self._star
 
     def rejects(self) -> DataFrame:
         return self.table("rejects")
 
+    def _on_dates(self, table: str, ids: list[int], dates: DataFrame) -> DataFrame:
+        """Rows of ``table`` on the given reading dates only.  ``dates`` holds
+        the distinct days of one batch (bounded by the calendar span of that
+        batch), so it is broadcast; the semi-join on the partition column lets
+        the planner prune the scan to those days' partitions."""
+        return (self.table(table, ids, keep_partition_cols=True)
+                .join(F.broadcast(dates), "reading_date", "left_semi")
+                .drop("load_id", "reading_date"))
+
     # -- write -----------------------------------------------------------
     def _append(self, table: str, df: DataFrame, load_id: int) -> None:
-        w = (df.select(*_schema(table).fieldNames()).withColumn("load_id", F.lit(load_id).cast("bigint"))
-             .write.mode("append").format("parquet").partitionBy("load_id"))
+        out = df.select(*_schema(table).fieldNames()).withColumn("load_id", F.lit(load_id).cast("bigint"))
+        if table in _DATED:
+            out = out.withColumn("reading_date", date_partition(ts_of_time_key("time_key"), self.date_grain))
+        w = out.write.mode("append").format("parquet").partitionBy(*self._partitions(table))
         if table in _BUCKET_COLS:
             cols = _BUCKET_COLS[table]
             w = w.bucketBy(self.buckets, *cols).sortBy(*cols)
@@ -153,9 +218,9 @@ class Warehouse:
     def load(self, converted: DataFrame, with_rejects: bool = True, batch_key: str | None = None) -> int | None:
         """Load one batch of converted readings; returns the committed load id.
 
-        Order: dimensions, then facts (which look up machine keys in the
-        committed dimension plus this load's new machines), then rejects, then
-        the commit record.  Each step is a Spark write of set operations; the
+        Order: dimensions, then facts (which look up machine keys in the live
+        dimension plus this load's new machines), then rejects, then the
+        commit record.  Each step is a Spark write of set operations; the
         driver handles only table names and load ids.
 
         ``batch_key`` names the input batch (e.g. a stream epoch): a batch whose
@@ -168,21 +233,32 @@ class Warehouse:
             return None
         ids = self.committed_ids()
         load_id = int(time.time() * 1_000_000)
-        existing = self.star(ids)
         keyed = converted.where(F.col("key_reason").isNull())
-        self._append("machine_dim", new_machine_rows(keyed, existing.machine_dim), load_id)
-        self._append("time_dim", new_time_rows(keyed, existing.time_dim), load_id)
+        dates = keyed.select(date_partition(F.col("reading_ts"), self.date_grain).alias("reading_date")).distinct()
+        machines_now = self.table("machine_dim", ids)
+        self._append("machine_dim", new_machine_rows(keyed, machines_now), load_id)
+        self._append("time_dim", new_time_rows(keyed, self._on_dates("time_dim", ids, dates)), load_id)
         machines = self.table("machine_dim", ids + [load_id])
-        self._append("production_fact",
-                     new_production_rows(converted, machines, existing.production), load_id)
-        self._append("quality_fact", new_quality_rows(converted, machines, existing.quality), load_id)
+        self._append("production_fact", new_production_rows(
+            converted, machines, self._on_dates("production_fact", ids, dates)), load_id)
+        self._append("quality_fact", new_quality_rows(
+            converted, machines, self._on_dates("quality_fact", ids, dates)), load_id)
         if with_rejects:
             self._append("rejects", reject_rows(converted), load_id)
         self._commit(load_id, batch_key)
         return load_id
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Existence check on the cluster file system (HDFS, object store, local)."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def compact(self, ids: list[int] | None = None) -> int | None:
+        """Rewrite the given live loads (default: all) as one new load and
+        commit it as superseding them.  Keys are unchanged, so facts still
+        join their dimensions.  Old partitions stay on disk until removed by a
+        separate clean-up; nothing reads them once the commit lands."""
+        live = self.committed_ids()
+        ids = live if ids is None else [i for i in ids if i in live]
+        if len(ids) < 2:
+            return None
+        new_id = int(time.time() * 1_000_000)
+        for t in TABLES:
+            self._append(t, self.table(t, ids), new_id)
+        self._commit(new_id, None, supersedes=ids)
+        return new_id

@@ -24,10 +24,10 @@ from plantpulse.sources.fixture import dirty_raw, sensor_readings
 from plantpulse.sources.warehouse import Warehouse
 
 # Bump when the on-disk layout of the star changes, so old folders are not reused.
-LAYOUT_VERSION = 1
+LAYOUT_VERSION = 3
 
 _LOCK = threading.Lock()
-_CACHE: dict[tuple[int, str], Warehouse] = {}
+_CACHE: dict[tuple[str, str], Warehouse] = {}
 
 
 def _hadoop_path_status(spark: SparkSession, path: str) -> str:
@@ -58,12 +58,18 @@ def _root(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return f"{checkpoint_root(spark)}/plantpulse/v{LAYOUT_VERSION}/{fp}/{kind}"
 
 
+# The test inputs are small (at most a few MB per table), so date partitions
+# are monthly here: daily ones would hold a few kB each.  At production volume
+# the default daily grain applies.
+TEST_DATE_GRAIN = "month"
+
+
 def _get(spark: SparkSession, root: str, build) -> Warehouse:
-    key = (id(spark), root)
+    key = (spark.sparkContext.applicationId, root)
     with _LOCK:
         wh = _CACHE.get(key)
         if wh is None:
-            wh = Warehouse(spark, root)
+            wh = Warehouse(spark, root, date_grain=TEST_DATE_GRAIN)
             if not wh.committed_ids():
                 build(wh)
             _CACHE[key] = wh
@@ -134,7 +140,7 @@ def streamed_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     return _get(spark, _root(spark, sf_dir, "dirty") + "/streamed", build)
 
 
-_MODELS: dict[tuple[int, str], object] = {}
+_MODELS: dict[tuple[str, str], object] = {}
 
 
 def trained_models(spark: SparkSession, sf_dir: str):
@@ -145,7 +151,7 @@ def trained_models(spark: SparkSession, sf_dir: str):
     from plantpulse.operators.models import is_test_row, train_efficiency, train_failure
 
     root = _root(spark, sf_dir, "models")
-    key = (id(spark), root)
+    key = (spark.sparkContext.applicationId, root)
     with _LOCK:
         if key not in _MODELS:
             train = sensor_readings(spark, sf_dir).where(~is_test_row())
