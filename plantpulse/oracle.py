@@ -226,6 +226,12 @@ FROM readings GROUP BY machine_id
 ORDER BY format('{:,.2f}', round(CAST(AVG(defect_rate_pct) AS DECIMAL(28, 10)), 2)) || '%' DESC, machine_id
 LIMIT 10""")
 
+ANALYSES_SQL["least_energy_efficient_text_order"] = r(f"""
+SELECT machine_id, {PPU} AS avg_power_per_unit, AVG(power_kw) AS avg_power, AVG(speed_uph) AS avg_speed
+FROM readings WHERE {ACTIVE} GROUP BY machine_id
+ORDER BY format('{{:,.2f}}', round(CAST({PPU} AS DECIMAL(28, 10)), 2)) || '%' DESC NULLS LAST, machine_id
+LIMIT 10""")
+
 ETL_SQL = {
     "readings": r("SELECT * FROM readings"),
     "staged_count": d("SELECT COUNT(*) AS n_records FROM raw"),
@@ -304,6 +310,10 @@ MODE_CODES = """codes AS (SELECT operation_mode,
 
 CHART_SQL = {
     "filtered_readings": r(f"SELECT * FROM readings WHERE {FILTER}"),
+    "filtered_readings_machine_mode": r("""
+SELECT * FROM readings
+WHERE reading_ts >= TIMESTAMP '2024-01-02' AND reading_ts <= TIMESTAMP '2024-01-29'
+  AND machine_id = 7 AND operation_mode = 'Active'"""),
     "data_status": r(f"""
 SELECT COUNT(*) AS n_rows, CASE WHEN COUNT(*) > 0 THEN 'ok' ELSE 'no data' END AS status
 FROM readings WHERE {FILTER}"""),

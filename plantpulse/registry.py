@@ -106,6 +106,10 @@ def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHARTS: dict[str, Query] = {
     "filtered_readings": _filtered,
+    # the other filter branches: one machine, one mode, end day exclusive
+    "filtered_readings_machine_mode": lambda s, d: charts.filter_readings(
+        sensor_readings(s, d), start="2024-01-02", end="2024-01-29", machine=7, mode="Active",
+        end_inclusive=False),
     "data_status": lambda s, d: charts.data_status(_filtered(s, d)),
     "production_series": lambda s, d: charts.production_series(_filtered(s, d)),
     "error_series": lambda s, d: charts.error_series(_filtered(s, d)),
@@ -160,6 +164,8 @@ VARIANTS: dict[str, Query] = {
     # Q06 / Q09 ranked on the formatted text, reproducing the reference's sort
     "top_defect_machines_text_order": _analysis(
         lambda star: analytics.top_defect_machines(star, order="text")),
+    "least_energy_efficient_text_order": _analysis(
+        lambda star: analytics.least_energy_efficient(star, order="text")),
 }
 
 QUERIES: dict[str, Query] = {

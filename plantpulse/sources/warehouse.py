@@ -233,6 +233,13 @@ class Warehouse:
             return None
         ids = self.committed_ids()
         load_id = int(time.time() * 1_000_000)
+        # Convert once: the typed batch is written to the shared folder and
+        # every step below reads it back (typed, columnar, pruned) instead of
+        # re-reading and re-casting the raw strings five times.  It also pins
+        # the input of this load (and cuts its lineage).
+        batch_path = f"{self.root}/_batches/load_id={load_id}"
+        converted.write.mode("overwrite").parquet(batch_path)
+        converted = self.spark.read.schema(converted.schema).parquet(batch_path)
         keyed = converted.where(F.col("key_reason").isNull())
         dates = keyed.select(date_partition(F.col("reading_ts"), self.date_grain).alias("reading_date")).distinct()
         machines_now = self.table("machine_dim", ids)
@@ -248,6 +255,32 @@ class Warehouse:
         self._commit(load_id, batch_key)
         return load_id
 
+    def vacuum(self) -> list[str]:
+        """Delete what no reader can see any more: partitions of superseded
+        loads and the converted batches of committed loads.  Uncommitted
+        partitions are left alone (a load may still be running).  Returns the
+        deleted paths (all under this warehouse's root)."""
+        if not _exists(self.spark, f"{self.root}/_loads"):
+            return []
+        rows = self.log().collect()
+        dead = sorted({i for r in rows for i in (r["supersedes"] or [])})
+        done = sorted(r["load_id"] for r in rows)
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        removed = []
+        targets = [f"{self.path(t)}/load_id={i}" for t in TABLES for i in dead]
+        targets += [f"{self.root}/_batches/load_id={i}" for i in done]
+        for p in targets:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                fs.delete(path, True)
+                removed.append(p)
+        for t in TABLES:
+            for i in dead:
+                self.spark.sql(f"ALTER TABLE {self.name(t)} DROP IF EXISTS PARTITION (load_id={i})")
+        return removed
+
     def compact(self, ids: list[int] | None = None) -> int | None:
         """Rewrite the given live loads (default: all) as one new load and
         commit it as superseding them.  Keys are unchanged, so facts still

@@ -60,3 +60,19 @@ def test_compaction_keeps_content_and_supersedes(spark):
     # loading the same rows again after compaction still adds nothing
     wh.load(conv)
     assert [t.count() for t in wh.star()] == [len(x) for x in after]
+
+
+def test_vacuum_removes_only_invisible_data(spark):
+    base = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
+    conv = convert(dirty_raw(sensor_readings(spark, SF_SMALL)))
+    wh = Warehouse(spark, base, buckets=4)
+    wh.load(conv.where(F.col("reading_id") % 2 == 0))
+    wh.load(conv.where(F.col("reading_id") % 2 == 1))
+    old = wh.committed_ids()
+    wh.compact()
+    before = [sorted(t.collect()) for t in wh.star()]
+    removed = wh.vacuum()
+    assert any(f"load_id={old[0]}" in p and "production_fact" in p for p in removed)
+    assert all(p.startswith(base) for p in removed)
+    fresh = Warehouse(spark, base, buckets=4)
+    assert [sorted(t.collect()) for t in fresh.star()] == before
