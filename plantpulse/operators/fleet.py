@@ -25,6 +25,20 @@ from plantpulse.operators.star import Star
 STABLE_BAND = 0.05  # relative change treated as "stable"
 
 
+def recent_star(wh, hours: int = 2) -> Star:
+    """The warehouse star pruned to the partitions that can hold the last
+    ``2 * hours`` of readings: the newest reading lies in the newest date
+    partition, so nothing older than that day minus the window is needed."""
+    import datetime as dt
+    import math
+
+    last = wh.latest_date()
+    if last is None:
+        return wh.star()
+    back = dt.timedelta(days=math.ceil(2 * hours / 24) + 1)
+    return wh.star_since(last - back)
+
+
 def fleet_oee(star: Star) -> DataFrame:
     per = oee_three_factor(star)
     return per.agg(F.round(F.avg("oee"), 9).alias("fleet_oee"), F.count(F.lit(1)).alias("n_machines"))
@@ -62,7 +76,11 @@ def mtbf(star: Star) -> DataFrame:
 
 
 def kpi_trend(star: Star, hours: int = 2) -> DataFrame:
-    """KPIs for the last ``hours`` vs the ``hours`` before (one row per KPI)."""
+    """KPIs for the last ``hours`` vs the ``hours`` before (one row per KPI).
+
+    Only the newest ``2 * hours`` matter, so over a date-partitioned warehouse
+    pass ``Warehouse.star_since(...)`` (see :func:`recent_star`) and the scans
+    read the newest partitions only."""
     win = hours * MICROS_PER_HOUR
     anchor = F.broadcast(star.production.agg(F.max("time_key").alias("_anchor")))  # one row
     tk = F.col("time_key")

@@ -127,7 +127,8 @@ KPIS: dict[str, Query] = {
     "failure_rate": _analysis(fleet.failure_rate),
     "mtbf": _analysis(fleet.mtbf),
     "mtbf_by_machine": _analysis(fleet.mtbf_by_machine),
-    "kpi_trend": _analysis(fleet.kpi_trend),
+    # reads only the newest date partitions (the window is the last 2 x 2 hours)
+    "kpi_trend": lambda s, d: fleet.kpi_trend(fleet.recent_star(clean_warehouse(s, d))),
 }
 
 DISPLAYS: dict[str, Query] = {

@@ -195,6 +195,38 @@ class Warehouse:
     def rejects(self) -> DataFrame:
         return self.table("rejects")
 
+    def latest_date(self):
+        """Newest reading-date partition among live loads, from the catalog's
+        partition list (metadata; bounded by the number of partitions)."""
+        import datetime as dt
+
+        self.ensure_tables()
+        live = set(self.committed_ids())
+        best = None
+        for row in self.spark.sql(f"SHOW PARTITIONS {self.name('production_fact')}").collect():
+            parts = dict(kv.split("=", 1) for kv in row[0].split("/"))
+            if int(parts["load_id"]) in live:
+                d = dt.date.fromisoformat(parts["reading_date"])
+                best = d if best is None or d > best else best
+        return best
+
+    def star_since(self, first_day) -> Star:
+        """The live star with the time dimension and facts pruned to date
+        partitions on or after ``first_day`` (partition pruning at the scan)."""
+        import datetime as dt
+
+        self.committed_ids()
+        if self.date_grain == "month":
+            first_day = first_day.replace(day=1)
+        lit = F.lit(dt.date.isoformat(first_day)).cast("date")
+
+        def pruned(t: str) -> DataFrame:
+            df = self.table(t, keep_partition_cols=True)
+            return df.where(F.col("reading_date") >= lit).drop("load_id", "reading_date")
+
+        return Star(self.table("machine_dim"), pruned("time_dim"), pruned("production_fact"),
+                    pruned("quality_fact"))
+
     def _on_dates(self, table: str, ids: list[int], dates: DataFrame) -> DataFrame:
         """Rows of ``table`` on the given reading dates only.  ``dates`` holds
         the distinct days of one batch (bounded by the calendar span of that
