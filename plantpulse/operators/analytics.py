@@ -25,7 +25,7 @@ from plantpulse.functions.columns import (
 from plantpulse.functions.display import fmt_pct
 from plantpulse.operators.star import Star
 from plantpulse.schema import (
-    ABNORMAL_VIBRATION_MEAN, ABNORMAL_VIBRATION_SD, HIGH_TEMPERATURE_C, HIGH_VIBRATION_HZ, TOP_N,
+    ABNORMAL_VIBRATION_MEAN, ABNORMAL_VIBRATION_SD, HIGH_TEMPERATURE_C, HIGH_VIBRATION_HZ, MEASURES, TOP_N,
 )
 
 KEYS = ["machine_key", "time_key"]
@@ -40,6 +40,16 @@ def production_quality(star: Star) -> DataFrame:
     return star.production.join(star.quality, KEYS)
 
 
+def readings_view(star: Star) -> DataFrame:
+    """Flat readings rebuilt from the star (both facts on their common grain,
+    machine id from the dimension, timestamp from the time key).  Equal to
+    the loaded readings when the load is lossless."""
+    cols = ["operation_mode", "efficiency_status", *MEASURES]
+    return (production_quality(star)
+            .join(star.machine_dim.select("machine_key", "machine_id"), "machine_key")
+            .select("machine_id", ts_of_time_key().alias("reading_ts"), *cols))
+
+
 def with_machine_id(per_machine: DataFrame, star: Star) -> DataFrame:
     """Swap machine_key for machine_id on an already-aggregated frame."""
     return (per_machine.join(star.machine_dim.select("machine_key", "machine_id"), "machine_key")

@@ -282,6 +282,10 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY machine_id, reading_ts ORDER BY
 }
 
 ETL_SQL["streamed_production_fact"] = ETL_SQL["production_fact"]
+ETL_SQL["star_readings"] = r("""
+SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
+       speed_uph, error_rate_pct, defect_rate_pct, latency_ms, packet_loss_pct, pm_score
+FROM readings""")
 ETL_SQL["csv_readings"] = r("""
 SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
        speed_uph, error_rate_pct, defect_rate_pct, latency_ms, packet_loss_pct, pm_score

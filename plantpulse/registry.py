@@ -91,6 +91,7 @@ def _csv_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ETL["csv_readings"] = _csv_readings
+ETL["star_readings"] = _analysis(analytics.readings_view)
 ETL["reload_adds_nothing"] = _reload_steps
 ETL["streamed_production_fact"] = lambda s, d: _natural_fact(
     s, d, "production_fact", PRODUCTION_MEASURES + ["efficiency_status", "operation_mode"],

@@ -98,3 +98,27 @@ def test_in_memory_incremental_continues_keys(spark, edge_readings):
     assert second.production.count() == 1
     both = union_star(first, second)
     assert both.production.count() == 7
+
+
+def test_csv_messy_cells_become_rejects_not_failures(spark, tmp_path):
+    header = ("Timestamp,Machine_ID,Operation_Mode,Temperature_C,Vibration_Hz,Power_Consumption_kW,"
+              "Network_Latency_ms,Packet_Loss_%,Quality_Control_Defect_Rate_%,Production_Speed_units_per_hr,"
+              "Predictive_Maintenance_Score,Error_Rate_%,Efficiency_Status")
+    lines = [header,
+             "2024-01-01 00:00:00,1,Active,50,2,3,10,1,2,100,0.5,1,Low",
+             "2024-01-01 00:01:00,x1,Active,50,2,3,10,1,2,100,0.5,1,Low",        # bad machine id
+             "not a time,2,Idle,50,2,3,10,1,2,100,0.5,1,High",                  # bad timestamp
+             "2024-01-01 00:02:00,2,Idle,,2,3,10,1,oops,100,0.5,1,",             # missing temp, bad defect
+             '"2024-01-01 00:03:00",3,"Active",51.5,2,3,10,1,2,100,0.5,1,"Medium"']
+    path = tmp_path / "in.csv"
+    path.write_text("\n".join(lines) + "\n")
+    from plantpulse.sources.files import read_csv
+
+    conv = convert(read_csv(spark, str(path)))
+    got = {(r["machine_id"], r["target"], r["reason"]) for r in
+           conv.join(rejects(conv), "reading_id").select("machine_id", "target", "reason").collect()}
+    assert got == {(None, "both", "bad machine_id"), (2, "both", "bad reading_ts"),
+                   (2, "quality", "bad defect_rate_pct")}
+    filled = conv.where("machine_id = 2 AND reading_ts IS NOT NULL").first()
+    assert filled["temperature_c"] == 0.0 and filled["efficiency_status"] == "0"
+    assert conv.where("machine_id = 3").first()["temperature_c"] == 51.5
