@@ -244,7 +244,8 @@ ETL_SQL = {
   COUNT_IF(error_rate_pct IS NULL) AS error_rate_pct, COUNT_IF(defect_rate_pct IS NULL) AS defect_rate_pct,
   COUNT_IF(latency_ms IS NULL) AS latency_ms, COUNT_IF(packet_loss_pct IS NULL) AS packet_loss_pct,
   COUNT_IF(pm_score IS NULL) AS pm_score FROM raw)
-SELECT column_name, n_null FROM (UNPIVOT n ON COLUMNS(*) INTO NAME column_name VALUE n_null)
+SELECT column_name, CAST(n_null AS BIGINT) AS n_null
+FROM (UNPIVOT n ON COLUMNS(*) INTO NAME column_name VALUE n_null)
 WHERE n_null > 0"""),
     "filled_readings": d("""
 SELECT reading_id, machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz,
@@ -365,7 +366,7 @@ SELECT ROUND(AVG(oee), 9) AS fleet_oee, COUNT(*) AS n_machines
 FROM (SELECT machine_id, {_OEE} AS oee FROM readings GROUP BY machine_id)"""),
     "failure_rate": r("""
 SELECT AVG(CASE WHEN error_rate_pct > 5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS failure_rate,
-       COUNT_IF(error_rate_pct > 5) AS n_failures, COUNT(*) AS n_readings
+       CAST(COUNT_IF(error_rate_pct > 5) AS BIGINT) AS n_failures, COUNT(*) AS n_readings
 FROM readings"""),
     "mtbf": r("""
 , s AS (SELECT machine_id, MIN(epoch_us(reading_ts)) AS t0, MAX(epoch_us(reading_ts)) AS t1, COUNT(*) AS n

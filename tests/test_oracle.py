@@ -9,6 +9,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 TABLES = ["events"]
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
 def _norm(v):
@@ -43,6 +45,9 @@ def test_matches_oracle(spark, con, name):
     res = con.execute(E.oracle_sql()[name])
     ocols = [c[0] for c in res.description]
     assert sorted(df.columns) == sorted(ocols)
+    otypes = {c[0]: str(c[1]) for c in res.description}
+    for f in df.schema.fields:
+        assert _TYPES.get(f.dataType.simpleString()) == otypes[f.name], (f.name, f.dataType, otypes[f.name])
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, res.fetchall())
 
 
