@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.columns import MICROS_PER_HOUR, is_active, is_failure, safe_ratio
-from plantpulse.operators.analytics import oee_three_factor, production_quality, with_machine_id
+from plantpulse.operators.analytics import oee_three_factor, with_machine_id
 from plantpulse.operators.star import Star
 
 STABLE_BAND = 0.05  # relative change treated as "stable"

@@ -8,21 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantpulse.functions.columns import ts_of_time_key
 from plantpulse.functions.display import display
 from plantpulse.operators import analytics, charts, fleet, models
-from plantpulse.operators.clean import convert, null_profile
+from plantpulse.operators.clean import convert, good_rows, null_profile
 from plantpulse.schema import CATEGORIES, MEASURES, PRODUCTION_MEASURES, QUALITY_MEASURES
-from plantpulse.sources.files import count_staged
+from plantpulse.sources.files import count_staged, read_csv
 from plantpulse.sources.fixture import sensor_readings
 from plantpulse.warehouses import (
-    clean_warehouse, dirty_warehouse, incremental_warehouse, staged_raw, streamed_warehouse,
-    trained_models,
+    clean_warehouse, dirty_warehouse, incremental_warehouse, source_csv, staged_raw,
+    streamed_warehouse, trained_models,
 )
 
+PRODUCTION_COLS = PRODUCTION_MEASURES + ["efficiency_status", "operation_mode"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -50,30 +52,12 @@ def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  p.alias("production_ok"), q.alias("quality_ok"))
 
 
-ETL: dict[str, Query] = {
-    "readings": sensor_readings,
-    "staged_count": lambda s, d: count_staged(staged_raw(s, d)),
-    "null_profile": lambda s, d: null_profile(staged_raw(s, d)),
-    "filled_readings": _filled,
-    "converted_good": _good,
-    "converted_rejects": lambda s, d: dirty_warehouse(s, d).rejects(),
-    "machine_dim": lambda s, d: dirty_warehouse(s, d).table("machine_dim").select("machine_key", "machine_id"),
-    "time_dim": lambda s, d: dirty_warehouse(s, d).table("time_dim").select(
-        "time_key", "reading_ts", "hour", "minute"),
-    "production_fact": lambda s, d: _natural_fact(
-        s, d, "production_fact", PRODUCTION_MEASURES + ["efficiency_status", "operation_mode"]),
-    "quality_fact": lambda s, d: _natural_fact(s, d, "quality_fact", QUALITY_MEASURES),
-}
-
-
-
 def _reload_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows each of the three incremental loads added, per table."""
+    """Rows each of the three incremental loads added, per table (the third,
+    a repeat of the first, must add none)."""
     wh = incremental_warehouse(spark, sf_dir)
-    from pyspark.sql import Window
-
-    steps = wh.log().select("load_id", F.row_number().over(Window.orderBy("load_id")).alias("step"))
-    out = steps
+    # one row per load: the numbering window runs over the commit log only
+    out = wh.log().select("load_id", F.row_number().over(Window.orderBy("load_id")).alias("step"))
     for t, name in (("machine_dim", "machines_added"), ("time_dim", "times_added"),
                     ("production_fact", "production_added"), ("quality_fact", "quality_added")):
         counts = wh.table(t, keep_load_id=True).groupBy("load_id").agg(F.count(F.lit(1)).alias(name))
@@ -82,20 +66,29 @@ def _reload_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plantpulse.operators.clean import good_rows
-    from plantpulse.sources.files import read_csv
-    from plantpulse.warehouses import source_csv
-
+    """Readings written as a source-format CSV, read back by the CSV source."""
     conv = convert(read_csv(spark, source_csv(spark, sf_dir)))
     return good_rows(conv, "keys").select("machine_id", "reading_ts", *CATEGORIES, *MEASURES)
 
 
-ETL["csv_readings"] = _csv_readings
-ETL["star_readings"] = _analysis(analytics.readings_view)
-ETL["reload_adds_nothing"] = _reload_steps
-ETL["streamed_production_fact"] = lambda s, d: _natural_fact(
-    s, d, "production_fact", PRODUCTION_MEASURES + ["efficiency_status", "operation_mode"],
-    streamed_warehouse(s, d))
+ETL: dict[str, Query] = {
+    "readings": sensor_readings,
+    "csv_readings": _csv_readings,
+    "staged_count": lambda s, d: count_staged(staged_raw(s, d)),
+    "null_profile": lambda s, d: null_profile(staged_raw(s, d)),
+    "filled_readings": _filled,
+    "converted_good": _good,
+    "converted_rejects": lambda s, d: dirty_warehouse(s, d).rejects(),
+    "machine_dim": lambda s, d: dirty_warehouse(s, d).table("machine_dim").select("machine_key", "machine_id"),
+    "time_dim": lambda s, d: dirty_warehouse(s, d).table("time_dim").select(
+        "time_key", "reading_ts", "hour", "minute"),
+    "production_fact": lambda s, d: _natural_fact(s, d, "production_fact", PRODUCTION_COLS),
+    "quality_fact": lambda s, d: _natural_fact(s, d, "quality_fact", QUALITY_MEASURES),
+    "reload_adds_nothing": _reload_steps,
+    "streamed_production_fact": lambda s, d: _natural_fact(
+        s, d, "production_fact", PRODUCTION_COLS, streamed_warehouse(s, d)),
+    "star_readings": _analysis(analytics.readings_view),
+}
 
 # Dashboard filter used by the registered chart queries: two weeks, working hours.
 FILTER = {"start": "2024-01-08", "end": "2024-01-21", "hours": (8, 17)}
