@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def plan_text(df: DataFrame, final: bool = False) -> str:
-    """Physical plan as text.  ``final=True`` runs the query first so the
-    adaptive plan shows what actually executed."""
+    """Physical plan as text.  ``final=True`` runs this very query first
+    (``collect``: meant for the small results of tests and notebooks) so the
+    adaptive plan shows what actually executed, e.g. reused exchanges."""
     if final:
-        df.count()  # materialise so the adaptive plan is final
+        df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
 
 

@@ -66,3 +66,31 @@ def test_filters_reach_the_scan(star):
 def test_column_pruning(star):
     text = plan_text(A.energy_by_mode(star))
     assert "ReadSchema: struct<power_kw:double,operation_mode:string>" in text
+
+
+def test_deviant_machines_scans_production_once(spark, star):
+    df = A.deviant_machines(star)
+    text = plan_text(df, final=True).split("== Initial Plan ==")[0]
+    # the fleet-means branch reuses the per-machine shuffle of the first branch
+    assert "ReusedExchange" in text
+    assert len(re.findall(r"FileScan parquet \S*production_fact\[", text)) == 1
+
+
+def test_kpi_trend_prunes_to_newest_partitions(spark):
+    import uuid
+
+    from plantpulse.operators import fleet as K
+    from plantpulse.operators.clean import as_converted
+    from plantpulse.plans.config import checkpoint_root
+    from plantpulse.sources.fixture import sensor_readings
+    from plantpulse.sources.warehouse import Warehouse
+
+    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}",
+                   buckets=4, date_grain="day")
+    wh.load(as_converted(sensor_readings(spark, SF_SMALL)), with_rejects=False)
+    pruned = K.kpi_trend(K.recent_star(wh))
+    assert sorted(pruned.collect()) == sorted(K.kpi_trend(wh.star()).collect())
+    text = plan_text(pruned)
+    last = wh.latest_date().isoformat()
+    assert "reading_date" in text and re.search(r"reading_date#\d+ >= 2024-01-2\d", text), text[:2000]
+    assert last.startswith("2024-01-")
