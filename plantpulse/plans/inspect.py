@@ -14,6 +14,18 @@ def plan_text(df: DataFrame, final: bool = False) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def plan_formatted(df: DataFrame) -> str:
+    """The text of ``df.explain("formatted")``: every scan with its full
+    PushedFilters / PartitionFilters / ReadSchema."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
 def count_operator(df: DataFrame, name: str) -> int:
     return plan_text(df).count(name)
 
