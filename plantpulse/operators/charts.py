@@ -76,12 +76,13 @@ def mode_codes(readings: DataFrame) -> DataFrame:
     return modes.withColumn("mode_code", (F.dense_rank().over(Window.orderBy("operation_mode")) - 1))
 
 
-def means_by_mode(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    means = (df.groupBy("operation_mode")
-             .agg(F.avg("speed_uph").alias("avg_speed"), F.avg("error_rate_pct").alias("avg_error_rate")))
-    codes = mode_codes(df) if codes is None else codes
-    return (means.join(codes, "operation_mode")
-            .select("operation_mode", "mode_code", "avg_speed", "avg_error_rate").orderBy("mode_code"))
+def means_by_mode(df: DataFrame) -> DataFrame:
+    """Mean speed and error per operation mode.  Grouping by the label itself
+    makes the encode / decode round trip of the dashboard unnecessary (the
+    codes, where wanted, are :func:`mode_codes`)."""
+    return (df.groupBy("operation_mode")
+            .agg(F.avg("speed_uph").alias("avg_speed"), F.avg("error_rate_pct").alias("avg_error_rate"))
+            .orderBy("operation_mode"))
 
 
 def means_by_machine(df: DataFrame) -> DataFrame:

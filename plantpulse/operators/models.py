@@ -28,13 +28,11 @@ _SPLIT_SALT = "42:"     # the split seed, as text
 
 def label_codes(readings: DataFrame, cols: tuple[str, ...] = ("operation_mode", "efficiency_status")) -> DataFrame:
     """(kind, label, code): each category's labels numbered 0.. alphabetically.
-    The ranking runs over the distinct labels only (a handful of rows)."""
-    parts = [readings.select(F.lit(c).alias("kind"), F.col(c).alias("label")).where(F.col("label").isNotNull())
-             .distinct() for c in cols]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.withColumn("code", F.dense_rank().over(Window.partitionBy("kind").orderBy("label")) - 1)
+    One scan emits every (kind, label) pair; the ranking runs over the
+    distinct labels only (a handful of rows)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("label")) for c in cols])
+    labels = readings.select(F.inline(pairs)).where(F.col("label").isNotNull()).distinct()
+    return labels.withColumn("code", F.dense_rank().over(Window.partitionBy("kind").orderBy("label")) - 1)
 
 
 def is_test_row(id_col: str = "reading_id", test_fraction: float = TEST_FRACTION) -> Column:

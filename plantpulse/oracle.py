@@ -329,9 +329,8 @@ SELECT machine_id, time_bucket(INTERVAL 15 MINUTE, reading_ts) AS bucket_start,
        AVG(speed_uph) AS speed_uph, COUNT(*) AS n_readings
 FROM readings GROUP BY 1, 2"""),
     "means_by_mode": r(f"""
-, {MODE_CODES}
-SELECT operation_mode, mode_code, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
-FROM readings JOIN codes USING (operation_mode) WHERE {FILTER} GROUP BY 1, 2"""),
+SELECT operation_mode, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
+FROM readings WHERE {FILTER} GROUP BY 1"""),
     "means_by_machine": r(f"""
 SELECT machine_id, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
 FROM readings WHERE {FILTER} GROUP BY 1"""),

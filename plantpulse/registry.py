@@ -108,12 +108,11 @@ CHARTS: dict[str, Query] = {
     "production_series": lambda s, d: charts.production_series(_filtered(s, d)),
     "error_series": lambda s, d: charts.error_series(_filtered(s, d)),
     "production_series_15min": lambda s, d: charts.production_series(sensor_readings(s, d), "15 minutes"),
-    "means_by_mode": lambda s, d: charts.means_by_mode(_filtered(s, d), charts.mode_codes(sensor_readings(s, d))),
+    "means_by_mode": lambda s, d: charts.means_by_mode(_filtered(s, d)),
     "means_by_machine": lambda s, d: charts.means_by_machine(_filtered(s, d)),
     "score_histogram": lambda s, d: charts.score_histogram(_filtered(s, d)),
     "filter_domains": lambda s, d: charts.filter_domains(sensor_readings(s, d)),
-    "means_long": lambda s, d: charts.means_long(
-        charts.means_by_mode(sensor_readings(s, d)).drop("mode_code"), ["operation_mode"]),
+    "means_long": lambda s, d: charts.means_long(charts.means_by_mode(sensor_readings(s, d)), ["operation_mode"]),
 }
 
 KPIS: dict[str, Query] = {
