@@ -40,13 +40,13 @@ def scale_conf(shuffle_partitions: int = 8) -> dict[str, str]:
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "plantpulse") -> SparkSession:
+                app_name: str = "plantpulse", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings above.  Local use only:
     on a cluster the session comes from the platform and keeps its own conf."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in scale_conf(shuffle_partitions).items():
+    for k, v in {**scale_conf(shuffle_partitions), **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.driver.memory", os.environ.get("PLANTPULSE_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
@@ -54,21 +54,27 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_OWN_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only when
-    neither is set (tests, a laptop) a fresh local folder is chosen and set.
+    Reads ``spark.checkpoint.dir`` from the session (or the context's
+    checkpoint dir).  Only when neither is set (tests, a laptop) a fresh local
+    folder is chosen -- once per application, so every caller gets the same
+    root -- and given to the context for ``DataFrame.checkpoint()``.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
+    if d:
+        return d.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_ROOT:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = jdir.get() if jdir.isDefined() else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="plantpulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    # make the RDD/Dataset checkpoint() API use the same folder
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not jdir.isDefined():
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+        if jdir.isDefined():
+            _OWN_ROOT[app] = jdir.get()
+        else:
+            own = tempfile.mkdtemp(prefix="plantpulse-ckpt-")
+            spark.sparkContext.setCheckpointDir(own)
+            _OWN_ROOT[app] = own
+    return _OWN_ROOT[app].rstrip("/")

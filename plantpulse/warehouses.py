@@ -71,6 +71,37 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _once(spark: SparkSession, lock_path: str, is_done, action, wait_s: float = 1800.0,
+          poll_s: float = 2.0) -> None:
+    """Run ``action`` unless ``is_done()``, with at most one builder across
+    processes: the builder holds an atomically created lock file; others wait
+    for ``is_done()``.  A lock older than ``wait_s`` is treated as left behind
+    by a crashed builder and taken over (actions are safe to redo: loads skip
+    committed rows, landings and CSV writes check their success marker)."""
+    import time
+
+    fs, lock = _fs(spark, lock_path)
+    deadline = time.time() + wait_s
+    while not is_done():
+        if fs.createNewFile(lock):
+            try:
+                if not is_done():
+                    action()
+            finally:
+                fs.delete(lock, False)
+            return
+        if time.time() > deadline:
+            fs.delete(lock, False)  # stale: the builder is gone
+            deadline = time.time() + wait_s
+        time.sleep(poll_s)
+
+
 def _root(spark: SparkSession, sf_dir: str, kind: str) -> str:
     fp = input_fingerprint(spark, sf_dir)
     return f"{checkpoint_root(spark)}/plantpulse/v{LAYOUT_VERSION}-{CODE_VERSION}/{fp}/{kind}"
@@ -84,14 +115,19 @@ TEST_DATE_GRAIN = "month"
 TEST_BUCKETS = 8
 
 
-def _get(spark: SparkSession, root: str, build) -> Warehouse:
+def _get(spark: SparkSession, root: str, build, loads: int = 1) -> Warehouse:
+    """The warehouse at ``root``, built once (``loads`` committed loads when done)."""
     key = (spark.sparkContext.applicationId, root)
     with _LOCK:
         wh = _CACHE.get(key)
         if wh is None:
             wh = Warehouse(spark, root, buckets=TEST_BUCKETS, date_grain=TEST_DATE_GRAIN)
-            if not wh.committed_ids():
-                build(wh)
+
+            def done() -> bool:
+                wh.refresh()
+                return len(wh.committed_ids()) >= loads
+
+            _once(spark, f"{root}.lock", done, lambda: build(wh))
             _CACHE[key] = wh
     return wh
 
@@ -115,8 +151,8 @@ def staged_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, path)
     with _LOCK:
         if key not in _STAGED:
-            if not _path_exists(spark, path + "/_SUCCESS"):
-                land_raw(dirty_raw(sensor_readings(spark, sf_dir)), path)
+            _once(spark, f"{path}.lock", lambda: _path_exists(spark, path + "/_SUCCESS"),
+                  lambda: land_raw(dirty_raw(sensor_readings(spark, sf_dir)), path))
             _STAGED[key] = read_staged(spark, path)
     return _STAGED[key]
 
@@ -127,8 +163,8 @@ def source_csv(spark: SparkSession, sf_dir: str) -> str:
 
     path = _root(spark, sf_dir, "csv") + "/readings"
     with _LOCK:
-        if not _path_exists(spark, path + "/_SUCCESS"):
-            write_source_csv(sensor_readings(spark, sf_dir), path)
+        _once(spark, f"{path}.lock", lambda: _path_exists(spark, path + "/_SUCCESS"),
+              lambda: write_source_csv(sensor_readings(spark, sf_dir), path))
     return path
 
 
@@ -150,7 +186,7 @@ def incremental_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         for part in halves[len(wh.committed_ids()):]:
             wh.load(part)
 
-    return _get(spark, _root(spark, sf_dir, "dirty") + "/incremental", build)
+    return _get(spark, _root(spark, sf_dir, "dirty") + "/incremental", build, loads=3)
 
 
 def streamed_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -185,11 +221,14 @@ def trained_models(spark: SparkSession, sf_dir: str):
             out = []
             for name, fit in (("efficiency", train_efficiency), ("failure", train_failure)):
                 path = f"{root}/{name}"
-                if _path_exists(spark, path + "/metadata/_SUCCESS"):
-                    out.append(PipelineModel.load(path))
-                else:
-                    m = fit(train)
-                    m.write().overwrite().save(path)
-                    out.append(m)
+                marker = f"{root}/{name}.complete"  # written after the whole model is saved
+
+                def fit_and_save(fit=fit, path=path, marker=marker) -> None:
+                    fit(train).write().overwrite().save(path)
+                    fs, p = _fs(spark, marker)
+                    fs.createNewFile(p)
+
+                _once(spark, f"{path}.lock", lambda marker=marker: _path_exists(spark, marker), fit_and_save)
+                out.append(PipelineModel.load(path))
             _MODELS[key] = tuple(out)
     return _MODELS[key]
