@@ -241,6 +241,10 @@ class Warehouse:
         out = df.select(*_schema(table).fieldNames()).withColumn("load_id", F.lit(load_id).cast("bigint"))
         if table in _DATED:
             out = out.withColumn("reading_date", date_partition(ts_of_time_key("time_key"), self.date_grain))
+        if table in _BUCKET_COLS:
+            # one writer task per bucket: otherwise every task writes a file for
+            # every bucket it happens to hold (tasks x buckets files per load)
+            out = out.repartition(self.buckets, *_BUCKET_COLS[table])
         w = out.write.mode("append").format("parquet").partitionBy(*self._partitions(table))
         if table in _BUCKET_COLS:
             cols = _BUCKET_COLS[table]
