@@ -122,3 +122,23 @@ def test_csv_messy_cells_become_rejects_not_failures(spark, tmp_path):
     filled = conv.where("machine_id = 2 AND reading_ts IS NOT NULL").first()
     assert filled["temperature_c"] == 0.0 and filled["efficiency_status"] == "0"
     assert conv.where("machine_id = 3").first()["temperature_c"] == 51.5
+
+
+def test_one_file_per_bucket_whatever_the_shuffle_width(spark):
+    import os
+
+    conv = as_converted(sensor_readings(spark, SF_SMALL))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}",
+                       buckets=4, date_grain="month")
+        wh.load(conv, with_rejects=False)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    local = wh.root.replace("file:", "")
+    for t in ("time_dim", "production_fact", "quality_fact"):
+        for d, _, files in os.walk(f"{local}/{t}"):
+            parts = [f for f in files if f.endswith(".parquet")]
+            assert len(parts) <= 4, (d, len(parts))
+    assert wh.star().production.count() == 1000
