@@ -76,3 +76,20 @@ def test_vacuum_removes_only_invisible_data(spark):
     assert all(p.startswith(base) for p in removed)
     fresh = Warehouse(spark, base, buckets=4)
     assert [sorted(t.collect()) for t in fresh.star()] == before
+
+
+def test_run_etl_from_csv_twice_adds_nothing(spark):
+    from plantpulse.etl import run_etl
+    from plantpulse.sources.files import write_source_csv
+
+    base = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
+    write_source_csv(sensor_readings(spark, SF_SMALL), f"{base}/csv")
+    first = run_etl(spark, f"{base}/csv", f"{base}/wh", staging=f"{base}/staging", buckets=4,
+                    date_grain="month", batch_key="csv-1")
+    again = run_etl(spark, f"{base}/csv", f"{base}/wh", buckets=4, date_grain="month", batch_key="csv-1")
+    assert first is not None and again is None
+    wh = Warehouse(spark, f"{base}/wh", buckets=4, date_grain="month")
+    assert wh.star().production.count() == 1000 and wh.rejects().count() == 0
+    run_etl(spark, f"{base}/csv", f"{base}/wh", buckets=4, date_grain="month", compact=True)
+    wh.refresh()
+    assert len(wh.committed_ids()) == 1 and wh.star().production.count() == 1000
