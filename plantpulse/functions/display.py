@@ -53,7 +53,8 @@ def fmt_plain_pct(c: str | Column) -> Column:
 
 
 _STYLES = {"py2": fmt_py2, "n2": fmt_n2, "plain2": fmt_plain2, "pct": fmt_pct,
-           "plain_pct": fmt_plain_pct, "py_pct": fmt_py_pct}
+           "plain_pct": fmt_plain_pct, "py_pct": fmt_py_pct,
+           "py_pct100": lambda c: fmt_py_pct(c, scale=100.0)}
 
 
 def display(df: DataFrame, styles: dict[str, str]) -> DataFrame:

@@ -417,6 +417,12 @@ FROM readings GROUP BY 1"""),
 SELECT CAST(hour(reading_ts) AS INTEGER) AS hour, {PLAIN2.format('AVG(speed_uph)')} AS avg_speed,
        {PLAIN2.format('AVG(error_rate_pct)')} || '%' AS avg_error_rate, COUNT(*) AS n_readings
 FROM readings GROUP BY 1"""),
+    "oee_two_factor_display": r(f"""
+, a AS (SELECT machine_id, AVG(speed_uph) / NULLIF(MAX(speed_uph), 0) AS speed_ratio,
+               1 - AVG(defect_rate_pct) / 100 AS quality FROM readings GROUP BY machine_id)
+SELECT machine_id, {PY2.format('speed_ratio')} AS speed_ratio, {PY2.format('quality * 100')} || '%' AS quality,
+       {PY2.format('speed_ratio * quality')} AS oee
+FROM a"""),
     "efficiency_display": r(f"""
 SELECT machine_id, efficiency_status, {PY2.format('AVG(speed_uph)')} AS avg_speed,
        {PY2.format('AVG(error_rate_pct)')} || '%' AS avg_error_rate, COUNT(*) AS n_readings

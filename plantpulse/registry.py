@@ -134,6 +134,10 @@ DISPLAYS: dict[str, Query] = {
     "efficiency_display": lambda s, d: display(
         analytics.machine_efficiency(clean_warehouse(s, d).star()),
         {"avg_speed": "py2", "avg_error_rate": "py_pct"}),
+    # the quality fraction shown as a percentage (x 100, then the sign)
+    "oee_two_factor_display": lambda s, d: display(
+        analytics.oee_two_factor(clean_warehouse(s, d).star()),
+        {"speed_ratio": "py2", "quality": "py_pct100", "oee": "py2"}),
 }
 
 
