@@ -61,9 +61,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (or the context's
-    checkpoint dir).  Only when neither is set (tests, a laptop) a fresh local
-    folder is chosen -- once per application, so every caller gets the same
-    root -- and given to the context for ``DataFrame.checkpoint()``.
+    checkpoint dir).  Only when neither is set *and* Spark runs in local mode
+    (tests, a laptop) a fresh local folder is chosen -- once per application,
+    so every caller gets the same root -- and given to the context for
+    ``DataFrame.checkpoint()``.  On a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
@@ -74,6 +75,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         if jdir.isDefined():
             _OWN_ROOT[app] = jdir.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                # a folder on the driver's disk is invisible to executors
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                                   "(HDFS / object store); it is where warehouses and checkpoints go")
             own = tempfile.mkdtemp(prefix="plantpulse-ckpt-")
             spark.sparkContext.setCheckpointDir(own)
             _OWN_ROOT[app] = own
