@@ -107,6 +107,7 @@ class Warehouse:
         self._ids: list[int] | None = None
         self._keys: set[str] = set()
         self._star: Star | None = None
+        self._latest = None
 
     # -- catalog ---------------------------------------------------------
     def name(self, table: str) -> str:
@@ -161,6 +162,7 @@ class Warehouse:
     def refresh(self) -> None:
         self._ids = None
         self._star = None
+        self._latest = None
         self._ensured = False
 
     def _commit(self, load_id: int, batch_key: str | None, supersedes: list[int] | None = None) -> None:
@@ -170,6 +172,7 @@ class Warehouse:
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_loads"))
         self._ids = None
         self._star = None
+        self._latest = None
 
     # -- read ------------------------------------------------------------
     def table(self, table: str, ids: list[int] | None = None, keep_partition_cols: bool = False,
@@ -200,6 +203,8 @@ class Warehouse:
         partition list (metadata; bounded by the number of partitions)."""
         import datetime as dt
 
+        if self._latest is not None:
+            return self._latest
         self.ensure_tables()
         live = set(self.committed_ids())
         best = None
@@ -208,6 +213,7 @@ class Warehouse:
             if int(parts["load_id"]) in live:
                 d = dt.date.fromisoformat(parts["reading_date"])
                 best = d if best is None or d > best else best
+        self._latest = best
         return best
 
     def star_since(self, first_day) -> Star:
