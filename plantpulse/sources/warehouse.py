@@ -106,6 +106,7 @@ class Warehouse:
         self._ensured = False
         self._ids: list[int] | None = None
         self._keys: set[str] = set()
+        self._key_of: dict[int, str | None] = {}
         self._star: Star | None = None
         self._latest = None
 
@@ -153,8 +154,14 @@ class Warehouse:
             dead = {i for r in rows for i in (r["supersedes"] or [])}
             self._ids = sorted(r["load_id"] for r in rows if r["load_id"] not in dead)
             self._keys = {r["batch_key"] for r in rows if r["batch_key"] is not None}
+            self._key_of = {r["load_id"]: r["batch_key"] for r in rows}
         return list(self._ids)
 
+    def live_ids_with_key_prefix(self, prefix: str) -> list[int]:
+        """Live loads whose batch key starts with ``prefix`` (e.g. the stream's
+        micro-batches not yet compacted)."""
+        return [i for i in self.committed_ids() if (self._key_of.get(i) or "").startswith(prefix)]
+
     def has_batch(self, batch_key: str) -> bool:
         self.committed_ids()
         return batch_key in self._keys

@@ -20,9 +20,14 @@ from plantpulse.sources.warehouse import Warehouse
 def start_incremental_load(spark: SparkSession, staging_path: str, wh: Warehouse,
                            checkpoint: str | None = None, available_now: bool = False,
                            max_files_per_trigger: int = 1000,
-                           processing_time: str = "1 minute") -> StreamingQuery:
+                           processing_time: str = "1 minute",
+                           compact_after: int | None = 50) -> StreamingQuery:
     """Start the stream.  ``available_now=True`` loads everything present and
-    stops (a catch-up run); otherwise it polls on ``processing_time``."""
+    stops (a catch-up run); otherwise it polls on ``processing_time``.
+
+    Every micro-batch adds a small partition to each table; once
+    ``compact_after`` of them are live they are rewritten as one load (only
+    the stream's own recent loads, never the large historical ones)."""
     checkpoint = checkpoint or f"{wh.root}/_stream_checkpoint"
     stream = (spark.readStream.schema(RAW)
               .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -30,6 +35,10 @@ def start_incremental_load(spark: SparkSession, staging_path: str, wh: Warehouse
 
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
         wh.load(convert(batch), batch_key=f"stream:{epoch_id}")
+        if compact_after:
+            recent = wh.live_ids_with_key_prefix("stream:")
+            if len(recent) >= compact_after:
+                wh.compact(recent)
 
     writer = stream.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)

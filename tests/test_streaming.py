@@ -23,10 +23,13 @@ def test_stream_in_many_batches_equals_batch_load(spark):
     for k in range(3):
         land_raw(raw.where(F.col("reading_id") % 3 == k).coalesce(1), f"{base}/staging")
     wh = Warehouse(spark, f"{base}/stream", buckets=4)
-    q = start_incremental_load(spark, f"{base}/staging", wh, available_now=True, max_files_per_trigger=1)
+    q = start_incremental_load(spark, f"{base}/staging", wh, available_now=True, max_files_per_trigger=1,
+                               compact_after=2)
     q.awaitTermination()
     wh.refresh()
-    assert len(wh.committed_ids()) == 3
+    # three micro-batches; the first two were compacted into one load
+    assert len(wh.committed_ids()) == 2
+    assert len(wh.log().collect()) == 4
     streamed = wh.star()
     batch = Warehouse(spark, f"{base}/batch", buckets=4)
     batch.load(convert(raw))
