@@ -104,6 +104,7 @@ class Warehouse:
             self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.prefix = "pp_" + hashlib.sha1(self.root.encode()).hexdigest()[:12]
         self._ensured = False
+        self._recover = False
         self._ids: list[int] | None = None
         self._keys: set[str] = set()
         self._key_of: dict[int, str | None] = {}
@@ -122,7 +123,8 @@ class Warehouse:
 
     def ensure_tables(self) -> None:
         """Create the five tables if absent (CREATE TABLE IF NOT EXISTS over a
-        fixed location), and pick up partitions written by other sessions."""
+        fixed location); a new catalog entry picks up the partitions already
+        on disk.  Appends through this class register their partitions."""
         if self._ensured:
             return
         for t in TABLES:
@@ -130,14 +132,23 @@ class Warehouse:
             if t in _BUCKET_COLS:
                 cols = ", ".join(_BUCKET_COLS[t])
                 spec = f" CLUSTERED BY ({cols}) SORTED BY ({cols}) INTO {self.buckets} BUCKETS"
+            if self.spark.catalog.tableExists(self.name(t)):
+                # a catalog entry tracks the partitions appended through it; pick
+                # up other applications' appends only when a refresh asked for it
+                if self._recover and _exists(self.spark, self.path(t)):
+                    self.spark.sql(f"ALTER TABLE {self.name(t)} RECOVER PARTITIONS")
+                continue
             extra = ", load_id BIGINT" + (", reading_date DATE" if t in _DATED else "")
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.name(t)} ({_ddl(_schema(t))}{extra}) "
                 f"USING parquet PARTITIONED BY ({', '.join(self._partitions(t))}){spec} "
                 f"LOCATION '{self.path(t)}'")
+            # partitions written by other sessions / applications: one listing
+            # when the catalog entry is new, never again afterwards
             if _exists(self.spark, self.path(t)):
                 self.spark.sql(f"ALTER TABLE {self.name(t)} RECOVER PARTITIONS")
         self._ensured = True
+        self._recover = False
 
     # -- commit log ------------------------------------------------------
     def log(self) -> DataFrame:
@@ -167,10 +178,13 @@ class Warehouse:
         return batch_key in self._keys
 
     def refresh(self) -> None:
+        """Forget cached state: the next read re-reads the commit log and
+        registers partitions other applications appended."""
         self._ids = None
         self._star = None
         self._latest = None
         self._ensured = False
+        self._recover = True
 
     def _commit(self, load_id: int, batch_key: str | None, supersedes: list[int] | None = None) -> None:
         (self.spark.createDataFrame([(load_id, batch_key, supersedes)],
