@@ -315,6 +315,10 @@ MODE_CODES = """codes AS (SELECT operation_mode,
 
 CHART_SQL = {
     "filtered_readings": r(f"SELECT * FROM readings WHERE {FILTER}"),
+    "filtered_star_readings": r(f"""
+SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
+       speed_uph, error_rate_pct, defect_rate_pct, latency_ms, packet_loss_pct, pm_score
+FROM readings WHERE {FILTER}"""),
     "filtered_readings_machine_mode": r("""
 SELECT * FROM readings
 WHERE reading_ts >= TIMESTAMP '2024-01-02' AND reading_ts <= TIMESTAMP '2024-01-29'

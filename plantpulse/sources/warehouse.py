@@ -240,16 +240,24 @@ class Warehouse:
     def star_since(self, first_day) -> Star:
         """The live star with the time dimension and facts pruned to date
         partitions on or after ``first_day`` (partition pruning at the scan)."""
+        return self.star_between(first_day, None)
+
+    def star_between(self, first_day, last_day=None) -> Star:
+        """The live star pruned to date partitions that can hold readings from
+        ``first_day`` through ``last_day`` (inclusive; None = open end).  The
+        bounds are literals on the partition column, so the scans skip every
+        other partition; callers still filter exact timestamps."""
         import datetime as dt
 
         self.committed_ids()
         if self.date_grain == "month":
             first_day = first_day.replace(day=1)
-        lit = F.lit(dt.date.isoformat(first_day)).cast("date")
+        cond = F.col("reading_date") >= F.lit(dt.date.isoformat(first_day)).cast("date")
+        if last_day is not None:
+            cond = cond & (F.col("reading_date") <= F.lit(dt.date.isoformat(last_day)).cast("date"))
 
         def pruned(t: str) -> DataFrame:
-            df = self.table(t, keep_partition_cols=True)
-            return df.where(F.col("reading_date") >= lit).drop("load_id", "reading_date")
+            return self.table(t, keep_partition_cols=True).where(cond).drop("load_id", "reading_date")
 
         return Star(self.table("machine_dim"), pruned("time_dim"), pruned("production_fact"),
                     pruned("quality_fact"))

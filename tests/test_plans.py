@@ -100,3 +100,27 @@ def test_kpi_trend_prunes_to_newest_partitions(spark):
                            if "reading_date" in f), filters
     # the anchor aggregate (planned for both window sides) and the two window scans, all pruned
     assert sum("reading_date" in f for f in filters) == 4
+
+
+def test_dashboard_range_prunes_date_partitions(spark):
+    import datetime as dt
+    import uuid
+
+    from plantpulse.operators import charts
+    from plantpulse.operators.clean import as_converted
+    from plantpulse.plans.config import checkpoint_root
+    from plantpulse.plans.inspect import plan_formatted
+    from plantpulse.sources.fixture import sensor_readings
+    from plantpulse.sources.warehouse import Warehouse
+
+    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}",
+                   buckets=4, date_grain="day")
+    flat = sensor_readings(spark, SF_SMALL)
+    wh.load(as_converted(flat), with_rejects=False)
+    kw = {"start": "2024-01-08", "end": "2024-01-21", "hours": (8, 17)}
+    df = charts.filter_readings(A.readings_view(wh.star_between(dt.date(2024, 1, 8), dt.date(2024, 1, 21))), **kw)
+    expect = charts.filter_readings(flat, **kw).drop("reading_id")
+    assert sorted(df.collect()) == sorted(expect.select(*df.columns).collect())
+    filters = [f for f in re.findall(r"PartitionFilters: \[[^\n]*\]", plan_formatted(df)) if "fact" in f or True]
+    dated = [f for f in filters if "reading_date" in f]
+    assert len(dated) == 2 and all(">= 2024-01-08" in f and "<= 2024-01-21" in f for f in dated)
