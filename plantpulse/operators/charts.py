@@ -110,15 +110,22 @@ def score_histogram(df: DataFrame, col: str = "pm_score", bins: int = HISTOGRAM_
 
 def filter_domains(readings: DataFrame) -> DataFrame:
     """Choices for the filters as (kind, code, label) rows: first / last day,
-    each machine id, each operation mode with its code."""
+    each machine id, each operation mode with its alphabetical code.
+
+    Two scans: one aggregate for the days, and one distinct over both
+    machines and modes (its shuffle is shared by the two branches below)."""
     days = readings.agg(F.to_date(F.min("reading_ts")).alias("d0"), F.to_date(F.max("reading_ts")).alias("d1"))
     dates = days.select(F.inline(F.array(
         F.struct(F.lit("date").alias("kind"), F.lit(0).alias("code"), F.col("d0").cast("string").alias("label")),
         F.struct(F.lit("date").alias("kind"), F.lit(1).alias("code"), F.col("d1").cast("string").alias("label")))))
-    machines = readings.select(F.lit("machine").alias("kind"), F.col("machine_id").alias("code"),
-                               F.col("machine_id").cast("string").alias("label")).distinct()
-    modes = mode_codes(readings).select(F.lit("mode").alias("kind"), F.col("mode_code").alias("code"),
-                                        F.col("operation_mode").alias("label"))
+    items = readings.select(F.inline(F.array(
+        F.struct(F.lit("machine").alias("kind"), F.col("machine_id").alias("code"),
+                 F.col("machine_id").cast("string").alias("label")),
+        F.struct(F.lit("mode").alias("kind"), F.lit(None).cast("int").alias("code"),
+                 F.col("operation_mode").alias("label"))))).where(F.col("label").isNotNull()).distinct()
+    machines = items.where(F.col("kind") == "machine")
+    modes = (items.where(F.col("kind") == "mode")  # a handful of rows
+             .withColumn("code", F.dense_rank().over(Window.orderBy("label")) - 1))
     return dates.unionByName(machines).unionByName(modes).orderBy("kind", "code")
 
 
