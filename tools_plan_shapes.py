@@ -9,12 +9,13 @@ broadcast (as at any volume) and the facts are not (as at 100 TB).
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 
 
 def main() -> None:
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from plantpulse.plans.config import get_session
     from plantpulse.plans.inspect import plan_formatted
     from plantpulse.registry import QUERIES
