@@ -62,7 +62,7 @@ def _run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     os.environ.setdefault("PLANTPULSE_DRIVER_MEMORY", "16g")
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus)
 
