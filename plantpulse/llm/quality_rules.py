@@ -25,6 +25,9 @@ from plantpulse.llm.common import let, table, words, write_shared
 SAMPLE_ROWS = 2_000
 SYMBOLS = "[#*$%&|<>]"
 GRAM = 5
+BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+#: What ``quality_rules`` adds.
+RULE_COLUMNS = (*BASE_COLUMNS, "failed_rule", "kept")
 
 
 @dataclass(frozen=True)
@@ -72,8 +75,7 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    kept = docs.drop(*[c for c in own if c in docs.columns])
+    kept = docs.drop(*[c for c in RULE_COLUMNS if c in docs.columns])
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = let(words(F.col(text)), lambda w: F.struct(
         F.size(w).cast("bigint").alias("n_words"),
