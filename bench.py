@@ -28,9 +28,7 @@ from plantpulse.plans.config import checkpoint_root, get_session  # noqa: E402
 from plantpulse.registry import QUERIES  # noqa: E402
 from plantpulse.sources.fixture import sensor_readings  # noqa: E402
 from plantpulse.sources.warehouse import Warehouse  # noqa: E402
-from plantpulse.warehouses import (  # noqa: E402
-    TEST_BUCKETS, TEST_DATE_GRAIN, clean_warehouse, dirty_warehouse, trained_models,
-)
+from plantpulse.warehouses import TEST_DATE_GRAIN, clean_warehouse, dirty_warehouse, trained_models
 
 HEADLINE = [
     # the eighteen analyses
@@ -85,7 +83,7 @@ def main() -> None:
 
     # a full load of the star from the readings into a fresh warehouse folder
     fresh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-bench/{uuid.uuid4().hex}",
-                      buckets=TEST_BUCKETS, date_grain=TEST_DATE_GRAIN)
+                      date_grain=TEST_DATE_GRAIN)
     t0 = time.perf_counter()
     fresh.load(as_converted(sensor_readings(spark, sf_dir)), with_rejects=False)
     timings["etl_load"] = time.perf_counter() - t0

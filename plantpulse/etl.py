@@ -10,28 +10,39 @@ already in the star); ``--batch-key`` makes a replay skip even the rejects.
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 
 from pyspark.sql import SparkSession
 
-from plantpulse.operators.clean import convert
-from plantpulse.schema import RAW
-from plantpulse.sources.files import land_raw, read_csv
-from plantpulse.sources.warehouse import Warehouse
+if __name__ == "__main__":  # started as a script: the package is one folder up
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from plantpulse.operators.clean import convert  # noqa: E402
+from plantpulse.plans.config import scale_conf  # noqa: E402
+from plantpulse.schema import RAW  # noqa: E402
+from plantpulse.sources.files import land_raw, read_csv  # noqa: E402
+from plantpulse.sources.warehouse import Warehouse  # noqa: E402
 
 
 def run_etl(spark: SparkSession, source: str, warehouse: str, staging: str | None = None,
-            source_format: str = "csv", buckets: int = 0, date_grain: str = "day",
+            source_format: str = "csv", date_grain: str | None = None,
             batch_key: str | None = None, compact: bool = False) -> int | None:
-    """Load one source batch; returns the committed load id (None if skipped)."""
+    """Load one source batch; returns the committed load id (None if a batch of
+    this key is loaded already; nothing is staged then).  An empty source raises."""
+    wh = Warehouse(spark, warehouse, date_grain=date_grain)
+    if batch_key is not None and wh.has_batch(batch_key):
+        return None
     if source_format == "csv":
         raw = read_csv(spark, source)
     elif source_format == "parquet":
         raw = spark.read.schema(RAW).parquet(source)
     else:
         raise ValueError("source_format must be 'csv' or 'parquet'")
+    if raw.isEmpty():
+        raise ValueError(f"no records in {source}")
     if staging:
         land_raw(raw, staging)
-    wh = Warehouse(spark, warehouse, buckets=buckets, date_grain=date_grain)
     load_id = wh.load(convert(raw), batch_key=batch_key)
     if compact:
         wh.compact()
@@ -45,14 +56,17 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--warehouse", required=True)
     ap.add_argument("--staging")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
-    ap.add_argument("--buckets", type=int, default=0)
-    ap.add_argument("--date-grain", default="day", choices=["day", "month"])
+    ap.add_argument("--date-grain", choices=["day", "month"])
     ap.add_argument("--batch-key")
     ap.add_argument("--compact", action="store_true")
     a = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("plantpulse-etl").getOrCreate()
-    load_id = run_etl(spark, a.source, a.warehouse, a.staging, a.format, a.buckets, a.date_grain,
-                      a.batch_key, a.compact)
+    builder = SparkSession.builder.appName("plantpulse-etl")
+    width = os.environ.get("PLANTPULSE_SHUFFLE_PARTITIONS")
+    conf = scale_conf(int(width) if width else 200)
+    if not width:
+        del conf["spark.sql.shuffle.partitions"]  # the cluster's own setting
+    spark = builder.config(map=conf).getOrCreate()
+    load_id = run_etl(spark, a.source, a.warehouse, a.staging, a.format, a.date_grain, a.batch_key, a.compact)
     print(f"committed load {load_id}" if load_id else "batch already loaded")
 
 

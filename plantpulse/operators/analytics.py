@@ -145,14 +145,15 @@ def _active_per_machine(star: Star, *aggs: Column) -> DataFrame:
 def least_energy_efficient(star: Star, n: int = TOP_N, order: str = "numeric") -> DataFrame:
     """Active machines with the highest mean power per unit of speed (the mean
     of per-reading ratios; a zero speed gives no ratio and is skipped).
-    The ratio mean is rounded to 9 digits, and ranked on that value."""
+    Ranked on the unrounded mean; the output shows 9 digits."""
     agg = _active_per_machine(
         star,
-        F.round(F.avg(safe_ratio("power_kw", "speed_uph")), 9).alias("avg_power_per_unit"),
+        F.avg(safe_ratio("power_kw", "speed_uph")).alias("avg_power_per_unit"),
         F.avg("power_kw").alias("avg_power"), F.avg("speed_uph").alias("avg_speed"))
     out = _first(with_machine_id(agg, star), "machine_id")
     key = fmt_pct("avg_power_per_unit") if order == "text" else F.col("avg_power_per_unit")
-    return out.orderBy(key.desc_nulls_last(), "machine_id").limit(n)
+    return out.orderBy(key.desc_nulls_last(), "machine_id").limit(n) \
+        .withColumn("avg_power_per_unit", F.round("avg_power_per_unit", 9))
 
 
 # Q10 -----------------------------------------------------------------------
@@ -283,13 +284,11 @@ _STATUS_COLS = ["operation_mode", "temperature_c", "vibration_hz", "speed_uph",
 
 
 def latest_status(star: Star) -> DataFrame:
-    """Last reading of every machine.  ``max(struct(time_key, ...))`` is an
-    aggregate with a map-side partial step, so a machine with very many
-    readings costs one partial row per task, not one task for the machine."""
-    last = (star.production.groupBy("machine_key")
-            .agg(F.max(F.struct("time_key", *_STATUS_COLS)).alias("_last")))
-    flat = last.select("machine_key", *[F.col(f"_last.{c}").alias(c) for c in _STATUS_COLS],
-                       ts_of_time_key("_last.time_key").alias("reading_ts"))
+    """Last reading of every machine: the largest time key per machine (a hash
+    aggregate over one long, with a map-side partial step), joined back on the
+    unique pair of keys."""
+    last = star.production.groupBy("machine_key").agg(F.max("time_key").alias("time_key"))
+    flat = star.production.join(last, KEYS).select("machine_key", *_STATUS_COLS, ts_of_time_key().alias("reading_ts"))
     return _first(with_machine_id(flat, star), "machine_id").orderBy("machine_id")
 
 
@@ -320,21 +319,38 @@ def alerts(star: Star) -> DataFrame:
 
 
 # Q17 -----------------------------------------------------------------------
+_RANK_RANGES = 64
+
+
+def ranked(rows: DataFrame, value: str, rank: str, descending: bool = False) -> DataFrame:
+    """``rows`` plus the rank of ``value`` (ties share the smallest; NULL is least).
+
+    No window spans all rows: values fall into up to 64 ranges between
+    quantiles (one row of numbers), rows are ranked inside their range, and the
+    rows of earlier ranges (64 counts) are added."""
+    edges = rows.agg(F.percentile_approx(value, [i / _RANK_RANGES for i in range(1, _RANK_RANGES)], 10_000).alias("_edges"))
+    at = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(value))))
+    placed = rows.crossJoin(F.broadcast(edges)).withColumn("_range", -at if descending else at).drop("_edges")
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.rank().over(Window.partitionBy("_range").orderBy(F.desc(value) if descending else F.asc(value)))
+    return placed.withColumn("_own", own).join(F.broadcast(before), "_range") \
+        .withColumn(rank, (F.col("_own") + F.col("_before")).cast("int")).drop("_range", "_own", "_before")
+
+
 def productivity_ranking(star: Star) -> DataFrame:
     """Active machines ranked three ways: speed (high first), error rate and
-    power per unit (low first).  The rank windows run over the aggregated
-    frame -- one row per machine -- never over readings."""
+    power per unit (low first), on unrounded values."""
     agg = _active_per_machine(
         star, F.avg("speed_uph").alias("avg_speed"), F.avg("error_rate_pct").alias("avg_error_rate"),
-        F.round(F.avg(safe_ratio("power_kw", "speed_uph")), 9).alias("avg_power_per_unit"))
+        F.avg(safe_ratio("power_kw", "speed_uph")).alias("avg_power_per_unit"))
     per = with_machine_id(agg, star)
-    ranked = per.select(
-        "machine_id",
-        "avg_speed", F.rank().over(Window.orderBy(F.desc("avg_speed"))).alias("speed_rank"),
-        "avg_error_rate", F.rank().over(Window.orderBy(F.asc("avg_error_rate"))).alias("error_rank"),
-        "avg_power_per_unit",
-        F.rank().over(Window.orderBy(F.asc("avg_power_per_unit"))).alias("energy_rank"))
-    return ranked.orderBy("speed_rank", "machine_id")
+    out = ranked(ranked(ranked(per, "avg_speed", "speed_rank", descending=True), "avg_error_rate", "error_rank"),
+                 "avg_power_per_unit", "energy_rank")
+    return out.select("machine_id", "avg_speed", "speed_rank", "avg_error_rate", "error_rank",
+                      F.round("avg_power_per_unit", 9).alias("avg_power_per_unit"), "energy_rank") \
+        .orderBy("speed_rank", "machine_id")
 
 
 # Q18 -----------------------------------------------------------------------
@@ -380,3 +396,16 @@ ANALYSES = {
     "productivity_ranking": productivity_ranking,
     "deviant_machines": deviant_machines,
 }
+
+
+VIEWS = ("machine_dim", "time_dim", "production_fact", "quality_fact")
+
+
+def run(star: Star, query: str) -> DataFrame:
+    """An analysis by name, or SQL text over the star's tables under their
+    stable names (``VIEWS``, as temporary views of the session)."""
+    if query in ANALYSES:
+        return ANALYSES[query](star)
+    for name, frame in zip(VIEWS, (star.machine_dim, star.time_dim, star.production, star.quality), strict=True):
+        frame.createOrReplaceTempView(name)
+    return star.production.sparkSession.sql(query)

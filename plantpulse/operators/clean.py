@@ -22,8 +22,15 @@ def parse_ts(df: DataFrame, col: str = "reading_ts") -> DataFrame:
     return df.withColumn(col, F.col(col).try_cast("timestamp_ntz"))
 
 
-def with_time_parts(df: DataFrame, col: str = "reading_ts") -> DataFrame:
-    return df.withColumns({"hour": F.hour(col), "minute": F.minute(col)})
+#: Texts that the usual CSV reader (pandas ``read_csv``) takes for a missing cell.
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def blank_missing(raw: DataFrame) -> DataFrame:
+    """Text cells that stand for a missing value become NULL."""
+    return raw.withColumns({f.name: F.when(~F.col(f.name).isin(MISSING_TEXTS), F.col(f.name))
+                            for f in raw.schema.fields if f.dataType.simpleString() == "string"})
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -32,6 +39,7 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     One aggregate pass (partial counts per task, one tiny final merge), then
     an unpivot of the single result row."""
     columns = columns or [c for c in df.columns if c != "reading_id"]
+    df = blank_missing(df)
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return (counts.unpivot([], columns, "column_name", "n_null")
             .where(F.col("n_null") > 0))
@@ -42,11 +50,14 @@ def fill_missing(raw: DataFrame, timestamp: str = "reject") -> DataFrame:
 
     ``timestamp='reject'`` (default) leaves a missing timestamp missing so the
     row is rejected; ``'zero'`` reproduces filling it with the epoch (a fake
-    1970 reading, which would pollute any daily analysis)."""
+    1970 reading, which would pollute any daily analysis) and a missing machine
+    id with 0.  Texts that stand for a missing value count as missing."""
+    raw = blank_missing(raw)
     fills = {m: F.coalesce(F.col(m), F.lit("0")) for m in MEASURES}
     fills.update({c: F.coalesce(F.col(c), F.lit("0")) for c in CATEGORIES})
     if timestamp == "zero":
         fills["reading_ts"] = F.coalesce(F.col("reading_ts"), F.lit(_EPOCH_TEXT))
+        fills["machine_id"] = F.coalesce(F.col("machine_id"), F.lit("0"))
     elif timestamp != "reject":
         raise ValueError("timestamp must be 'reject' or 'zero'")
     return raw.withColumns(fills)
@@ -58,6 +69,12 @@ def _bad_measures(cols: list[str]) -> Column:
     return F.when(s != "", s)
 
 
+def _number(col: str) -> Column:
+    """The number in a text; NULL where there is none, and for NaN and infinities."""
+    x = F.col(col).try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def convert(raw: DataFrame, timestamp: str = "reject") -> DataFrame:
     """Raw strings -> typed readings plus three reason columns.
 
@@ -77,8 +94,8 @@ def convert(raw: DataFrame, timestamp: str = "reject") -> DataFrame:
         mid.alias("machine_id"),
         ts.alias("reading_ts"),
         *CATEGORIES,
-        *[F.col(m).try_cast("double").alias(m) for m in MEASURES],
-        *[F.col(m).try_cast("double").isNull().alias(f"_{m}_bad") for m in MEASURES],
+        *[_number(m).alias(m) for m in MEASURES],
+        *[_number(m).isNull().alias(f"_{m}_bad") for m in MEASURES],
         key_reason.alias("key_reason"),
     )
     out = typed.withColumns({
@@ -115,10 +132,6 @@ def rejects(converted: DataFrame) -> DataFrame:
             .select("reading_id", target.alias("target"), reason.alias("reason")))
 
 
-def with_load_ts(df: DataFrame) -> DataFrame:
-    return df.withColumn("load_ts", F.current_timestamp())
-
-
 def strict_check(converted: DataFrame) -> None:
     """Optional all-or-nothing mode: raise if any row has a bad key."""
     bad = converted.where(F.col("key_reason").isNotNull()).limit(1).collect()

@@ -75,23 +75,20 @@ def mtbf(star: Star) -> DataFrame:
                  gaps.alias("n_gaps"))
 
 
-def kpi_trend(star: Star, hours: int = 2) -> DataFrame:
+def kpi_trend(source, hours: int = 2) -> DataFrame:
     """KPIs for the last ``hours`` vs the ``hours`` before (one row per KPI).
 
-    Only the newest ``2 * hours`` matter, so over a date-partitioned warehouse
-    pass ``Warehouse.star_since(...)`` (see :func:`recent_star`) and the scans
-    read the newest partitions only."""
+    ``source`` is a warehouse, whose partitions are pruned for the same
+    ``hours`` (:func:`recent_star`), or a star, read whole.  The newest time key is
+    looked up first (one number), so that the window is a literal that reaches
+    the scans of both facts."""
+    star = source if isinstance(source, Star) else recent_star(source, hours)
     win = hours * MICROS_PER_HOUR
-    anchor = F.broadcast(star.production.agg(F.max("time_key").alias("_anchor")))  # one row
+    last = star.production.agg(F.max("time_key")).first()[0] or 0
     tk = F.col("time_key")
-
-    def window_rows(df: DataFrame) -> DataFrame:
-        # keep only the two windows on each side *before* the fact-fact join
-        return df.crossJoin(anchor).where(tk > F.col("_anchor") - 2 * win)
-
-    tag = F.when(tk > F.col("_anchor") - win, "recent").otherwise("previous")
-    j = (window_rows(star.production)
-         .join(window_rows(star.quality).drop("_anchor"), ["machine_key", "time_key"])
+    tag = F.when(tk > last - win, "recent").otherwise("previous")
+    j = (star.production.where(tk > last - 2 * win)
+         .join(star.quality.where(tk > last - 2 * win), ["machine_key", "time_key"])
          .withColumn("_tag", tag))
     f = is_failure()
     per = (j.groupBy("_tag", "machine_key").agg(

@@ -50,13 +50,30 @@ def failure_labels(readings: DataFrame) -> DataFrame:
     return readings.select("reading_id", risk_label().alias("failure_label"))
 
 
+def _complete() -> Column:
+    """Whether a row has every feature, as a number (NaN is none) or a mode."""
+    cond = F.col("operation_mode").isNotNull()
+    for c in MEASURES:
+        cond = cond & F.col(c).isNotNull() & ~F.isnan(c)
+    return cond
+
+
 def incomplete_inputs(rows: DataFrame) -> DataFrame:
-    """Scoring refuses a row with any missing feature: status per row."""
-    complete = None
-    for c in [*MEASURES, "operation_mode"]:
-        cond = F.col(c).isNotNull()
-        complete = cond if complete is None else complete & cond
-    return rows.select("reading_id", F.when(complete, "ready").otherwise("incomplete").alias("status"))
+    """Scoring answers 'incomplete' for a row with any missing feature: status per row."""
+    return rows.select("reading_id", F.when(_complete(), "ready").otherwise("incomplete").alias("status"))
+
+
+def _to_score(rows: DataFrame) -> DataFrame:
+    """Every row with its ``status``; missing features get a stand-in, so that
+    no stage of the model drops the row (its answer is blanked afterwards)."""
+    marked = rows.withColumn("status", F.when(_complete(), "scored").otherwise("incomplete"))
+    return marked.withColumns({
+        "operation_mode": F.coalesce("operation_mode", F.lit("")),
+        **{c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in MEASURES}})
+
+
+def _if_scored(answer) -> Column:
+    return F.when(F.col("status") == "scored", answer)
 
 
 def _stages(label_col: str | None, label_out: str):
@@ -71,37 +88,37 @@ def _stages(label_col: str | None, label_out: str):
     return stages + [asm, rf]
 
 
+def _spread(train: DataFrame) -> DataFrame:
+    """Complete rows, dealt out by id: one input file must not mean one fitting task."""
+    return train.where(_complete()).repartition("reading_id")
+
+
 def train_efficiency(train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=_stages("efficiency_status", "label")).fit(train)
+    return Pipeline(stages=_stages("efficiency_status", "label")).fit(_spread(train))
 
 
 def train_failure(train: DataFrame) -> PipelineModel:
     """Binary forest on the failure label.  Note the label is a function of
     two of the features, so a near-perfect score here proves nothing."""
     return Pipeline(stages=_stages(None, "failure_label")).fit(
-        train.withColumn("failure_label", risk_label().cast("double")))
+        _spread(train).withColumn("failure_label", risk_label().cast("double")))
 
 
 def score_efficiency(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """One row per input row: status 'scored' with the predicted label, or 'incomplete' with none."""
     labels = model.stages[1].labels
-    out = model.transform(rows.where(_complete()))
+    out = model.transform(_to_score(rows))
     out = IndexToString(inputCol="prediction", outputCol="predicted_status", labels=labels).transform(out)
-    return out.select("reading_id", "predicted_status")
+    return out.select("reading_id", "status", _if_scored(F.col("predicted_status")).alias("predicted_status"))
 
 
 def score_failure(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Failure probability in percent with one decimal (class 1 of the forest)."""
-    out = model.transform(rows.where(_complete()))
+    """Failure probability in percent with one decimal (class 1 of the forest),
+    NULL for incomplete rows."""
+    out = model.transform(_to_score(rows))
     p = vector_to_array("probability")
     prob = F.when(F.size(p) > 1, p[1]).otherwise(F.lit(0.0))
-    return out.select("reading_id", F.round(prob * 100.0, 1).alias("failure_probability_pct"))
-
-
-def _complete() -> Column:
-    cond = F.col("operation_mode").isNotNull()
-    for c in MEASURES:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+    return out.select("reading_id", "status", _if_scored(F.round(prob * 100.0, 1)).alias("failure_probability_pct"))
 
 
 def evaluate(eff_model: PipelineModel, fail_model: PipelineModel, test: DataFrame) -> DataFrame:

@@ -33,10 +33,10 @@ raw1 AS (
     operation_mode, efficiency_status,
     CASE WHEN reading_id % 97 = 0 THEN NULL WHEN reading_id % 101 = 0 THEN 'bad'
          ELSE CAST(temperature_c AS VARCHAR) END AS temperature_c,
-    CAST(vibration_hz AS VARCHAR) AS vibration_hz, CAST(power_kw AS VARCHAR) AS power_kw,
+    CAST(vibration_hz AS VARCHAR) AS vibration_hz, CASE WHEN reading_id % 109 = 0 THEN NULL ELSE CAST(power_kw AS VARCHAR) END AS power_kw,
     CAST(speed_uph AS VARCHAR) AS speed_uph, CAST(error_rate_pct AS VARCHAR) AS error_rate_pct,
     CASE WHEN reading_id % 107 = 0 THEN 'bad' ELSE CAST(defect_rate_pct AS VARCHAR) END AS defect_rate_pct,
-    CAST(latency_ms AS VARCHAR) AS latency_ms, CAST(packet_loss_pct AS VARCHAR) AS packet_loss_pct,
+    CASE WHEN reading_id % 127 = 0 THEN NULL ELSE CAST(latency_ms AS VARCHAR) END AS latency_ms, CAST(packet_loss_pct AS VARCHAR) AS packet_loss_pct,
     CAST(pm_score AS VARCHAR) AS pm_score
   FROM readings),
 raw AS (SELECT * FROM raw1 UNION ALL SELECT * FROM raw1 WHERE reading_id % 89 = 0),
@@ -210,6 +210,7 @@ WHERE sd_speed > mean_sd_speed OR sd_temperature > mean_sd_temperature OR sd_vib
 ORDER BY sd_speed DESC, machine_id"""),
 }
 
+ANALYSES_SQL["machine_efficiency_sql"] = ANALYSES_SQL["machine_efficiency"]
 ANALYSES_SQL["pre_failure_conditions_any_reading"] = r("""
 , f AS (
   SELECT machine_id, error_rate_pct,
@@ -323,23 +324,23 @@ FROM readings WHERE {FILTER}"""),
 SELECT * FROM readings
 WHERE reading_ts >= TIMESTAMP '2024-01-02' AND reading_ts <= TIMESTAMP '2024-01-29'
   AND machine_id = 7 AND operation_mode = 'Active'"""),
-    "data_status": r(f"""
+    "data_status": r("""
 SELECT COUNT(*) AS n_rows, CASE WHEN COUNT(*) > 0 THEN 'ok' ELSE 'no data' END AS status
-FROM readings WHERE {FILTER}"""),
-    "production_series": r(f"SELECT machine_id, reading_ts, speed_uph FROM readings WHERE {FILTER}"),
-    "error_series": r(f"SELECT machine_id, reading_ts, error_rate_pct FROM readings WHERE {FILTER}"),
+FROM readings"""),
+    "production_series": r("SELECT machine_id, reading_ts, speed_uph FROM readings"),
+    "error_series": r("SELECT machine_id, reading_ts, error_rate_pct FROM readings"),
     "production_series_15min": r("""
 SELECT machine_id, time_bucket(INTERVAL 15 MINUTE, reading_ts) AS bucket_start,
        AVG(speed_uph) AS speed_uph, COUNT(*) AS n_readings
 FROM readings GROUP BY 1, 2"""),
-    "means_by_mode": r(f"""
+    "means_by_mode": r("""
 SELECT operation_mode, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
-FROM readings WHERE {FILTER} GROUP BY 1"""),
-    "means_by_machine": r(f"""
+FROM readings GROUP BY 1"""),
+    "means_by_machine": r("""
 SELECT machine_id, AVG(speed_uph) AS avg_speed, AVG(error_rate_pct) AS avg_error_rate
-FROM readings WHERE {FILTER} GROUP BY 1"""),
-    "score_histogram": r(f"""
-, f AS (SELECT pm_score FROM readings WHERE {FILTER} AND pm_score IS NOT NULL),
+FROM readings GROUP BY 1"""),
+    "score_histogram": r("""
+, f AS (SELECT pm_score FROM readings WHERE pm_score IS NOT NULL),
 b AS (SELECT MIN(pm_score) AS lo, MAX(pm_score) AS hi FROM f),
 x AS (SELECT CAST(CASE WHEN hi = lo THEN 0
                        ELSE LEAST(FLOOR((pm_score - lo) / ((hi - lo) / 30)), 29) END AS INTEGER) AS bin, lo, hi
@@ -451,4 +452,15 @@ SELECT reading_id,
         AND latency_ms IS NOT NULL AND packet_loss_pct IS NOT NULL AND pm_score IS NOT NULL
         AND operation_mode IS NOT NULL THEN 'ready' ELSE 'incomplete' END AS status
 FROM conv"""),
+    # what every scored row must satisfy: answered when complete (a known label, a percentage), else not
+    **{name: d("""
+SELECT reading_id, CASE WHEN ok THEN 'scored' ELSE 'incomplete' END AS status, ok AS answered
+FROM (SELECT reading_id, (temperature_c IS NOT NULL AND vibration_hz IS NOT NULL AND power_kw IS NOT NULL
+        AND speed_uph IS NOT NULL AND error_rate_pct IS NOT NULL AND defect_rate_pct IS NOT NULL
+        AND latency_ms IS NOT NULL AND packet_loss_pct IS NOT NULL AND pm_score IS NOT NULL
+        AND operation_mode IS NOT NULL) AS ok FROM conv)""") for name in ("efficiency_scores", "failure_scores")},
+    # share of the test rows as a floor for the label accuracy; the failure label is a function of two features
+    "model_metrics": r("""
+SELECT * FROM (VALUES ('efficiency', 'accuracy', TRUE), ('efficiency', 'f1', TRUE), ('failure', 'area_under_roc', TRUE))
+  t(model, metric, plausible)"""),
 }

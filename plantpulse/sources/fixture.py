@@ -90,7 +90,8 @@ def dirty_raw(readings: DataFrame) -> DataFrame:
     Fault rules by reading id (fixed, shared with the SQL oracle): id % 211 = 0
     gets machine id 'bad'; id % 103 = 0 a missing timestamp; id % 97 = 0 a
     missing temperature; else id % 101 = 0 temperature 'bad'; id % 107 = 0
-    defect rate 'bad'; rows with id % 89 = 0 arrive twice (exact duplicates).
+    defect rate 'bad'; id % 109 = 0 power 'NaN' and id % 127 = 0 latency 'N/A' (texts for
+    missing); rows with id % 89 = 0 arrive twice (exact duplicates).
     Every row of the input flows through; the rules only add faults.
     """
     rid = F.col("reading_id")
@@ -99,6 +100,8 @@ def dirty_raw(readings: DataFrame) -> DataFrame:
         "reading_ts": F.when(rid % 103 == 0, F.lit(None).cast("string")).otherwise(F.col("reading_ts")),
         "temperature_c": (F.when(rid % 97 == 0, F.lit(None).cast("string"))
                           .when(rid % 101 == 0, F.lit("bad")).otherwise(F.col("temperature_c"))),
+        "power_kw": F.when(rid % 109 == 0, F.lit("NaN")).otherwise(F.col("power_kw")),
+        "latency_ms": F.when(rid % 127 == 0, F.lit("N/A")).otherwise(F.col("latency_ms")),
         "defect_rate_pct": F.when(rid % 107 == 0, F.lit("bad")).otherwise(F.col("defect_rate_pct")),
     })
     return raw.unionByName(raw.where(rid % 89 == 0))

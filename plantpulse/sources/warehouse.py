@@ -1,33 +1,36 @@
-"""The persisted star: bucketed Parquet tables with load-level commits.
+"""The persisted star: Parquet tables partitioned by load and reading date, with load-level commits.
 
 Layout under ``root``::
 
     machine_dim/load_id=<n>/...                       tiny; broadcast by the planner on real file size
-    time_dim/load_id=<n>/reading_date=<d>/...         bucketed by time_key
-    production_fact/load_id=<n>/reading_date=<d>/...  bucketed + sorted by (machine_key, time_key)
-    quality_fact/load_id=<n>/reading_date=<d>/...     same bucketing -> fact-fact join has no shuffle
+    time_dim/load_id=<n>/reading_date=<d>/...
+    production_fact/load_id=<n>/reading_date=<d>/...
+    quality_fact/load_id=<n>/reading_date=<d>/...
     rejects/load_id=<n>/...                           dead-letter rows of each load
+    _layout/                                          the date grain, written once with the first table
     _loads/                                           commit log: one row per committed load
 
 Why this shape at scale
 -----------------------
-* Both facts share the bucket spec on *both* grain keys, so the production x
-  quality join is a sort-merge join with no exchange, and a machine that holds
-  a third of all rows is still spread over every bucket (hashing the pair, not
-  the machine).
+* The layout is stored with the data: whoever opens the warehouse reads the
+  grain it was written with, and asking for another one is an error.
+* Facts are not bucketed.  The production x quality join shuffles the pruned
+  columns on both grain keys, so its task count follows the data, adaptive execution
+  sizes and splits it, and a machine that holds a third of all rows is spread over
+  all tasks (the pair is hashed, not the machine).
+* Writes are rebalanced by reading date: large dates are split over several
+  files, small ones share a task.
 * Each load only *appends* a ``load_id`` partition to every table; nothing is
   rewritten.  A load becomes visible when its id is appended to ``_loads``,
   which happens last.  Readers prune to live ids, so a load that died half-way
   (lost executors, a killed driver) is invisible, and re-running it is safe
   because the loader skips what live loads already hold.
-* The time dimension and the facts are also partitioned by reading date.  An
-  incremental load checks "already loaded?" only against the existing
+* An incremental load checks "already loaded?" only against the existing
   partitions of the dates present in its batch (a semi-join on the partition
-  column, which the planner turns into dynamic partition pruning), so a load
-  of one day reads one day of keys, not the whole history.
+  column, which the planner may turn into dynamic partition pruning).
 * :meth:`Warehouse.compact` rewrites many small loads (e.g. streaming
   micro-batches) into one, and records which ids it supersedes; readers then
-  skip the superseded ids.  The number of live partitions stays small.
+  skip the superseded ids.
 * Single writer per warehouse (no concurrent loads).
 """
 
@@ -49,11 +52,6 @@ from plantpulse.operators.star import (
 from plantpulse.schema import REJECTS, STAR_SCHEMAS
 
 TABLES = ("machine_dim", "time_dim", "production_fact", "quality_fact", "rejects")
-_BUCKET_COLS = {
-    "time_dim": ("time_key",),
-    "production_fact": ("machine_key", "time_key"),
-    "quality_fact": ("machine_key", "time_key"),
-}
 _DATED = ("time_dim", "production_fact", "quality_fact")
 _LOG_SCHEMA = T.StructType([
     T.StructField("load_id", T.LongType(), False),
@@ -88,20 +86,16 @@ def date_partition(ts: F.Column, grain: str) -> F.Column:
 
 @dataclass
 class Warehouse:
-    """``buckets``: files per partition of each bucketed table (default: the
-    shuffle partition count); size it so a bucket of a fact is ~1 GB.
-    ``date_grain``: 'day' (default) or 'month'; pick the grain that keeps a
-    date partition of a fact well above ~1 GB."""
+    """``date_grain``: 'day' or 'month'; pick the grain that keeps a date
+    partition of a fact well above ~1 GB.  It counts when the warehouse is created
+    ('day' unless given) and is read from the warehouse afterwards."""
 
     spark: SparkSession
     root: str
-    buckets: int = 0
-    date_grain: str = "day"
+    date_grain: str | None = None
 
     def __post_init__(self) -> None:
         self.root = self.root.rstrip("/")
-        if not self.buckets:
-            self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.prefix = "pp_" + hashlib.sha1(self.root.encode()).hexdigest()[:12]
         self._ensured = False
         self._recover = False
@@ -121,17 +115,27 @@ class Warehouse:
     def _partitions(self, table: str) -> list[str]:
         return ["load_id", "reading_date"] if table in _DATED else ["load_id"]
 
+    def _settle_layout(self) -> None:
+        """Read the stored grain, or store the one of a new warehouse."""
+        path = f"{self.root}/_layout"
+        if _exists(self.spark, path):
+            stored = self.spark.read.schema("date_grain string").parquet(path).first()[0]
+            if self.date_grain not in (None, stored):
+                raise ValueError(f"{self.root} is partitioned by {stored}, not by {self.date_grain}")
+            self.date_grain = stored
+        else:
+            self.date_grain = self.date_grain or "day"
+            date_partition(F.lit(None), self.date_grain)  # a wrong grain raises before anything is written
+            self.spark.createDataFrame([(self.date_grain,)], "date_grain string").coalesce(1).write.parquet(path)
+
     def ensure_tables(self) -> None:
         """Create the five tables if absent (CREATE TABLE IF NOT EXISTS over a
         fixed location); a new catalog entry picks up the partitions already
         on disk.  Appends through this class register their partitions."""
         if self._ensured:
             return
+        self._settle_layout()
         for t in TABLES:
-            spec = ""
-            if t in _BUCKET_COLS:
-                cols = ", ".join(_BUCKET_COLS[t])
-                spec = f" CLUSTERED BY ({cols}) SORTED BY ({cols}) INTO {self.buckets} BUCKETS"
             if self.spark.catalog.tableExists(self.name(t)):
                 # a catalog entry tracks the partitions appended through it; pick
                 # up other applications' appends only when a refresh asked for it
@@ -141,7 +145,7 @@ class Warehouse:
             extra = ", load_id BIGINT" + (", reading_date DATE" if t in _DATED else "")
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.name(t)} ({_ddl(_schema(t))}{extra}) "
-                f"USING parquet PARTITIONED BY ({', '.join(self._partitions(t))}){spec} "
+                f"USING parquet PARTITIONED BY ({', '.join(self._partitions(t))}) "
                 f"LOCATION '{self.path(t)}'")
             # partitions written by other sessions / applications: one listing
             # when the catalog entry is new, never again afterwards
@@ -249,6 +253,7 @@ class Warehouse:
         other partition; callers still filter exact timestamps."""
         import datetime as dt
 
+        self.ensure_tables()
         self.committed_ids()
         if self.date_grain == "month":
             first_day = first_day.replace(day=1)
@@ -263,12 +268,11 @@ class Warehouse:
                     pruned("quality_fact"))
 
     def _on_dates(self, table: str, ids: list[int], dates: DataFrame) -> DataFrame:
-        """Rows of ``table`` on the given reading dates only.  ``dates`` holds
-        the distinct days of one batch (bounded by the calendar span of that
-        batch), so it is broadcast; the semi-join on the partition column lets
-        the planner prune the scan to those days' partitions."""
+        """Rows of ``table`` on the given reading dates only: a semi-join on the
+        partition column, which the planner broadcasts and prunes with when the
+        batch's distinct dates are few (their measured size decides)."""
         return (self.table(table, ids, keep_partition_cols=True)
-                .join(F.broadcast(dates), "reading_date", "left_semi")
+                .join(dates, "reading_date", "left_semi")
                 .drop("load_id", "reading_date"))
 
     # -- write -----------------------------------------------------------
@@ -276,15 +280,10 @@ class Warehouse:
         out = df.select(*_schema(table).fieldNames()).withColumn("load_id", F.lit(load_id).cast("bigint"))
         if table in _DATED:
             out = out.withColumn("reading_date", date_partition(ts_of_time_key("time_key"), self.date_grain))
-        if table in _BUCKET_COLS:
-            # one writer task per bucket: otherwise every task writes a file for
-            # every bucket it happens to hold (tasks x buckets files per load)
-            out = out.repartition(self.buckets, *_BUCKET_COLS[table])
-        w = out.write.mode("append").format("parquet").partitionBy(*self._partitions(table))
-        if table in _BUCKET_COLS:
-            cols = _BUCKET_COLS[table]
-            w = w.bucketBy(self.buckets, *cols).sortBy(*cols)
-        w.option("path", self.path(table)).saveAsTable(self.name(table))
+            # rows of one date meet in few tasks (few files), yet a large date is split
+            out = out.hint("rebalance", "reading_date")
+        (out.write.mode("append").format("parquet").partitionBy(*self._partitions(table))
+         .option("path", self.path(table)).saveAsTable(self.name(table)))
 
     def load(self, converted: DataFrame, with_rejects: bool = True, batch_key: str | None = None) -> int | None:
         """Load one batch of converted readings; returns the committed load id.

@@ -3,7 +3,7 @@
 New raw files in the staging folder are picked up by a file stream; each
 micro-batch is cleaned and loaded with the same set-based loader as a batch
 run.  Exactly-once: the stream's own checkpoint tracks which files were
-consumed, and each batch's epoch id is recorded in the warehouse commit log,
+consumed, and each batch's query and epoch ids are recorded in the warehouse commit log,
 so an epoch replayed after a crash is skipped instead of loaded twice.
 """
 
@@ -34,7 +34,9 @@ def start_incremental_load(spark: SparkSession, staging_path: str, wh: Warehouse
               .parquet(staging_path))
 
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
-        wh.load(convert(batch), batch_key=f"stream:{epoch_id}")
+        # the query's id lives in its checkpoint: another stream, or a reset one, has another id
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        wh.load(convert(batch), batch_key=f"stream:{query_id}:{epoch_id}")
         if compact_after:
             recent = wh.live_ids_with_key_prefix("stream:")
             if len(recent) >= compact_after:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,7 @@ from plantpulse.sources.fixture import dirty_raw, sensor_readings
 from plantpulse.sources.warehouse import Warehouse
 
 # Bump when the on-disk layout of the star changes, so old folders are not reused.
-LAYOUT_VERSION = 3
+LAYOUT_VERSION = 4
 
 
 def _code_version() -> str:
@@ -48,58 +49,53 @@ _LOCK = threading.Lock()
 _CACHE: dict[tuple[str, str], Warehouse] = {}
 
 
-def _hadoop_path_status(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return f"{path}|missing"
-    st = fs.getFileStatus(p)
-    return f"{fs.makeQualified(p).toString()}|{st.getLen()}|{st.getModificationTime()}"
-
-
 def input_fingerprint(spark: SparkSession, sf_dir: str, tables=("events",)) -> str:
+    """Hash of every file below the inputs: name, length and time."""
     h = hashlib.sha1()
     for t in tables:
-        h.update(_hadoop_path_status(spark, f"{sf_dir.rstrip('/')}/{t}.parquet").encode())
+        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+        found = []
+        if fs.exists(p):
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+        h.update("\n".join([t, *sorted(found)]).encode())
     return h.hexdigest()[:16]
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _once(spark: SparkSession, lock_path: str, is_done, action, wait_s: float = 1800.0,
-          poll_s: float = 2.0) -> None:
-    """Run ``action`` unless ``is_done()``, with at most one builder across
-    processes: the builder holds an atomically created lock file; others wait
-    for ``is_done()``.  A lock older than ``wait_s`` is treated as left behind
-    by a crashed builder and taken over (actions are safe to redo: loads skip
-    committed rows, landings and CSV writes check their success marker)."""
-    import time
-
-    fs, lock = _fs(spark, lock_path)
-    deadline = time.time() + wait_s
-    while not is_done():
-        if fs.createNewFile(lock):
-            try:
-                if not is_done():
-                    action()
-            finally:
-                fs.delete(lock, False)
-            return
-        if time.time() > deadline:
-            fs.delete(lock, False)  # stale: the builder is gone
-            deadline = time.time() + wait_s
-        time.sleep(poll_s)
+def _published(spark: SparkSession, root: str) -> str | None:
+    """The folder of the build under ``root`` that was published first."""
+    fs, marks = _fs(spark, f"{root}/_published")
+    if not fs.exists(marks):
+        return None
+    found = [(st.getModificationTime(), st.getPath().getName()) for st in fs.listStatus(marks)]
+    return f"{root}/{min(found)[1]}" if found else None
+
+
+def _once(spark: SparkSession, root: str, build) -> str:
+    """The folder of a finished build under ``root``; built if there is none.
+
+    Each builder writes into a fresh folder of its own and then publishes it with an empty
+    marker named like the folder.  No lock is held, so nothing depends on how long a build takes: two
+    builders at a time never share a folder, the earlier marker wins for
+    everybody, and a crashed builder leaves only a folder that nobody reads.
+    """
+    done = _published(spark, root)
+    if done is None:
+        name = uuid.uuid4().hex
+        build(f"{root}/{name}")
+        if _published(spark, root) is None:
+            fs, mark = _fs(spark, f"{root}/_published/{name}")
+            fs.createNewFile(mark)
+        done = _published(spark, root)
+    return done
 
 
 def _root(spark: SparkSession, sf_dir: str, kind: str) -> str:
@@ -107,28 +103,19 @@ def _root(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return f"{checkpoint_root(spark)}/plantpulse/v{LAYOUT_VERSION}-{CODE_VERSION}/{fp}/{kind}"
 
 
-# The test inputs are small (at most a few MB per table), so date partitions
-# are monthly and tables have 8 buckets here: daily partitions or one bucket
-# per shuffle partition would hold a few kB each.  At production volume the
-# defaults apply (daily partitions, buckets sized to ~1 GB).
+# The test inputs are small (at most a few MB per table), so their date
+# partitions are monthly; daily ones would hold a few kB each.
 TEST_DATE_GRAIN = "month"
-TEST_BUCKETS = 8
 
 
-def _get(spark: SparkSession, root: str, build, loads: int = 1) -> Warehouse:
-    """The warehouse at ``root``, built once (``loads`` committed loads when done)."""
+def _get(spark: SparkSession, root: str, build, date_grain: str = TEST_DATE_GRAIN) -> Warehouse:
+    """The warehouse under ``root``, built once."""
     key = (spark.sparkContext.applicationId, root)
     with _LOCK:
         wh = _CACHE.get(key)
         if wh is None:
-            wh = Warehouse(spark, root, buckets=TEST_BUCKETS, date_grain=TEST_DATE_GRAIN)
-
-            def done() -> bool:
-                wh.refresh()
-                return len(wh.committed_ids()) >= loads
-
-            _once(spark, f"{root}.lock", done, lambda: build(wh))
-            _CACHE[key] = wh
+            path = _once(spark, root, lambda p: build(Warehouse(spark, p, date_grain=date_grain)))
+            wh = _CACHE[key] = Warehouse(spark, path)
     return wh
 
 
@@ -137,23 +124,21 @@ def clean_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
                 lambda wh: wh.load(as_converted(sensor_readings(spark, sf_dir)), with_rejects=False))
 
 
-def staging_path(spark: SparkSession, sf_dir: str) -> str:
-    return _root(spark, sf_dir, "dirty") + "/staging"
+_STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
-_STAGED: dict[tuple[str, str], DataFrame] = {}
+def staging_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the dirty raw rows as landed in staging (landed once per input)."""
+    return _once(spark, _root(spark, sf_dir, "dirty") + "/staging",
+                 lambda p: land_raw(dirty_raw(sensor_readings(spark, sf_dir)), p))
 
 
 def staged_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty raw rows as landed in staging (landed once per input; the
-    non-empty check runs once per application)."""
-    path = staging_path(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, path)
+    """The staged rows (the non-empty check runs once per application)."""
+    key = (spark.sparkContext.applicationId, _root(spark, sf_dir, "dirty"))
     with _LOCK:
         if key not in _STAGED:
-            _once(spark, f"{path}.lock", lambda: _path_exists(spark, path + "/_SUCCESS"),
-                  lambda: land_raw(dirty_raw(sensor_readings(spark, sf_dir)), path))
-            _STAGED[key] = read_staged(spark, path)
+            _STAGED[key] = read_staged(spark, staging_path(spark, sf_dir))
     return _STAGED[key]
 
 
@@ -161,11 +146,8 @@ def source_csv(spark: SparkSession, sf_dir: str) -> str:
     """The clean readings written once as a source-format CSV folder."""
     from plantpulse.sources.files import write_source_csv
 
-    path = _root(spark, sf_dir, "csv") + "/readings"
     with _LOCK:
-        _once(spark, f"{path}.lock", lambda: _path_exists(spark, path + "/_SUCCESS"),
-              lambda: write_source_csv(sensor_readings(spark, sf_dir), path))
-    return path
+        return _once(spark, _root(spark, sf_dir, "csv"), lambda p: write_source_csv(sensor_readings(spark, sf_dir), p))
 
 
 def dirty_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -183,18 +165,16 @@ def incremental_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     halves = [conv.where(F.col("reading_id") % 2 == h) for h in (0, 1, 0)]
 
     def build(wh: Warehouse) -> None:
-        for part in halves[len(wh.committed_ids()):]:
+        for part in halves:
             wh.load(part)
 
-    return _get(spark, _root(spark, sf_dir, "dirty") + "/incremental", build, loads=3)
+    return _get(spark, _root(spark, sf_dir, "dirty") + "/incremental", build)
 
 
 def streamed_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The dirty staging loaded by the streaming front end (catch-up run)."""
     from plantpulse.streaming.incremental import start_incremental_load
 
-    staged_raw(spark, sf_dir)  # make sure the raw rows are landed
-
     def build(wh: Warehouse) -> None:
         q = start_incremental_load(spark, staging_path(spark, sf_dir), wh, available_now=True)
         q.awaitTermination()
@@ -220,15 +200,7 @@ def trained_models(spark: SparkSession, sf_dir: str):
             train = sensor_readings(spark, sf_dir).where(~is_test_row())
             out = []
             for name, fit in (("efficiency", train_efficiency), ("failure", train_failure)):
-                path = f"{root}/{name}"
-                marker = f"{root}/{name}.complete"  # written after the whole model is saved
-
-                def fit_and_save(fit=fit, path=path, marker=marker) -> None:
-                    fit(train).write().overwrite().save(path)
-                    fs, p = _fs(spark, marker)
-                    fs.createNewFile(p)
-
-                _once(spark, f"{path}.lock", lambda marker=marker: _path_exists(spark, marker), fit_and_save)
+                path = _once(spark, f"{root}/{name}", lambda p, fit=fit: fit(train).write().save(p))
                 out.append(PipelineModel.load(path))
             _MODELS[key] = tuple(out)
     return _MODELS[key]

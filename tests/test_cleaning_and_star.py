@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 import pytest
@@ -31,7 +32,8 @@ def test_fault_counts(raw):
 
 def test_null_profile_only_columns_with_nulls(raw):
     got = {r["column_name"]: r["n_null"] for r in null_profile(raw).collect()}
-    assert got == {"reading_ts": 11, "temperature_c": 12}
+    # the last two hold texts that stand for a missing value
+    assert got == {"reading_ts": 11, "temperature_c": 12, "power_kw": 11, "latency_ms": 9}
 
 
 def test_fill_zero_mode_reproduces_epoch(raw):
@@ -76,7 +78,7 @@ def test_dense_keys_across_blocks(spark):
 
 def test_incremental_load_is_idempotent(spark, raw):
     conv = convert(raw)
-    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}", buckets=4)
+    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}")
     even, odd = conv.where(F.col("reading_id") % 2 == 0), conv.where(F.col("reading_id") % 2 == 1)
     wh.load(even)
     wh.load(odd)
@@ -124,21 +126,76 @@ def test_csv_messy_cells_become_rejects_not_failures(spark, tmp_path):
     assert conv.where("machine_id = 3").first()["temperature_c"] == 51.5
 
 
-def test_one_file_per_bucket_whatever_the_shuffle_width(spark):
-    import os
-
+def test_layout_is_stored_with_the_data(spark):
     conv = as_converted(sensor_readings(spark, SF_SMALL))
+    root = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
     old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    Warehouse(spark, root, date_grain="month").load(conv, with_rejects=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
-        wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}",
-                       buckets=4, date_grain="month")
+        wh = Warehouse(spark, root)  # another width, no grain named
+        s = wh.star()
+        assert s.production.join(s.quality, ["machine_key", "time_key"]).count() == 1000
+        assert wh.star_between(dt.date(2024, 1, 8), dt.date(2024, 1, 21)).production.count() == 1000  # one month, one partition
         wh.load(conv, with_rejects=False)
+        assert wh.star().production.count() == 1000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-    local = wh.root.replace("file:", "")
-    for t in ("time_dim", "production_fact", "quality_fact"):
-        for d, _, files in os.walk(f"{local}/{t}"):
-            parts = [f for f in files if f.endswith(".parquet")]
-            assert len(parts) <= 4, (d, len(parts))
-    assert wh.star().production.count() == 1000
+    with pytest.raises(ValueError):
+        Warehouse(spark, root, date_grain="day").star()
+
+
+def test_two_builders_publish_one_set_of_rows(spark):
+    from plantpulse.warehouses import _once
+
+    root = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
+
+    def build(path, inner=False):
+        if not inner:  # another builder starts and ends meanwhile
+            _once(spark, root, lambda p: build(p, True))
+        spark.range(5).write.parquet(path)
+
+    path = _once(spark, root, build)
+    assert spark.read.parquet(path).count() == 5
+    assert _once(spark, root, lambda p: 1 / 0) == path
+
+
+def test_fingerprint_sees_nested_files(spark, tmp_path):
+    from plantpulse.warehouses import input_fingerprint
+
+    nested = tmp_path / "events.parquet" / "a"
+    nested.mkdir(parents=True)
+    (nested / "x").write_text("1")
+    first = input_fingerprint(spark, str(tmp_path))
+    (nested / "y").write_text("2")
+    assert input_fingerprint(spark, str(tmp_path)) != first
+
+
+def test_missing_texts_and_non_finite_numbers(spark):
+    from plantpulse.schema import RAW
+
+    base = {f.name: "1" for f in RAW.fields} | {"reading_ts": "2024-01-01 00:00:00", "reading_id": 0}
+    cells = [{"temperature_c": "NaN"}, {"temperature_c": "null"}, {"temperature_c": "inf"}, {"machine_id": "NA"}]
+    raw = spark.createDataFrame([tuple({**base, **c, "reading_id": i}[f.name] for f in RAW.fields)
+                                 for i, c in enumerate(cells)], RAW)
+    got = {r["reading_id"]: r for r in convert(raw).collect()}
+    assert got[0]["temperature_c"] == got[1]["temperature_c"] == 0.0 and got[0]["production_reason"] is None
+    assert got[2]["temperature_c"] is None and got[2]["production_reason"] == "bad temperature_c"
+    assert got[3]["key_reason"] == "missing machine_id"
+    zero = {r["reading_id"]: r for r in convert(raw, timestamp="zero").collect()}
+    assert zero[3]["machine_id"] == 0 and zero[3]["key_reason"] is None
+
+
+def test_etl_as_a_script_and_empty_source(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    script = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "plantpulse", "etl.py")
+    done = subprocess.run([sys.executable, script, "--help"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and "--warehouse" in done.stdout
+    from plantpulse.etl import run_etl
+
+    (tmp_path / "empty.csv").write_text("Timestamp\n")
+    with pytest.raises(ValueError):
+        run_etl(spark, str(tmp_path / "empty.csv"), f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}")

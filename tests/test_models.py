@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from plantpulse.operators.models import label_codes, score_failure, split_flags
+from plantpulse.operators.models import label_codes, score_efficiency, score_failure, split_flags
 from plantpulse.sources.fixture import sensor_readings
 from plantpulse.warehouses import trained_models
 
@@ -30,3 +30,14 @@ def test_scores_deterministic_and_bounded(spark):
     s2 = sorted(score_failure(fail, rows).collect())
     assert s1 == s2
     assert all(0.0 <= r["failure_probability_pct"] <= 100.0 for r in s1)
+
+
+def test_incomplete_rows_are_answered(spark):
+    eff, fail = trained_models(spark, SF_SMALL)
+    rows = sensor_readings(spark, SF_SMALL).where("reading_id < 40").withColumn(
+        "temperature_c", F.when(F.col("reading_id") < 10, F.lit(float("nan"))).when(F.col("reading_id") < 20, F.lit(None))
+        .otherwise(F.col("temperature_c")))
+    for out, answer in ((score_efficiency(eff, rows), "predicted_status"), (score_failure(fail, rows), "failure_probability_pct")):
+        got = out.collect()
+        assert len(got) == 40 and sum(r["status"] == "incomplete" for r in got) == 20
+        assert all((r[answer] is None) == (r["status"] == "incomplete") for r in got)

@@ -44,16 +44,29 @@ def test_no_window_over_readings(star):
         assert "Window" not in plan_text(fn(star))
 
 
-def test_fact_join_without_shuffle(spark, star):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+def test_fact_join_tasks_follow_the_data(spark, star):
+    # shuffled on the pair of keys, in as many tasks as the session asks for: no fixed bucket count
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
         text = plan_text(A.production_quality(star).groupBy("machine_key").count())
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    smj = text[text.index("SortMergeJoin"):]
-    assert "Exchange" not in smj, text  # bucketed on both keys: no shuffle below the join
-    assert "Bucketed: true" in smj
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "Bucketed: true" not in text
+    assert re.search(r"hashpartitioning\(machine_key#\d+L?, time_key#\d+L?, 13\)", text), text
+
+
+def test_latest_status_has_no_sort_aggregate(star):
+    assert "SortAggregate" not in plan_text(A.latest_status(star))
+
+
+def test_ranking_has_no_window_over_all_machines(star):
+    text = plan_text(A.productivity_ranking(star))
+    for line in text.splitlines():
+        if "Window [rank(" in line:
+            assert "_range#" in line.split("],", 1)[1], line  # partitioned by range
 
 
 def test_filters_reach_the_scan(star):
@@ -85,10 +98,9 @@ def test_kpi_trend_prunes_to_newest_partitions(spark):
     from plantpulse.sources.fixture import sensor_readings
     from plantpulse.sources.warehouse import Warehouse
 
-    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}",
-                   buckets=4, date_grain="day")
+    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}", date_grain="day")
     wh.load(as_converted(sensor_readings(spark, SF_SMALL)), with_rejects=False)
-    pruned = K.kpi_trend(K.recent_star(wh))
+    pruned = K.kpi_trend(wh)
     assert sorted(pruned.collect()) == sorted(K.kpi_trend(wh.star()).collect())
     from plantpulse.plans.inspect import plan_formatted
 
@@ -98,8 +110,11 @@ def test_kpi_trend_prunes_to_newest_partitions(spark):
     filters = re.findall(r"PartitionFilters: \[[^\n]*\]", text)
     assert filters and all(f"reading_date#" in f and f">= {since}" in f for f in filters
                            if "reading_date" in f), filters
-    # the anchor aggregate (planned for both window sides) and the two window scans, all pruned
-    assert sum("reading_date" in f for f in filters) == 4
+    # the two window scans, both pruned, with the window itself as a literal in the scan
+    assert sum("reading_date" in f for f in filters) == 2
+    assert len(re.findall(r"GreaterThan\(time_key,\d+\)", text)) == 2
+    for hours in (48, 200):  # the pruning follows the hours
+        assert sorted(K.kpi_trend(wh, hours).collect()) == sorted(K.kpi_trend(wh.star(), hours).collect())
 
 
 def test_dashboard_range_prunes_date_partitions(spark):
@@ -113,8 +128,7 @@ def test_dashboard_range_prunes_date_partitions(spark):
     from plantpulse.sources.fixture import sensor_readings
     from plantpulse.sources.warehouse import Warehouse
 
-    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}",
-                   buckets=4, date_grain="day")
+    wh = Warehouse(spark, f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}", date_grain="day")
     flat = sensor_readings(spark, SF_SMALL)
     wh.load(as_converted(flat), with_rejects=False)
     kw = {"start": "2024-01-08", "end": "2024-01-21", "hours": (8, 17)}

@@ -22,7 +22,7 @@ def test_stream_in_many_batches_equals_batch_load(spark):
     # land in three files arriving as separate micro-batches
     for k in range(3):
         land_raw(raw.where(F.col("reading_id") % 3 == k).coalesce(1), f"{base}/staging")
-    wh = Warehouse(spark, f"{base}/stream", buckets=4)
+    wh = Warehouse(spark, f"{base}/stream")
     q = start_incremental_load(spark, f"{base}/staging", wh, available_now=True, max_files_per_trigger=1,
                                compact_after=2)
     q.awaitTermination()
@@ -31,7 +31,7 @@ def test_stream_in_many_batches_equals_batch_load(spark):
     assert len(wh.committed_ids()) == 2
     assert len(wh.log().collect()) == 4
     streamed = wh.star()
-    batch = Warehouse(spark, f"{base}/batch", buckets=4)
+    batch = Warehouse(spark, f"{base}/batch")
     batch.load(convert(raw))
     one = batch.star()
     for a, b in zip(streamed, one):
@@ -40,14 +40,14 @@ def test_stream_in_many_batches_equals_batch_load(spark):
                            .select("machine_id", "time_key", "temperature_c").collect())
     assert nat(streamed) == nat(one)
     # replaying an epoch that already committed is a no-op
-    assert wh.load(convert(raw), batch_key="stream:0") is None
+    assert wh.load(convert(raw), batch_key=f"stream:{q.id}:0") is None
     assert wh.rejects().count() == batch.rejects().count()
 
 
 def test_compaction_keeps_content_and_supersedes(spark):
     base = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
     conv = convert(dirty_raw(sensor_readings(spark, SF_SMALL)))
-    wh = Warehouse(spark, base, buckets=4)
+    wh = Warehouse(spark, base)
     for k in range(3):
         wh.load(conv.where(F.col("reading_id") % 3 == k))
     before = [sorted(t.collect()) for t in wh.star()]
@@ -58,7 +58,7 @@ def test_compaction_keeps_content_and_supersedes(spark):
     after = [sorted(t.collect()) for t in wh.star()]
     assert before == after and wh.rejects().count() == n_rej
     # a fresh handle on the same folder sees the same live state
-    again = Warehouse(spark, base, buckets=4)
+    again = Warehouse(spark, base)
     assert again.committed_ids() == [new]
     # loading the same rows again after compaction still adds nothing
     wh.load(conv)
@@ -68,7 +68,7 @@ def test_compaction_keeps_content_and_supersedes(spark):
 def test_vacuum_removes_only_invisible_data(spark):
     base = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
     conv = convert(dirty_raw(sensor_readings(spark, SF_SMALL)))
-    wh = Warehouse(spark, base, buckets=4)
+    wh = Warehouse(spark, base)
     wh.load(conv.where(F.col("reading_id") % 2 == 0))
     wh.load(conv.where(F.col("reading_id") % 2 == 1))
     old = wh.committed_ids()
@@ -77,7 +77,7 @@ def test_vacuum_removes_only_invisible_data(spark):
     removed = wh.vacuum()
     assert any(f"load_id={old[0]}" in p and "production_fact" in p for p in removed)
     assert all(p.startswith(base) for p in removed)
-    fresh = Warehouse(spark, base, buckets=4)
+    fresh = Warehouse(spark, base)
     assert [sorted(t.collect()) for t in fresh.star()] == before
 
 
@@ -87,12 +87,24 @@ def test_run_etl_from_csv_twice_adds_nothing(spark):
 
     base = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
     write_source_csv(sensor_readings(spark, SF_SMALL), f"{base}/csv")
-    first = run_etl(spark, f"{base}/csv", f"{base}/wh", staging=f"{base}/staging", buckets=4,
+    first = run_etl(spark, f"{base}/csv", f"{base}/wh", staging=f"{base}/staging",
                     date_grain="month", batch_key="csv-1")
-    again = run_etl(spark, f"{base}/csv", f"{base}/wh", buckets=4, date_grain="month", batch_key="csv-1")
+    again = run_etl(spark, f"{base}/csv", f"{base}/wh", date_grain="month", batch_key="csv-1")
     assert first is not None and again is None
-    wh = Warehouse(spark, f"{base}/wh", buckets=4, date_grain="month")
+    wh = Warehouse(spark, f"{base}/wh", date_grain="month")
     assert wh.star().production.count() == 1000 and wh.rejects().count() == 0
-    run_etl(spark, f"{base}/csv", f"{base}/wh", buckets=4, date_grain="month", compact=True)
+    run_etl(spark, f"{base}/csv", f"{base}/wh", date_grain="month", compact=True)
     wh.refresh()
     assert len(wh.committed_ids()) == 1 and wh.star().production.count() == 1000
+
+
+def test_two_streams_into_one_warehouse_lose_nothing(spark):
+    base = f"{checkpoint_root(spark)}/plantpulse-tests/{uuid.uuid4().hex}"
+    raw = dirty_raw(sensor_readings(spark, SF_SMALL)).where("reading_id % 89 <> 0")
+    wh = Warehouse(spark, f"{base}/wh", date_grain="month")
+    for k in range(2):
+        land_raw(raw.where(F.col("reading_id") % 2 == k).coalesce(1), f"{base}/staging-{k}")
+        start_incremental_load(spark, f"{base}/staging-{k}", wh, checkpoint=f"{base}/ckpt-{k}", available_now=True).awaitTermination()
+    wh.refresh()
+    good = convert(raw).where("production_reason is null").count()
+    assert wh.star().production.count() == good
