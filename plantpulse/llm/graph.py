@@ -24,27 +24,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = write_shared(edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull()).distinct(), "edges")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
-    def linked(pairs: DataFrame, low: bool) -> DataFrame:
-        # u with its smallest neighbour (itself included); then every neighbour on the wanted side goes to it
+    def linked(pairs: DataFrame) -> DataFrame:
+        # every neighbour larger than u goes to the smallest neighbour of u (u included)
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        found = pairs.join(least, "u")
-        return found.select(F.col("v").alias("u"), F.col("m").alias("v")) if low else \
-            found.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return pairs.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     star = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    known = None
     for _ in range(MAX_ROUNDS):
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = linked(both, low=False).where(F.col("u") != F.col("v")).distinct()
+        large = linked(both).distinct()
         # every u has edges to smaller nodes only; link those and u itself to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         star = write_shared(small, "star")
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == known:
+        # settled: every node has one smaller neighbour, which has none itself
+        n, nodes_up = star.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == nodes_up and not star.join(star.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count():
             break
-        known = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left") \
