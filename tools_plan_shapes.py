@@ -37,7 +37,7 @@ def main() -> None:
         print(f"| `{name}` | {count('Arguments: hashpartitioning')} / {count('Arguments: rangepartitioning')}"
               f" / {count('Arguments: SinglePartition')} | {count(r'\(\d+\) BroadcastExchange')} | "
               f"{', '.join(joins) or '-'} | {count(r'\(\d+\) Window\b')} | "
-              f"{len(facts)} ({count('Bucketed: true')} bucketed) |")
+              f"{len(facts)} |")
 
 
 if __name__ == "__main__":
