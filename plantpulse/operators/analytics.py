@@ -322,21 +322,36 @@ def alerts(star: Star) -> DataFrame:
 _RANK_RANGES = 64
 
 
-def ranked(rows: DataFrame, value: str, rank: str, descending: bool = False) -> DataFrame:
-    """``rows`` plus the rank of ``value`` (ties share the smallest; NULL is least).
+def ranked(rows: DataFrame, ranks: list[tuple[str, str, bool]]) -> DataFrame:
+    """``rows`` plus ranks, each given as (value, name of the rank, largest first); ties share
+    the smallest rank, NULL is the least value.
 
     No window spans all rows: values fall into up to 64 ranges between
-    quantiles (one row of numbers), rows are ranked inside their range, and the
-    rows of earlier ranges (64 counts) are added."""
-    edges = rows.agg(F.percentile_approx(value, [i / _RANK_RANGES for i in range(1, _RANK_RANGES)], 10_000).alias("_edges"))
-    at = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(value))))
-    placed = rows.crossJoin(F.broadcast(edges)).withColumn("_range", -at if descending else at).drop("_edges")
-    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.rank().over(Window.partitionBy("_range").orderBy(F.desc(value) if descending else F.asc(value)))
-    return placed.withColumn("_own", own).join(F.broadcast(before), "_range") \
-        .withColumn(rank, (F.col("_own") + F.col("_before")).cast("int")).drop("_range", "_own", "_before")
+    quantiles (one row of numbers for all ranks), rows are ranked inside their range, and the
+    rows of earlier ranges (66 counts at most per rank) are added."""
+    at = [i / _RANK_RANGES for i in range(1, _RANK_RANGES)]
+    edges = rows.agg(*[F.percentile_approx(v, at, 10_000).alias(f"_edges_{r}") for v, r, _ in ranks])
+    placed = rows.crossJoin(F.broadcast(edges))  # one row
+
+    def range_no(value: str, rank: str) -> Column:
+        return F.when(F.col(value).isNull(), F.lit(-1)).otherwise(
+            F.size(F.filter(f"_edges_{rank}", lambda e: e < F.col(value))))
+
+    for value, rank, descending in ranks:
+        place = range_no(value, rank)
+        placed = placed.withColumn(f"_range_{rank}", -place if descending else place)
+    placed = placed.drop(*[f"_edges_{r}" for _, r, _ in ranks])
+    counts = placed.select(F.inline(F.array(*[
+        F.struct(F.lit(r).alias("_rank"), F.col(f"_range_{r}").alias("_range")) for _, r, _ in ranks]))) \
+        .groupBy("_rank", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_rank", "_range", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    for value, rank, descending in ranks:
+        own = F.rank().over(Window.partitionBy(f"_range_{rank}").orderBy(F.desc(value) if descending else F.asc(value)))
+        earlier = before.where(F.col("_rank") == rank).select(F.col("_range").alias(f"_range_{rank}"), "_before")
+        placed = placed.withColumn("_own", own).join(F.broadcast(earlier), f"_range_{rank}") \
+            .withColumn(rank, (F.col("_own") + F.col("_before")).cast("int")).drop(f"_range_{rank}", "_own", "_before")
+    return placed
 
 
 def productivity_ranking(star: Star) -> DataFrame:
@@ -346,8 +361,8 @@ def productivity_ranking(star: Star) -> DataFrame:
         star, F.avg("speed_uph").alias("avg_speed"), F.avg("error_rate_pct").alias("avg_error_rate"),
         F.avg(safe_ratio("power_kw", "speed_uph")).alias("avg_power_per_unit"))
     per = with_machine_id(agg, star)
-    out = ranked(ranked(ranked(per, "avg_speed", "speed_rank", descending=True), "avg_error_rate", "error_rank"),
-                 "avg_power_per_unit", "energy_rank")
+    out = ranked(per, [("avg_speed", "speed_rank", True), ("avg_error_rate", "error_rank", False),
+                       ("avg_power_per_unit", "energy_rank", False)])
     return out.select("machine_id", "avg_speed", "speed_rank", "avg_error_rate", "error_rank",
                       F.round("avg_power_per_unit", 9).alias("avg_power_per_unit"), "energy_rank") \
         .orderBy("speed_rank", "machine_id")
