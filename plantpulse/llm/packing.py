@@ -24,7 +24,7 @@ MAX_LEN = 1024
 N_BUCKETS = 16
 BUDGET = 16_384
 #: Ids per block when pieces of one length are numbered.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 12
 
 
 def optimal_boundaries(histogram: dict[int, int], n_buckets: int = N_BUCKETS) -> list[int]:
