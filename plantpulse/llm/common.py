@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plantpulse.plans.config import checkpoint_root
 
@@ -63,6 +63,18 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, WORD_SEPARATORS), ""), F.array().cast("array<string>"))
 
 
+def with_text(kept: DataFrame, docs: DataFrame, text: str):
+    """``kept`` with the bytes of ``docs``' text as seen by Python workers, and how to take them from a batch.
+
+    A text column that is kept anyway goes to the workers once; any other is added as ``__t``.
+    """
+    if text in kept.columns and isinstance(kept.schema[text].dataType, T.StringType):
+        at = kept.columns.index(text)
+        return kept, lambda batch: batch.column(at).fill_null("").cast("binary")
+    whole = kept.withColumn("__t", F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary"))
+    return whole, lambda batch: batch.column(batch.num_columns - 1)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

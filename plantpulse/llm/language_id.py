@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plantpulse.llm.common import group_by_bytes, ship, table
+from plantpulse.llm.common import group_by_bytes, ship, table, with_text
 
 BITS = 16
 #: Expected number of labelled documents that the model is fitted on; more are thinned by a hash of the text.
@@ -27,8 +27,8 @@ MAX_FIT_DOCS = 20_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
-#: Characters handled at once.
-SLICE = 1 << 20
+#: Characters handled at once; bounds the working arrays.
+SLICE = 1 << 17
 _CODES: dict = {}
 
 
@@ -153,12 +153,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     ship(docs.sparkSession)
     langs, weights = model
     matrix = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits x languages floats
-    staged = kept.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    staged, taken = with_text(kept, docs, text)
+    width = len(kept.columns)
 
     def run(batches):
         w = matrix.value
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = taken(batch)
             names, scores = np.full(len(column), UNDETERMINED, dtype=object), np.zeros(len(column))
             for lo, texts in text_batches(column):
                 known = np.array([bool(langs) and _LETTER.search(x) is not None for x in texts], dtype=bool)
@@ -168,8 +169,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                     best = p.argmax(axis=1)
                     at = lo + np.flatnonzero(known)
                     names[at], scores[at] = np.array(langs, dtype=object)[best], p[np.arange(len(best)), best]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(scores)],
-                                             [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names.tolist(), pa.string()), pa.array(scores)],
+                                             [*batch.schema.names[:width], "lang_pred", "score"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return staged.mapInArrow(run, schema)

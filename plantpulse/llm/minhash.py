@@ -42,7 +42,8 @@ SHINGLE = 5
 PERCENT = 85
 #: Documents of a block in the comparison inside clouds.
 BLOCK = 256
-SLICE = 4 << 20
+#: Bytes of texts handled at once.
+SLICE = 1 << 20
 
 
 def _detours() -> np.ndarray:

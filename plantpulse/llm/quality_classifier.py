@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plantpulse.llm.common import group_by_bytes, ship, small_side, table
+from plantpulse.llm.common import group_by_bytes, ship, small_side, table, with_text
 from plantpulse.llm.kernels import binary_column, word_hashes
 
 BITS = 18
@@ -206,18 +206,19 @@ def score(docs: DataFrame, model, text: str = "text", bits: int = BITS, threshol
     w, a, b = model
     weights = docs.sparkSession.sparkContext.broadcast(np.stack([w[:-1], np.ones(len(w) - 1)], axis=1).astype(np.float32))
     intercept = float(w[-1])
-    staged = kept.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    staged, taken = with_text(kept, docs, text)
+    width = len(kept.columns)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            buf, offsets = binary_column(batch.column(batch.num_columns - 1))
+            buf, offsets = binary_column(taken(batch))
             sums = indicator_sums(buf, offsets, weights.value, bits)
             margin = sums[:, 0] / np.sqrt(np.maximum(1, sums[:, 1])) + intercept
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
-                                             [*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+                                             [*batch.schema.names[:width], "score", "predicted"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return staged.mapInArrow(run, schema)
