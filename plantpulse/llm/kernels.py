@@ -43,6 +43,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW, _POW_INVERSE = _powers(_P, SLICE + 1), _powers(_P_INVERSE, SLICE + 1)
 
 
+class CharHashes:
+    """Hashes of substrings of an array of code points."""
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        power, self.inverse = (_POW, _POW_INVERSE) if n <= SLICE else (_powers(_P, n + 1), _powers(_P_INVERSE, n + 1))
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix((codes.astype(U64) + U64(1)) * U64(_ODD)) * power[:n], dtype=U64)])
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[hi] - self.sums[lo]) * self.inverse[lo]
+
+
 def binary_column(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow binary column without nulls."""
     import pyarrow as pa

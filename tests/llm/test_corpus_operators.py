@@ -130,6 +130,46 @@ def test_near_lines_against_all_pairs(spark, monkeypatch, k, group_pairs):
     assert got == want and want
 
 
+@pytest.mark.parametrize("group_pairs,stars", [(4096, False), (4096, True), (6, True)])
+def test_near_lines_with_edits_by_length(spark, monkeypatch, group_pairs, stars):
+    monkeypatch.setattr(line_dedup, "GROUP_PAIRS", group_pairs)
+    rnd = random.Random(group_pairs)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(2, 9)))
+    lines = {"abababab" * 14, "abababab" * 13 + "abaab", "ab" * 54 + "xy", "a" * 100, "a" * 104, "b" + "a" * 101}  # segments that repeat
+    for n in (20, 39, 40, 61, 85, 100, 101, 150):
+        base = (" ".join(word() for _ in range(40)))[:n]
+        lines.add(base)
+        for _ in range(14):
+            x = base
+            for _ in range(rnd.randrange(1, 8)):
+                p = rnd.randrange(len(x))
+                x = rnd.choice([x[:p] + x[p + 1:], x[:p] + rnd.choice("abq") + x[p:], x[:p] + "z" + x[p + 1:]])
+            lines.add(x)
+    lines |= {f"a template of somewhat more than a hundred characters with one short number {i} in it, and an end to it all" for i in range(0, 60_000, 1_700)}
+    lines = sorted(lines)
+    docs = spark.createDataFrame([("\n".join(lines[i::5]),) for i in range(5)], "text string")
+    got = {(r["u"], r["v"]) for r in line_dedup.near_lines(docs, 5, 20, 20, stars).collect()}
+    ids = {x: line_dedup.line_id(x) for x in lines}
+    want = {tuple(sorted((ids[a], ids[b]))) for a, b in itertools.combinations(lines, 2) if min(len(a), len(b)) >= 20
+            and line_dedup.within(a, b, min(5, max(1, min(len(a), len(b)) // 20)))}  # held against the full table above
+
+    def classes(links):
+        least = {x: x for x in ids.values()}
+        for _ in ids:
+            for u, v in links:
+                least[u] = least[v] = min(least[u], least[v])
+        return least
+
+    assert want and (got <= want and classes(got) == classes(want) if stars else got == want)
+
+
+def test_line_dedup_drops_lines_with_a_word_replaced(spark):
+    base = "the first of these lines is long enough that one of its words may well be another one without making it a new line"
+    other = base.replace("long", "wide")
+    docs = spark.createDataFrame([(1, base), (2, other), (3, base.replace("may well", "may")), (4, base.replace("long enough", "of another kind"))], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
 def test_line_dedup_keeps_first_lines(spark):
     same, near = "a line that stands in several documents", "a line that stands in several documentz"
     docs = spark.createDataFrame([(3, f"{same}\nown three"), (1, f"own one\n{same}\n\n{same}"), (2, f"{near}\n\nown two")], "doc_id bigint, text string")
