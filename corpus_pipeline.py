@@ -17,6 +17,8 @@ from plantpulse.llm.quality_rules import RULE_COLUMNS, quality_rules
 
 #: A text whose best language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.4
+#: Near copies share so many hundredths of their word shingles at least.
+NEAR_PERCENT = 80
 
 
 def judged(docs: DataFrame, judge, made: tuple[str, ...], keep) -> DataFrame:
@@ -47,7 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs.select("doc_id", "text"), NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     gone = write_shared(gone, "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

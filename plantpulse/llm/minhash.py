@@ -1,10 +1,10 @@
 """MinHash near-duplicates by one-permutation hashing with optimal densification.
 
-One hash value per shingle serves all ``BINS`` bins: its top bits choose the
+One hash value per shingle serves all bins: its top bits choose the
 bin, and a bin keeps its least value.  An empty bin borrows from the bin that a
 shared hash of (bin, attempt) points to, again until a full one is met (optimal
-densification: Shrivastava, 2017).  ``BANDS`` bands of ``ROWS`` bins give the
-buckets.  A bucket yields star-shaped candidate edges: every member with the
+densification: Shrivastava, 2017).  Bands of ``ROWS`` bins give the buckets; their
+number follows from the similarity asked for.  A bucket yields star-shaped candidate edges: every member with the
 bucket's smallest document, so a bucket of n documents gives n - 1 pairs.
 Candidates are confirmed on full shingle sets.
 
@@ -16,7 +16,7 @@ confirmed links (one per document and block) are added.  Blocks bound memory;
 no pair of documents is emitted unless it is a link.
 
 Missed links: two documents at similarity 0.85 share no bucket with
-probability (1 - 0.85**5)**25 < 1e-6; every other loss is excluded.
+probability (1 - 0.85**5)**25 < 5e-7, at 0.8 with (1 - 0.8**5)**37 < 5e-7; every other loss is excluded.
 
 Defined results: null, empty and blank texts have an empty set, link with
 nothing and stay (component: their own id).  A text with fewer than five words
@@ -27,6 +27,9 @@ the input has it.  Other columns of the input are not carried.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,8 +38,9 @@ from plantpulse.llm.common import group_by_bytes, ship, small_side, table, write
 from plantpulse.llm.graph import connected_components
 from plantpulse.llm.kernels import binary_column, distinct_per_row, mix, shingles, word_hashes
 
-BIN_BITS = 7
-BANDS, ROWS = 25, 5
+ROWS = 5
+#: A pair at the least similarity shares no bucket with this probability at most.
+MISSED = 5e-7
 SHINGLE = 5
 #: Least similarity, in hundredths.
 PERCENT = 85
@@ -46,32 +50,38 @@ BLOCK = 256
 SLICE = 1 << 20
 
 
-def _detours() -> np.ndarray:
-    """For each bin, the bins an empty one tries in turn (the same for all documents)."""
-    bins = 1 << BIN_BITS
+def bands_for(percent: int) -> int:
+    """Bands of ``ROWS`` bins that miss a pair at ``percent`` with probability ``MISSED`` at most (25 at 85, 37 at 80)."""
+    return 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log1p(-(percent / 100) ** ROWS))
+
+
+@lru_cache
+def _bins(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each bin, of which there are enough for ``bands``, and for each
+    bin those an empty one tries in turn (the same for all documents)."""
+    bits = max(1, (bands * ROWS - 1).bit_length())
+    bins = 1 << bits
     tries = 16 * bins
     with np.errstate(over="ignore"):
         x = mix(np.arange(bins * tries, dtype=np.uint64) + np.uint64(0xABCDEF))
-    return (x >> np.uint64(64 - BIN_BITS)).astype(np.int64).reshape(bins, tries)
-
-
-_DETOURS = _detours()
-_EDGES = np.arange(1 << BIN_BITS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
+    edges = np.arange(bins, dtype=np.uint64) << np.uint64(64 - bits)
+    return edges, (x >> np.uint64(64 - bits)).astype(np.int64).reshape(bins, tries)
 
 
-def signature(values: np.ndarray) -> np.ndarray:
+def signature(values: np.ndarray, bands: int) -> np.ndarray:
     """The densified one-permutation signature of sorted distinct hashes (not empty)."""
-    bins = len(_EDGES)
-    at = np.searchsorted(values, _EDGES)
+    edges, detours = _bins(bands)
+    bins = len(edges)
+    at = np.searchsorted(values, edges)
     full = np.append(at[1:], len(values)) > at
     out = np.zeros(bins, dtype=np.uint64)
     out[full] = values[at[full]]
     empty = np.flatnonzero(~full)
     if len(empty):
         # the first full bin on each empty bin's detour; should 16 x bins tries fail, the next full bin
-        hit = full[_DETOURS[empty]]
+        hit = full[detours[empty]]
         first = hit.argmax(axis=1)
-        source = _DETOURS[empty, first]
+        source = detours[empty, first]
         if not hit.any(axis=1).all():
             around = np.flatnonzero(full)
             source = np.where(hit.any(axis=1), source, around[np.searchsorted(around, empty) % len(around)])
@@ -79,11 +89,11 @@ def signature(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def buckets(values: np.ndarray) -> np.ndarray:
+def buckets(values: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit bucket key per band."""
-    sig = signature(values)[:BANDS * ROWS].reshape(BANDS, ROWS)
+    sig = signature(values, bands)[:bands * ROWS].reshape(bands, ROWS)
     with np.errstate(over="ignore"):
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        key = np.arange(1, bands + 1, dtype=np.uint64)
         for j in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
     return key.view(np.int64)
@@ -111,9 +121,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return _binary(docs).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, digest`` (hash of the whole set; null if empty) and ``keys`` (one per band)."""
     ship(docs.sparkSession)
+    bands = bands_for(percent)
 
     def run(batches):
         for batch in batches:
@@ -123,7 +134,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     low, high = (mix(x + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2))
                 digest.append(low.tobytes() + high.tobytes() if len(x) else None)
-                keys.append(buckets(x).tolist() if len(x) else [])
+                keys.append(buckets(x, bands).tolist() if len(x) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                                               pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
 
@@ -194,7 +205,7 @@ def links_within(clouds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
-    found = write_shared(sketches(docs), "sketches")
+    found = write_shared(sketches(docs, percent), "sketches")
     # equal sets are one class; its smallest document stands for it
     same = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
                                                                    F.min_by("keys", "doc_id").alias("keys"))

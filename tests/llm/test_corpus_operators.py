@@ -177,6 +177,24 @@ def test_line_dedup_keeps_first_lines(spark):
     assert got == {1: (f"own one\n{same}\n", 1, 0), 2: ("\nown two", 1, 1), 3: ("own three", 1, 0)}
 
 
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i, gone in enumerate((6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20)):
+        rows.append((1 + i, " ".join(base[:60 - gone] + [f"z{i}_{j}" for j in range(2)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = lambda a, b, p: 100 * len(a & b) >= p * len(a | b)
+    reach = {0}
+    for _ in rows:
+        reach |= {j for j in range(len(rows)) if any(alike(sets[i], sets[j], 80) for i in reach)}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id").collect()} == {i for i in range(len(rows)) if i not in reach - {0}}
+    pair = docs.where("doc_id in (0, 3)")
+    assert 0.80 <= len(sets[0] & sets[3]) / len(sets[0] | sets[3]) < 0.85
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, pair, SF).select("doc_id").collect()} == {0}
+    assert (minhash.bands_for(85), minhash.bands_for(80)) == (25, 37)
+
+
 def test_near_cloud_against_all_pairs(spark):
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(60)]
