@@ -13,14 +13,14 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, types as T
 
 if __name__ == "__main__":  # started as a script: the package is one folder up
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from plantpulse.operators.clean import convert  # noqa: E402
 from plantpulse.plans.config import scale_conf  # noqa: E402
-from plantpulse.schema import RAW  # noqa: E402
+from plantpulse.schema import RAW, SOURCE_NOTES  # noqa: E402
 from plantpulse.sources.files import land_raw, read_csv  # noqa: E402
 from plantpulse.sources.warehouse import Warehouse  # noqa: E402
 
@@ -36,7 +36,7 @@ def run_etl(spark: SparkSession, source: str, warehouse: str, staging: str | Non
     if source_format == "csv":
         raw = read_csv(spark, source)
     elif source_format == "parquet":
-        raw = spark.read.schema(RAW).parquet(source)
+        raw = spark.read.schema(T.StructType([*RAW.fields, *SOURCE_NOTES])).parquet(source)
     else:
         raise ValueError("source_format must be 'csv' or 'parquet'")
     if raw.isEmpty():

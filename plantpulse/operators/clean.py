@@ -11,15 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.schema import CATEGORIES, MEASURES, PRODUCTION_MEASURES, QUALITY_MEASURES
+from plantpulse.operators.timestamps import parse_by
+from plantpulse.schema import CATEGORIES, MEASURES, PRODUCTION_MEASURES, QUALITY_MEASURES, SOURCE_NOTES
 
 REASON_COLS = ("key_reason", "production_reason", "quality_reason")
 _EPOCH_TEXT = "1970-01-01 00:00:00"
 
 
+def _note(df: DataFrame, name: str) -> Column:
+    """A source's note on a row, NULL where the rows have none."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
 def parse_ts(df: DataFrame, col: str = "reading_ts") -> DataFrame:
-    """String timestamp -> TIMESTAMP_NTZ; an unparsable value becomes NULL."""
-    return df.withColumn(col, F.col(col).try_cast("timestamp_ntz"))
+    """String timestamp -> TIMESTAMP_NTZ, by the layout noted for the row (else the standard one);
+    an unparsable value becomes NULL."""
+    return df.withColumn(col, parse_by(F.col(col), _note(df, "ts_layout")) if "ts_layout" in df.columns
+                         else F.col(col).try_cast("timestamp_ntz"))
 
 
 #: Texts that the usual CSV reader (pandas ``read_csv``) takes for a missing cell.
@@ -38,7 +46,8 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     One aggregate pass (partial counts per task, one tiny final merge), then
     an unpivot of the single result row."""
-    columns = columns or [c for c in df.columns if c != "reading_id"]
+    notes = [f.name for f in SOURCE_NOTES]
+    columns = columns or [c for c in df.columns if c != "reading_id" and c not in notes]
     df = blank_missing(df)
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return (counts.unpivot([], columns, "column_name", "n_null")
@@ -57,6 +66,8 @@ def fill_missing(raw: DataFrame, timestamp: str = "reject") -> DataFrame:
     fills.update({c: F.coalesce(F.col(c), F.lit("0")) for c in CATEGORIES})
     if timestamp == "zero":
         fills["reading_ts"] = F.coalesce(F.col("reading_ts"), F.lit(_EPOCH_TEXT))
+        if "ts_layout" in raw.columns:  # the filled text is in the standard layout
+            fills["ts_layout"] = F.when(F.col("reading_ts").isNotNull(), F.col("ts_layout"))
         fills["machine_id"] = F.coalesce(F.col("machine_id"), F.lit("0"))
     elif timestamp != "reject":
         raise ValueError("timestamp must be 'reject' or 'zero'")
@@ -78,14 +89,17 @@ def _number(col: str) -> Column:
 def convert(raw: DataFrame, timestamp: str = "reject") -> DataFrame:
     """Raw strings -> typed readings plus three reason columns.
 
-    ``key_reason``: machine id or timestamp missing / unparsable (both facts).
+    ``key_reason``: the source's error, or machine id or timestamp missing / unparsable (both facts).
     ``production_reason`` / ``quality_reason``: the key reason, else the list
     of measures of that fact that do not parse.  NULL means loadable.
     """
     filled = fill_missing(raw, timestamp)
     mid = F.col("machine_id").try_cast("int")
-    ts = F.col("reading_ts").try_cast("timestamp_ntz")
-    key_reason = (F.when(F.col("machine_id").isNull(), "missing machine_id")
+    ts = parse_by(F.col("reading_ts"), _note(filled, "ts_layout")) if "ts_layout" in filled.columns \
+        else F.col("reading_ts").try_cast("timestamp_ntz")
+    error = _note(filled, "source_error")
+    key_reason = (F.when(error.isNotNull(), error)
+                  .when(F.col("machine_id").isNull(), "missing machine_id")
                   .when(mid.isNull(), "bad machine_id")
                   .when(F.col("reading_ts").isNull(), "missing reading_ts")
                   .when(ts.isNull(), "bad reading_ts"))

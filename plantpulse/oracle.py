@@ -292,6 +292,14 @@ ETL_SQL["csv_readings"] = r("""
 SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
        speed_uph, error_rate_pct, defect_rate_pct, latency_ms, packet_loss_pct, pm_score
 FROM readings""")
+ETL_SQL["csv_mixed_layouts"] = r("""
+SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
+       speed_uph, error_rate_pct, defect_rate_pct, CASE WHEN reading_id % 4 = 2 THEN 0 ELSE latency_ms END AS latency_ms,
+       packet_loss_pct, pm_score
+FROM readings WHERE NOT (reading_id % 4 = 0 AND reading_id % 53 = 0)""")
+ETL_SQL["csv_mixed_rejects"] = r("""
+SELECT 'both' AS target, 'ragged row: 15 cells for 13 columns' AS reason, COUNT(*) AS n
+FROM readings WHERE reading_id % 4 = 0 AND reading_id % 53 = 0 HAVING COUNT(*) > 0""")
 ETL_SQL["reload_adds_nothing"] = d("""
 , h AS (SELECT *, CASE WHEN reading_id % 2 = 0 THEN 1 ELSE 2 END AS step FROM conv),
 m AS (SELECT step, COUNT(*) AS n FROM (SELECT machine_id, MIN(step) AS step FROM h

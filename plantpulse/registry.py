@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from plantpulse.functions.columns import ts_of_time_key
 from plantpulse.functions.display import display
 from plantpulse.operators import analytics, charts, fleet, models
-from plantpulse.operators.clean import convert, good_rows, null_profile
+from plantpulse.operators.clean import convert, good_rows, null_profile, rejects
 from plantpulse.schema import CATEGORIES, MEASURES, PRODUCTION_MEASURES, QUALITY_MEASURES
 from plantpulse.sources.files import count_staged, read_csv
 from plantpulse.sources.fixture import sensor_readings
 from plantpulse.warehouses import (
-    clean_warehouse, dirty_warehouse, incremental_warehouse, source_csv, staged_raw,
+    clean_warehouse, dirty_warehouse, incremental_warehouse, mixed_csv, source_csv, staged_raw,
     streamed_warehouse, trained_models,
 )
 
@@ -78,9 +78,16 @@ def _csv_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good_rows(conv, "keys").select("machine_id", "reading_ts", *CATEGORIES, *MEASURES)
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings from CSV files of several layouts, converted."""
+    return convert(read_csv(spark, f"{mixed_csv(spark, sf_dir)}/*"))
+
+
 ETL: dict[str, Query] = {
     "readings": sensor_readings,
     "csv_readings": _csv_readings,
+    "csv_mixed_layouts": lambda s, d: good_rows(_mixed(s, d), "keys").select("machine_id", "reading_ts", *CATEGORIES, *MEASURES),
+    "csv_mixed_rejects": lambda s, d: rejects(_mixed(s, d)).groupBy("target", "reason").agg(F.count(F.lit(1)).alias("n")),
     "staged_count": lambda s, d: count_staged(staged_raw(s, d)),
     "null_profile": lambda s, d: null_profile(staged_raw(s, d)),
     "filled_readings": _filled,

@@ -9,7 +9,7 @@ __all__ = [
     "HIGH_TEMPERATURE_C", "HIGH_VIBRATION_HZ", "ABNORMAL_VIBRATION_MEAN",
     "ABNORMAL_VIBRATION_SD", "TEMPERATURE_BAND_EDGES", "TOP_N", "HISTOGRAM_BINS",
     "SOURCE_COLUMNS", "MEASURES", "PRODUCTION_MEASURES", "QUALITY_MEASURES",
-    "CATEGORIES", "FEATURES", "RAW", "READINGS", "MACHINE_DIM", "TIME_DIM",
+    "CATEGORIES", "FEATURES", "RAW", "SOURCE_NOTES", "READINGS", "MACHINE_DIM", "TIME_DIM",
     "PRODUCTION_FACT", "QUALITY_FACT", "REJECTS", "STAR_SCHEMAS",
 ]
 
@@ -72,6 +72,9 @@ RAW = _struct(
     *[(m, S, True) for m in MEASURES],
 )
 
+# What a file source adds to a raw row: why a record cannot be read, and its file's timestamp layout.
+SOURCE_NOTES = [T.StructField("source_error", S, True), T.StructField("ts_layout", S, True)]
+
 READINGS = _struct(
     ("reading_id", T.LongType(), True),
     ("machine_id", T.IntegerType(), True),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantpulse.schema import MEASURES, RAW
+from plantpulse.schema import MEASURES, RAW, SOURCE_COLUMNS
 
 # Declared input schema of the driver's events table: no footer-reading pass
 # to infer it (which on a large table means touching every file).
@@ -105,3 +105,26 @@ def dirty_raw(readings: DataFrame) -> DataFrame:
         "defect_rate_pct": F.when(rid % 107 == 0, F.lit("bad")).otherwise(F.col("defect_rate_pct")),
     })
     return raw.unionByName(raw.where(rid % 89 == 0))
+
+
+def write_mixed_csv(readings: DataFrame, path: str) -> None:
+    """All readings as CSV files of four layouts, by reading id modulo 4 (fixed rule, shared with the SQL oracle).
+
+    0: columns in reverse order, rows with id % 53 = 0 have two cells too many; 1: a first column of notes with line
+    breaks, quotes and commas; 2: no latency column; 3: days written as day/month/year, latest first.
+    """
+    back = {v: k for k, v in SOURCE_COLUMNS.items()}
+    rid = F.col("reading_id")
+    texts = {c: F.col(c).cast("string") for c in back}
+
+    def files(part: int, cells: dict[str, F.Column], **options) -> None:
+        own = readings.where(rid % 4 == part).orderBy(F.desc("reading_ts")) if part == 3 else readings.where(rid % 4 == part)
+        own.select(*[v.alias(n) for n, v in cells.items()]).write.options(header=True, **options).csv(f"{path}/layout{part}")
+
+    backwards = {back[c]: texts[c] for c in reversed(list(back))}
+    last = next(reversed(backwards))
+    files(0, backwards | {last: F.when(rid % 53 == 0, F.concat(backwards[last], F.lit(",x,y"))).otherwise(backwards[last])}, quote="")
+    note = F.concat(F.lit('said "stop",\nthen went on; reading '), rid.cast("string"))
+    files(1, {"Operator_Note": note, **{back[c]: texts[c] for c in back}}, quoteAll=True, escape='"')
+    files(2, {back[c]: texts[c] for c in back if c != "latency_ms"})
+    files(3, {back[c]: F.date_format("reading_ts", "dd/MM/yyyy HH:mm:ss.SSSSSS") if c == "reading_ts" else texts[c] for c in back})

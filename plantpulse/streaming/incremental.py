@@ -9,11 +9,11 @@ so an epoch replayed after a crash is skipped instead of loaded twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plantpulse.operators.clean import convert
-from plantpulse.schema import RAW
+from plantpulse.schema import RAW, SOURCE_NOTES
 from plantpulse.sources.warehouse import Warehouse
 
 
@@ -29,7 +29,7 @@ def start_incremental_load(spark: SparkSession, staging_path: str, wh: Warehouse
     ``compact_after`` of them are live they are rewritten as one load (only
     the stream's own recent loads, never the large historical ones)."""
     checkpoint = checkpoint or f"{wh.root}/_stream_checkpoint"
-    stream = (spark.readStream.schema(RAW)
+    stream = (spark.readStream.schema(T.StructType([*RAW.fields, *SOURCE_NOTES]))
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(staging_path))
 

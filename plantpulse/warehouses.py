@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plantpulse.operators.clean import as_converted, convert
 from plantpulse.plans.config import checkpoint_root
 from plantpulse.sources.files import land_raw, read_staged
-from plantpulse.sources.fixture import dirty_raw, sensor_readings
+from plantpulse.sources.fixture import dirty_raw, sensor_readings, write_mixed_csv
 from plantpulse.sources.warehouse import Warehouse
 
 # Bump when the on-disk layout of the star changes, so old folders are not reused.
@@ -37,7 +37,7 @@ def _code_version() -> str:
     base = os.path.dirname(plantpulse.__file__)
     h = hashlib.sha1()
     for rel in ("schema.py", "functions/columns.py", "operators/clean.py", "operators/star.py",
-                "operators/models.py", "sources/fixture.py", "sources/files.py", "sources/warehouse.py"):
+                "operators/models.py", "operators/timestamps.py", "sources/fixture.py", "sources/files.py", "sources/warehouse.py"):
         with open(os.path.join(base, rel), "rb") as f:
             h.update(f.read())
     return h.hexdigest()[:8]
@@ -150,6 +150,12 @@ def source_csv(spark: SparkSession, sf_dir: str) -> str:
         return _once(spark, _root(spark, sf_dir, "csv"), lambda p: write_source_csv(sensor_readings(spark, sf_dir), p))
 
 
+def mixed_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The clean readings written once as CSV files of several layouts."""
+    with _LOCK:
+        return _once(spark, _root(spark, sf_dir, "csv-mixed"), lambda p: write_mixed_csv(sensor_readings(spark, sf_dir), p))
+
+
 def dirty_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     raw = staged_raw(spark, sf_dir)
     return _get(spark, _root(spark, sf_dir, "dirty") + "/star",
