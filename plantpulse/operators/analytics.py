@@ -23,6 +23,8 @@ from plantpulse.functions.columns import (
     temperature_band, temperature_band_no, ts_of_time_key,
 )
 from plantpulse.functions.display import fmt_pct
+from plantpulse.operators.ranking import ranking_report
+from plantpulse.operators.rollups import last_days
 from plantpulse.operators.star import Star
 from plantpulse.schema import (
     ABNORMAL_VIBRATION_MEAN, ABNORMAL_VIBRATION_SD, HIGH_TEMPERATURE_C, HIGH_VIBRATION_HZ, MEASURES, TOP_N,
@@ -36,8 +38,8 @@ def _cnt() -> Column:
 
 
 def production_quality(star: Star) -> DataFrame:
-    """Production joined to quality on the full grain (1:1 by construction)."""
-    return star.production.join(star.quality, KEYS)
+    """Production and quality on the full grain (1:1 by construction): as the warehouse keeps them, else joined."""
+    return star.production.join(star.quality, KEYS) if star.wide is None else star.wide
 
 
 def readings_view(star: Star) -> DataFrame:
@@ -292,6 +294,14 @@ def latest_status(star: Star) -> DataFrame:
     return _first(with_machine_id(flat, star), "machine_id").orderBy("machine_id")
 
 
+def latest_status_of(wh) -> DataFrame:
+    """:func:`latest_status` from a warehouse: the rollups say on which day each machine was last heard, so only
+    the date partitions of those days are read, however long the history is and however
+    long a machine has been silent.  The days (bounded by the calendar) are literals on the partition column."""
+    days = [r["day"] for r in last_days(wh.rollups()).select("day").distinct().collect()]
+    return latest_status(wh.star()._replace(production=wh.on_days("production_fact", days)))
+
+
 # Q16 -----------------------------------------------------------------------
 ALERT_KINDS = ("high temperature", "excessive vibration")
 
@@ -319,53 +329,13 @@ def alerts(star: Star) -> DataFrame:
 
 
 # Q17 -----------------------------------------------------------------------
-_RANK_RANGES = 64
-
-
-def ranked(rows: DataFrame, ranks: list[tuple[str, str, bool]]) -> DataFrame:
-    """``rows`` plus ranks, each given as (value, name of the rank, largest first); ties share
-    the smallest rank, NULL is the least value.
-
-    No window spans all rows: values fall into up to 64 ranges between
-    quantiles (one row of numbers for all ranks), rows are ranked inside their range, and the
-    rows of earlier ranges (66 counts at most per rank) are added."""
-    at = [i / _RANK_RANGES for i in range(1, _RANK_RANGES)]
-    edges = rows.agg(*[F.percentile_approx(v, at, 10_000).alias(f"_edges_{r}") for v, r, _ in ranks])
-    placed = rows.crossJoin(F.broadcast(edges))  # one row
-
-    def range_no(value: str, rank: str) -> Column:
-        return F.when(F.col(value).isNull(), F.lit(-1)).otherwise(
-            F.size(F.filter(f"_edges_{rank}", lambda e: e < F.col(value))))
-
-    for value, rank, descending in ranks:
-        place = range_no(value, rank)
-        placed = placed.withColumn(f"_range_{rank}", -place if descending else place)
-    placed = placed.drop(*[f"_edges_{r}" for _, r, _ in ranks])
-    counts = placed.select(F.inline(F.array(*[
-        F.struct(F.lit(r).alias("_rank"), F.col(f"_range_{r}").alias("_range")) for _, r, _ in ranks]))) \
-        .groupBy("_rank", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_rank", "_range", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    for value, rank, descending in ranks:
-        own = F.rank().over(Window.partitionBy(f"_range_{rank}").orderBy(F.desc(value) if descending else F.asc(value)))
-        earlier = before.where(F.col("_rank") == rank).select(F.col("_range").alias(f"_range_{rank}"), "_before")
-        placed = placed.withColumn("_own", own).join(F.broadcast(earlier), f"_range_{rank}") \
-            .withColumn(rank, (F.col("_own") + F.col("_before")).cast("int")).drop(f"_range_{rank}", "_own", "_before")
-    return placed
-
-
 def productivity_ranking(star: Star) -> DataFrame:
     """Active machines ranked three ways: speed (high first), error rate and
     power per unit (low first), on unrounded values."""
     agg = _active_per_machine(
         star, F.avg("speed_uph").alias("avg_speed"), F.avg("error_rate_pct").alias("avg_error_rate"),
         F.avg(safe_ratio("power_kw", "speed_uph")).alias("avg_power_per_unit"))
-    per = with_machine_id(agg, star)
-    out = ranked(per, [("avg_speed", "speed_rank", True), ("avg_error_rate", "error_rank", False),
-                       ("avg_power_per_unit", "energy_rank", False)])
-    return out.select("machine_id", "avg_speed", "speed_rank", "avg_error_rate", "error_rank",
-                      F.round("avg_power_per_unit", 9).alias("avg_power_per_unit"), "energy_rank") \
-        .orderBy("speed_rank", "machine_id")
+    return ranking_report(with_machine_id(agg, star))
 
 
 # Q18 -----------------------------------------------------------------------

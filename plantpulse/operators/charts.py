@@ -93,15 +93,18 @@ def means_by_machine(df: DataFrame) -> DataFrame:
 
 def score_histogram(df: DataFrame, col: str = "pm_score", bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over [min, max]; the maximum goes in the last bin; a
-    constant column is one bin.  The bounds are a one-row aggregate broadcast
-    to the scan (a proven single row), then one grouped count."""
-    bounds = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    constant column is one bin.
+
+    One scan: the readings are counted per score; the bounds (one row, broadcast)
+    and the bins are both taken from these counts, and the planner reuses their shuffle."""
+    scores = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("score")).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    bounds = scores.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = (F.when(F.col("_hi") == F.col("_lo"), F.lit(0))
-         .otherwise(F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int"))
-    return (df.where(F.col(col).isNotNull()).select(col).crossJoin(F.broadcast(bounds))
+         .otherwise(F.least(F.floor((F.col("score") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int"))
+    return (scores.crossJoin(F.broadcast(bounds))
             .groupBy(b.alias("bin"), "_lo", "_hi")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.sum("n").alias("n"))
             .select("bin", (F.col("_lo") + F.col("bin") * width).alias("bin_start"),
                     F.when(F.col("_hi") == F.col("_lo"), F.col("_hi"))
                     .otherwise(F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end"), "n")
@@ -110,16 +113,21 @@ def score_histogram(df: DataFrame, col: str = "pm_score", bins: int = HISTOGRAM_
 
 def filter_domains(readings: DataFrame) -> DataFrame:
     """Choices for the filters as (kind, code, label) rows: first / last day,
-    each machine id, each operation mode with its code."""
-    days = readings.agg(F.to_date(F.min("reading_ts")).alias("d0"), F.to_date(F.max("reading_ts")).alias("d1"))
-    dates = days.select(F.inline(F.array(
-        F.struct(F.lit("date").alias("kind"), F.lit(0).alias("code"), F.col("d0").cast("string").alias("label")),
-        F.struct(F.lit("date").alias("kind"), F.lit(1).alias("code"), F.col("d1").cast("string").alias("label")))))
-    machines = readings.select(F.lit("machine").alias("kind"), F.col("machine_id").alias("code"),
-                               F.col("machine_id").cast("string").alias("label")).distinct()
-    modes = mode_codes(readings).select(F.lit("mode").alias("kind"), F.col("mode_code").alias("code"),
-                                        F.col("operation_mode").alias("label"))
-    return dates.unionByName(machines).unionByName(modes).orderBy("kind", "code")
+    each machine id, each operation mode with its code.
+
+    One scan and one shuffle: an aggregate by grouping sets (machine), (mode) and ().  Modes are
+    numbered by a window over their own rows; machines are spread over its partitions by their id.
+    Without readings there is nothing to choose from: no rows."""
+    sets = readings.groupingSets([[F.col("machine_id")], [F.col("operation_mode")], []], F.col("machine_id"), F.col("operation_mode")).agg(
+        F.grouping_id().alias("_set"), F.min("reading_ts").alias("_t0"), F.max("reading_ts").alias("_t1"))
+    machine, mode = F.col("_set") == 1, F.col("_set") == 2  # bits: which of (machine, mode) a row is not grouped by
+    number = F.dense_rank().over(Window.partitionBy("_set", "machine_id").orderBy("operation_mode")) - 1
+    day = lambda code, ts: F.struct(F.lit("date").alias("kind"), F.lit(code).alias("code"), F.to_date(ts).cast("string").alias("label"))
+    rows = F.when(machine, F.array(F.struct(F.lit("machine").alias("kind"), F.col("machine_id").alias("code"),
+                                            F.col("machine_id").cast("string").alias("label")))) \
+        .when(mode, F.array(F.struct(F.lit("mode").alias("kind"), F.col("_no").alias("code"), F.col("operation_mode").alias("label")))) \
+        .otherwise(F.array(day(0, "_t0"), day(1, "_t1")))
+    return sets.withColumn("_no", number).select(F.inline(rows)).orderBy("kind", "code")
 
 
 def means_long(wide: DataFrame, ids: list[str], measures: list[str] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from plantpulse.functions.columns import time_key_of, ts_of_time_key
 from plantpulse.operators.clean import good_rows
 from plantpulse.schema import (
     CATEGORIES, MACHINE_DIM, PRODUCTION_FACT, PRODUCTION_MEASURES, QUALITY_FACT,
-    QUALITY_MEASURES, TIME_DIM,
+    QUALITY_MEASURES, TIME_DIM, WIDE_FACT,
 )
 
 _BLOCK_BITS = 16  # dense-key blocks hold at most 2**16 ids; there are at most 2**16 blocks
@@ -35,6 +35,8 @@ class Star(NamedTuple):
     time_dim: DataFrame
     production: DataFrame
     quality: DataFrame
+    #: Both facts on one grain, where a warehouse keeps them so; else they are joined when asked for.
+    wide: DataFrame | None = None
 
 
 def empty_star(spark: SparkSession) -> Star:
@@ -126,5 +128,15 @@ def build_star(converted: DataFrame, existing: Star) -> Star:
     )
 
 
+def new_wide_rows(new_production: DataFrame, old_production: DataFrame, new_quality: DataFrame, old_quality: DataFrame) -> DataFrame:
+    """Readings that a load completes: in both facts now, but not before.  A reading whose halves come with
+    different loads is completed by the later one."""
+    keys = ["machine_key", "time_key"]
+    bare = lambda df: df.drop("load_ts")
+    pairs = bare(new_production).join(bare(new_quality).unionByName(bare(old_quality)), keys) \
+        .unionByName(bare(old_production).join(bare(new_quality), keys))
+    return pairs.withColumn("load_ts", F.current_timestamp()).select(*WIDE_FACT.fieldNames())
+
+
 def union_star(a: Star, b: Star) -> Star:
-    return Star(*[x.unionByName(y) for x, y in zip(a, b)])
+    return Star(*[x.unionByName(y) for x, y in zip(a[:4], b[:4], strict=True)])

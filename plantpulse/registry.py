@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions.columns import ts_of_time_key
 from plantpulse.functions.display import display
-from plantpulse.operators import analytics, charts, fleet, models
+from plantpulse.operators import analytics, charts, fleet, models, rollups
 from plantpulse.operators.clean import convert, good_rows, null_profile, rejects
 from plantpulse.schema import CATEGORIES, MEASURES, PRODUCTION_MEASURES, QUALITY_MEASURES
 from plantpulse.sources.files import count_staged, read_csv
@@ -170,19 +170,21 @@ def _test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensor_readings(spark, sf_dir).where(models.is_test_row())
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All converted rows, complete or not, scored by both models in one pass."""
+    return models.score(*trained_models(spark, sf_dir), _filled(spark, sf_dir))
+
+
 def _efficiency_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All converted rows, complete or not, scored; whether each got a known label."""
-    model = trained_models(spark, sf_dir)[0]
-    out = models.score_efficiency(model, _filled(spark, sf_dir))
-    known = F.coalesce(F.col("predicted_status").isin(list(model.stages[1].labels)), F.lit(False))
-    return out.select("reading_id", "status", known.alias("answered"))
+    """Whether each row got a known label."""
+    known = F.coalesce(F.col("predicted_status").isin(list(trained_models(spark, sf_dir)[0].stages[1].labels)), F.lit(False))
+    return _scores(spark, sf_dir).select("reading_id", "status", known.alias("answered"))
 
 
 def _failure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All converted rows, complete or not, scored; whether each got a percentage."""
-    out = models.score_failure(trained_models(spark, sf_dir)[1], _filled(spark, sf_dir))
+    """Whether each row got a percentage."""
     fits = F.coalesce(F.col("failure_probability_pct").between(0.0, 100.0), F.lit(False))
-    return out.select("reading_id", "status", fits.alias("answered"))
+    return _scores(spark, sf_dir).select("reading_id", "status", fits.alias("answered"))
 
 
 #: Least value of each held-out metric; labels of the test data do not follow from the features,
@@ -219,8 +221,15 @@ VARIANTS: dict[str, Query] = {
         lambda star: analytics.least_energy_efficient(star, order="text")),
 }
 
+#: Answered from the rollups that every load adds to; the same functions over the facts are tested to be equal.
+FROM_ROLLUPS: dict[str, Query] = {
+    name: (lambda s, d, fn=fn: fn(clean_warehouse(s, d).rollups())) for name, fn in rollups.ROLLED_UP.items()}
+
+FROM_ROLLUPS["latest_status"] = lambda s, d: analytics.latest_status_of(clean_warehouse(s, d))
+
 QUERIES: dict[str, Query] = {
     **{name: _analysis(fn) for name, fn in analytics.ANALYSES.items()},
     **VARIANTS,
     **ETL, **CHARTS, **KPIS, **DISPLAYS, **MODELS,
+    **FROM_ROLLUPS,
 }

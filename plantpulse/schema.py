@@ -10,7 +10,7 @@ __all__ = [
     "ABNORMAL_VIBRATION_SD", "TEMPERATURE_BAND_EDGES", "TOP_N", "HISTOGRAM_BINS",
     "SOURCE_COLUMNS", "MEASURES", "PRODUCTION_MEASURES", "QUALITY_MEASURES",
     "CATEGORIES", "FEATURES", "RAW", "SOURCE_NOTES", "READINGS", "MACHINE_DIM", "TIME_DIM",
-    "PRODUCTION_FACT", "QUALITY_FACT", "REJECTS", "STAR_SCHEMAS",
+    "PRODUCTION_FACT", "QUALITY_FACT", "WIDE_FACT", "PRODUCTION_ROLLUP", "PAIRED_ROLLUP", "PAIRED_MEASURES", "REJECTS", "STAR_SCHEMAS",
 ]
 
 # ---------------------------------------------------------------------------
@@ -113,6 +113,35 @@ QUALITY_FACT = _struct(
     ("load_ts", T.TimestampType(), True),
 )
 
+# Production and quality of one reading side by side (only readings that are in both facts).
+WIDE_FACT = _struct(
+    ("machine_key", T.IntegerType(), False),
+    ("time_key", T.LongType(), False),
+    *[(m, D, True) for m in MEASURES],
+    ("efficiency_status", S, True),
+    ("operation_mode", S, True),
+    ("load_ts", T.TimestampType(), True),
+)
+
+_ROLLUP_KEYS = [("machine_key", T.IntegerType(), True), ("day", T.DateType(), True), ("hour", T.IntegerType(), True),
+                ("operation_mode", S, True), ("efficiency_status", S, True)]
+
+# Mergeable sums per (machine, day, hour, mode, status): of the production fact, and of the wide fact.
+# Per measure: non-null count, sum, extremes, and sum of squared deviations from the row's own mean.
+PRODUCTION_ROLLUP = _struct(
+    *_ROLLUP_KEYS, ("n", T.LongType(), True), ("n_failures", T.LongType(), True),
+    ("first_failure", T.LongType(), True), ("last_failure", T.LongType(), True),
+    ("energy_n", T.LongType(), True), ("energy_sum", D, True),  # power per unit of speed, reading by reading
+    *[x for m in PRODUCTION_MEASURES for x in (
+        (f"{m}_n", T.LongType(), True), *[(f"{m}_{part}", D, True) for part in ("sum", "min", "max", "m2")])],
+)
+PAIRED_MEASURES = ["speed_uph", "error_rate_pct", "defect_rate_pct"]
+PAIRED_ROLLUP = _struct(
+    *_ROLLUP_KEYS, ("n", T.LongType(), True),
+    *[x for m in PAIRED_MEASURES for x in (
+        (f"{m}_n", T.LongType(), True), (f"{m}_sum", D, True), (f"{m}_max", D, True))],
+)
+
 REJECTS = _struct(
     ("reading_id", T.LongType(), True),
     ("target", S, False),
@@ -124,4 +153,7 @@ STAR_SCHEMAS = {
     "time_dim": TIME_DIM,
     "production_fact": PRODUCTION_FACT,
     "quality_fact": QUALITY_FACT,
+    "wide_fact": WIDE_FACT,
+    "production_rollup": PRODUCTION_ROLLUP,
+    "paired_rollup": PAIRED_ROLLUP,
 }

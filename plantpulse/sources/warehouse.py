@@ -6,6 +6,9 @@ Layout under ``root``::
     time_dim/load_id=<n>/reading_date=<d>/...
     production_fact/load_id=<n>/reading_date=<d>/...
     quality_fact/load_id=<n>/reading_date=<d>/...
+    wide_fact/load_id=<n>/reading_date=<d>/...        both facts side by side, for readings that are in both
+    production_rollup/load_id=<n>/...                 mergeable sums per machine, hour, mode and status ...
+    paired_rollup/load_id=<n>/...                     ... of the production fact and of the wide fact
     rejects/load_id=<n>/...                           dead-letter rows of each load
     _layout/                                          the date grain, written once with the first table
     _loads/                                           commit log: one row per committed load
@@ -14,10 +17,10 @@ Why this shape at scale
 -----------------------
 * The layout is stored with the data: whoever opens the warehouse reads the
   grain it was written with, and asking for another one is an error.
-* Facts are not bucketed.  The production x quality join shuffles the pruned
-  columns on both grain keys, so its task count follows the data, adaptive execution
-  sizes and splits it, and a machine that holds a third of all rows is spread over
-  all tasks (the pair is hashed, not the machine).
+* Production and quality are joined once, by the load that brings them (its rows and those
+  of its dates only), on both grain keys: the pair is hashed, so a machine that holds a third of
+  all rows is spread over all tasks.  Queries on both facts read the wide fact, with no join.
+* Rollups are sums that merge: a load adds the rows of what it adds, nothing is rewritten.
 * Writes are rebalanced by reading date: large dates are split over several
   files, small ones share a task.
 * Each load only *appends* a ``load_id`` partition to every table; nothing is
@@ -46,13 +49,15 @@ from pyspark.sql import types as T
 
 from plantpulse.functions.columns import ts_of_time_key
 from plantpulse.operators.clean import rejects as reject_rows
+from plantpulse.operators.rollups import Rollups, paired_rollup, production_rollup
 from plantpulse.operators.star import (
-    Star, new_machine_rows, new_production_rows, new_quality_rows, new_time_rows,
+    Star, new_machine_rows, new_production_rows, new_quality_rows, new_time_rows, new_wide_rows,
 )
 from plantpulse.schema import REJECTS, STAR_SCHEMAS
 
-TABLES = ("machine_dim", "time_dim", "production_fact", "quality_fact", "rejects")
-_DATED = ("time_dim", "production_fact", "quality_fact")
+STAR_TABLES = ("machine_dim", "time_dim", "production_fact", "quality_fact", "wide_fact")
+TABLES = (*STAR_TABLES, "production_rollup", "paired_rollup", "rejects")
+_DATED = ("time_dim", "production_fact", "quality_fact", "wide_fact")
 _LOG_SCHEMA = T.StructType([
     T.StructField("load_id", T.LongType(), False),
     T.StructField("committed_at", T.TimestampType(), False),
@@ -103,6 +108,7 @@ class Warehouse:
         self._keys: set[str] = set()
         self._key_of: dict[int, str | None] = {}
         self._star: Star | None = None
+        self._rollups: Rollups | None = None
         self._latest = None
 
     # -- catalog ---------------------------------------------------------
@@ -129,7 +135,7 @@ class Warehouse:
             self.spark.createDataFrame([(self.date_grain,)], "date_grain string").coalesce(1).write.parquet(path)
 
     def ensure_tables(self) -> None:
-        """Create the five tables if absent (CREATE TABLE IF NOT EXISTS over a
+        """Create the tables if absent (CREATE TABLE IF NOT EXISTS over a
         fixed location); a new catalog entry picks up the partitions already
         on disk.  Appends through this class register their partitions."""
         if self._ensured:
@@ -186,6 +192,7 @@ class Warehouse:
         registers partitions other applications appended."""
         self._ids = None
         self._star = None
+        self._rollups = None
         self._latest = None
         self._ensured = False
         self._recover = True
@@ -197,6 +204,7 @@ class Warehouse:
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_loads"))
         self._ids = None
         self._star = None
+        self._rollups = None
         self._latest = None
 
     # -- read ------------------------------------------------------------
@@ -214,12 +222,18 @@ class Warehouse:
         view is built once and kept until the next commit: DataFrames are
         immutable plans, so queries can share them."""
         if ids is not None:
-            return Star(*[self.table(t, ids) for t in TABLES[:4]])
+            return Star(*[self.table(t, ids) for t in STAR_TABLES])
         if self._star is None:
             live = self.committed_ids()
-            self._star = Star(*[self.table(t, live) for t in TABLES[:4]])
+            self._star = Star(*[self.table(t, live) for t in STAR_TABLES])
         return self._star
 
+    def rollups(self) -> Rollups:
+        """The rollups of all live loads, not yet merged, and the machine dimension."""
+        if self._rollups is None:
+            self._rollups = Rollups(*[self.table(t) for t in ("machine_dim", "production_rollup", "paired_rollup")])
+        return self._rollups
+
     def rejects(self) -> DataFrame:
         return self.table("rejects")
 
@@ -264,8 +278,14 @@ class Warehouse:
         def pruned(t: str) -> DataFrame:
             return self.table(t, keep_partition_cols=True).where(cond).drop("load_id", "reading_date")
 
-        return Star(self.table("machine_dim"), pruned("time_dim"), pruned("production_fact"),
-                    pruned("quality_fact"))
+        return Star(self.table("machine_dim"), *[pruned(t) for t in STAR_TABLES[1:]])
+
+    def on_days(self, table: str, days: list) -> DataFrame:
+        """Rows of a dated table in the partitions of the given days (literals on the partition column)."""
+        first = sorted({(d.replace(day=1) if self.date_grain == "month" else d).isoformat() for d in days})
+        df = self.table(table, keep_partition_cols=True)
+        return df.where(F.col("reading_date").isin([F.lit(d).cast("date") for d in first]) if first else F.lit(False)) \
+            .drop("load_id", "reading_date")
 
     def _on_dates(self, table: str, ids: list[int], dates: DataFrame) -> DataFrame:
         """Rows of ``table`` on the given reading dates only: a semi-join on the
@@ -320,6 +340,11 @@ class Warehouse:
             converted, machines, self._on_dates("production_fact", ids, dates)), load_id)
         self._append("quality_fact", new_quality_rows(
             converted, machines, self._on_dates("quality_fact", ids, dates)), load_id)
+        old_facts = [self._on_dates(t, ids, dates) for t in ("production_fact", "quality_fact")]
+        new_facts = [self.table(t, [load_id]) for t in ("production_fact", "quality_fact")]
+        self._append("wide_fact", new_wide_rows(new_facts[0], old_facts[0], new_facts[1], old_facts[1]), load_id)
+        self._append("production_rollup", production_rollup(new_facts[0]), load_id)
+        self._append("paired_rollup", paired_rollup(self.table("wide_fact", [load_id])), load_id)
         if with_rejects:
             self._append("rejects", reject_rows(converted), load_id)
         self._commit(load_id, batch_key)

@@ -25,7 +25,7 @@ from plantpulse.sources.fixture import dirty_raw, sensor_readings, write_mixed_c
 from plantpulse.sources.warehouse import Warehouse
 
 # Bump when the on-disk layout of the star changes, so old folders are not reused.
-LAYOUT_VERSION = 4
+LAYOUT_VERSION = 5
 
 
 def _code_version() -> str:
@@ -37,7 +37,7 @@ def _code_version() -> str:
     base = os.path.dirname(plantpulse.__file__)
     h = hashlib.sha1()
     for rel in ("schema.py", "functions/columns.py", "operators/clean.py", "operators/star.py",
-                "operators/models.py", "operators/timestamps.py", "sources/fixture.py", "sources/files.py", "sources/warehouse.py"):
+                "operators/models.py", "operators/rollups.py", "operators/timestamps.py", "sources/fixture.py", "sources/files.py", "sources/warehouse.py"):
         with open(os.path.join(base, rel), "rb") as f:
             h.update(f.read())
     return h.hexdigest()[:8]
