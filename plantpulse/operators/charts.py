@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.operators.analytics import readings_view
 from plantpulse.schema import HISTOGRAM_BINS
 
 
@@ -46,6 +47,20 @@ def filter_readings(readings: DataFrame, start: str | None = None, end: str | No
     return df
 
 
+def filter_warehouse(wh, start: str | None = None, end: str | None = None, hours: tuple[int, int] = (0, 23), machine="all",
+                     mode="all", end_inclusive: bool = True) -> DataFrame:
+    """:func:`filter_readings` over the readings of a warehouse.  The dates prune partitions; the machine becomes a
+    literal key on the facts, which lie in machine order, so row groups of other machines are skipped."""
+    whole = start is None and end is None
+    star = wh.star() if whole else wh.star_between(dt.date.fromisoformat(str(start or dt.date.min)[:10]),
+                                                   None if end is None else dt.date.fromisoformat(str(end)[:10]))
+    if machine != "all":
+        key = wh.machine_key(int(machine))
+        own = F.lit(False) if key is None else F.col("machine_key") == F.lit(key)
+        star = star._replace(production=star.production.where(own), quality=star.quality.where(own), wide=star.wide.where(own))
+    return filter_readings(readings_view(star), start, end, hours, "all", mode, end_inclusive)
+
+
 def data_status(df: DataFrame) -> DataFrame:
     """One row: how many rows the filters keep, and 'no data' when none."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(

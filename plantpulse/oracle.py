@@ -328,6 +328,12 @@ CHART_SQL = {
 SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
        speed_uph, error_rate_pct, defect_rate_pct, latency_ms, packet_loss_pct, pm_score
 FROM readings WHERE {FILTER}"""),
+    "filtered_star_machine": r("""
+SELECT machine_id, reading_ts, operation_mode, efficiency_status, temperature_c, vibration_hz, power_kw,
+       speed_uph, error_rate_pct, defect_rate_pct, latency_ms, packet_loss_pct, pm_score
+FROM readings
+WHERE reading_ts >= TIMESTAMP '2024-01-02' AND reading_ts <= TIMESTAMP '2024-01-29'
+  AND machine_id = 7 AND operation_mode = 'Active'"""),
     "filtered_readings_machine_mode": r("""
 SELECT * FROM readings
 WHERE reading_ts >= TIMESTAMP '2024-01-02' AND reading_ts <= TIMESTAMP '2024-01-29'

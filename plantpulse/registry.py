@@ -112,23 +112,17 @@ def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.filter_readings(sensor_readings(spark, sf_dir), **FILTER)
 
 
-def _filtered_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same dashboard filter over readings rebuilt from the warehouse: the
-    date range first prunes date partitions, then filters exact timestamps."""
-    import datetime as dt
-
-    wh = clean_warehouse(spark, sf_dir)
-    star = wh.star_between(dt.date.fromisoformat(FILTER["start"]), dt.date.fromisoformat(FILTER["end"]))
-    return charts.filter_readings(analytics.readings_view(star), **FILTER)
+ONE_MACHINE = {"start": "2024-01-02", "end": "2024-01-29", "machine": 7, "mode": "Active", "end_inclusive": False}
 
 
 CHARTS: dict[str, Query] = {
     "filtered_readings": _filtered,
-    "filtered_star_readings": _filtered_from_star,
+    # the same filters over the warehouse: date partitions and row groups of other machines are skipped
+    "filtered_star_readings": lambda s, d: charts.filter_warehouse(clean_warehouse(s, d), **FILTER),
+    "filtered_star_machine": lambda s, d: charts.filter_warehouse(clean_warehouse(s, d), **ONE_MACHINE),
     # the other filter branches: one machine, one mode, end day exclusive
     "filtered_readings_machine_mode": lambda s, d: charts.filter_readings(
-        sensor_readings(s, d), start="2024-01-02", end="2024-01-29", machine=7, mode="Active",
-        end_inclusive=False),
+        sensor_readings(s, d), **ONE_MACHINE),
     "data_status": lambda s, d: charts.data_status(sensor_readings(s, d)),
     "production_series": lambda s, d: charts.production_series(sensor_readings(s, d)),
     "error_series": lambda s, d: charts.error_series(sensor_readings(s, d)),
