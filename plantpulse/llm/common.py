@@ -53,6 +53,16 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared(*frames: DataFrame) -> None:
+    """Delete tables of :func:`write_shared` that nothing reads any more (what was made of them is written)."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.split(":", 1)[-1].lstrip("/").startswith(f"{checkpoint_root(spark)}/corpus/".split(":", 1)[-1].lstrip("/")):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint when its counted ``rows`` allow it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -73,7 +73,8 @@ def test_pipeline_stages_decide(spark):
     kept = ids(corpus_pipeline.quality(spark, docs, SF))
     assert kept == {r["doc_id"] for r in quality_rules.quality_rules(docs).collect() if r["kept"]}
     left = ids(corpus_pipeline.near_dedup(spark, docs, SF))
-    assert left == {r["component_id"] for r in minhash.near_duplicates(docs).collect()} and 900_002 not in left
+    near = minhash.near_duplicates(docs.select("doc_id", "text"), corpus_pipeline.NEAR_PERCENT).collect()
+    assert left == {r["component_id"] for r in near} and 900_002 not in left
     packed = corpus_pipeline.packing(spark, docs, SF)
     assert ids(packed) == ids(docs)
 
@@ -355,3 +356,43 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     marks = quality_classifier.op8_quality_classifier(spark, sf).where("held_out").join(labels, "doc_id")
     assert marks.where("quality = predicted").count() >= 0.93 * marks.count() > 0
+
+
+def test_only_lines_near_a_line_that_stays_are_removed(spark):
+    rnd = random.Random(12)
+    base = "".join(rnd.choice("abcdefghij ") for _ in range(60)).replace("\n", " ").strip() + " end of the line"
+    chain = [base]
+    for i in range(30):  # each line is one edit from the one before
+        chain.append(chain[-1][:2 * i] + "Z" + chain[-1][2 * i + 1:])
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(chain)], "doc_id bigint, text string")
+    left = [r["text"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]]
+    assert 1 < len(left) < len(chain)
+    k = min(5, len(base) // 20)
+    assert all(x in left or any(distance(x, y) <= k for y in left) for x in chain)
+    assert all(distance(x, y) > 0 for x, y in itertools.combinations(left, 2))
+
+
+def test_different_texts_of_one_id_keep_their_own_lines(spark):
+    rows = [(7, "one line that both documents hold\nsecond"), (7, "ANOTHER UNIQUE LINE of this text\none line that both documents hold"),
+            (None, "x unique a\ny"), (None, "only here, and nowhere else\nx unique a"), (8, "one line that both documents hold")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    texts = "\n".join(t for _, t, _ in got)
+    for line in ("ANOTHER UNIQUE LINE of this text", "second", "only here, and nowhere else", "y"):
+        assert texts.split("\n").count(line) == 1
+    assert texts.split("\n").count("one line that both documents hold") == 1 and texts.split("\n").count("x unique a") == 1
+
+
+def test_sketches_never_exceed_the_edits(spark):
+    rnd = random.Random(4)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rnd.choice("abcdeé漢 ") for _ in range(rnd.randrange(80)))
+        b = list(a)
+        for _ in range(rnd.randrange(6)):
+            at = rnd.randrange(len(b) + 1)
+            b[at:at + rnd.randrange(2)] = rnd.choice(["x", "", "a"])
+        pairs.append((a, "".join(b)))
+    s = [line_dedup.sketches([a, b]).tolist() + [distance(a, b)] for a, b in pairs]
+    df = spark.createDataFrame(s, "a bigint, b bigint, d int").select("d", line_dedup.sketch_distance(F.col("a"), F.col("b")).alias("s"))
+    assert all(r["s"] <= 2 * r["d"] for r in df.collect()) and df.where("s > 0").count() > 100
