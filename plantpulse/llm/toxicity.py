@@ -117,7 +117,9 @@ def rows_of_buckets(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS, want
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, dims: int, epochs: int = EPOCHS, alpha: float = ALPHA,
          beta: float = BETA, l1: float = L1, l2: float = L2, seed: int = 11) -> np.ndarray:
-    """Weights (last: intercept, which has no L1 bound) of a logistic model of 0/1 indicators."""
+    """Weights (last: intercept, which has no L1 bound) of a logistic model of 0/1 indicators.
+
+    ``rows`` are distinct coordinates, ending in ``dims``, the intercept's."""
     z, n = np.zeros(dims + 1), np.zeros(dims + 1)
     bound = np.full(dims + 1, l1)
     bound[dims] = 0.0
@@ -127,7 +129,6 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, dims: int, e
         return -far / ((beta + np.sqrt(n[i])) / alpha + l2)
 
     rng = np.random.default_rng(seed)
-    rows = [np.append(r, dims) for r in rows]
     for _ in range(epochs):
         for j in rng.permutation(len(rows)):
             i = rows[j]
@@ -145,9 +146,12 @@ def fit_arrays(buf: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight:
     if len(set(label.tolist())) < 2:
         share = (label.sum() + 1) / (len(label) + 2) if len(label) else 0.5
         return *none, float(np.log(share / (1 - share)))
-    r, b = rows_of_buckets(buf, offsets, bits)
-    at = np.searchsorted(r, np.arange(len(label) + 1))
-    w = ftrl([b[at[i]:at[i + 1]] for i in range(len(label))], label.astype(float), weight, 1 << bits)
+    rows = []
+    for lo, hi in group_by_bytes(np.diff(offsets), SLICE):  # bounded working arrays; four bytes for a feature are kept
+        r, b = rows_of_buckets(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], bits)
+        at, b = np.searchsorted(r, np.arange(hi - lo + 1)), b.astype(np.uint32)
+        rows += [np.append(b[at[i]:at[i + 1]], np.uint32(1 << bits)) for i in range(hi - lo)]
+    w = ftrl(rows, label.astype(float), weight, 1 << bits)
     use = np.flatnonzero(w[:-1])
     return use, w[use], float(w[-1])
 

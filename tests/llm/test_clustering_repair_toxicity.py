@@ -255,7 +255,7 @@ def test_long_texts_have_the_features_of_short_ones(monkeypatch):
 
 def test_ftrl_against_the_plain_rule():
     rng = np.random.default_rng(2)
-    rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(80)]
+    rows = [np.append(np.unique(rng.integers(0, 30, 6)), 30) for _ in range(80)]
     y, weight = rng.integers(0, 2, 80).astype(float), rng.uniform(1, 3, 80)
     got = tx.ftrl(rows, y, weight, 30, epochs=2, alpha=0.5, beta=1.0, l1=0.7, l2=0.1)
     z, n = [0.0] * 31, [0.0] * 31
@@ -269,7 +269,7 @@ def test_ftrl_against_the_plain_rule():
     order = np.random.default_rng(11)
     for _ in range(2):
         for j in order.permutation(80):
-            own = [*rows[j].tolist(), 30]
+            own = rows[j].tolist()
             ws = [w(i) for i in own]
             g = weight[j] * (1 / (1 + np.exp(-sum(ws))) - y[j])
             for i, wi in zip(own, ws, strict=True):
