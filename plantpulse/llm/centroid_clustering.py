@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantpulse.llm.common import ship, small_side, table, write_shared
+from plantpulse.llm.common import drop_shared, ship, small_side, table, write_shared
 
 DIMS = 64
 CLUSTERS = 8
@@ -157,6 +157,7 @@ class VaFile:
         id_type = vectors.schema["vec_id"].dataType.simpleString()
         self.whole = write_shared(numbered.select("at", "vec_id", "x").mapInArrow(
             run, f"at bigint, vec_id {id_type}, x array<int>, cells binary"), "va-file")
+        drop_shared(numbered)
         self.approximations = self.whole.select("at", "cells")
 
     def _stats(self, numbered: DataFrame) -> list[tuple]:
@@ -191,11 +192,14 @@ class VaFile:
             x, cells = _matrix(part.column(0), dims), _cells(part.column(1), dims)
             return x, None, assign(x, cells, tables.value, centroids)
 
-        return self._sums(self.whole.select("x", "cells"), moves, len(centroids))
+        out = self._sums(self.whole.select("x", "cells"), moves, len(centroids))
+        tables.destroy()
+        return out
 
-    def undecided(self, old, new) -> DataFrame:
-        """``at`` of the vectors that may change their cluster, from the approximations alone."""
-        tables, dims = self.spark.sparkContext.broadcast([interval_tables(self.edges, c) for c in (old, new)]), self.dims
+    def undecided(self, old, new, tables=None) -> DataFrame:
+        """``at`` of the vectors that may change their cluster, from the approximations alone (``tables``: the broadcast
+        interval tables of both, where they are at hand)."""
+        tables, dims = tables or self.spark.sparkContext.broadcast([interval_tables(self.edges, c) for c in (old, new)]), self.dims
 
         def run(batches):
             for batch in batches:
@@ -207,20 +211,24 @@ class VaFile:
 
     def moved(self, old, new) -> list[list[int]]:
         """How the totals change when the centroids go from ``old`` to ``new``."""
-        ids = write_shared(self.undecided(old, new), "va-undecided")
+        tables, dims = self.spark.sparkContext.broadcast([interval_tables(self.edges, c) for c in (old, new)]), self.dims
+        ids = write_shared(self.undecided(old, new, tables), "va-undecided")
         n = ids.count()
         if not n:
+            tables.destroy()
             return [[0] * (self.dims + 1) for _ in new]
         rows = self.whole.select("at", "x", "cells")
         if 2 * n < self.n:
             rows = rows.join(small_side(ids, n), "at", "left_semi")
-        tables, dims = self.spark.sparkContext.broadcast([interval_tables(self.edges, c) for c in (old, new)]), self.dims
 
         def moves(part):
             x, cells = _matrix(part.column(0), dims), _cells(part.column(1), dims)
             return x, assign(x, cells, tables.value[0], old), assign(x, cells, tables.value[1], new)
 
-        return self._sums(rows.select("x", "cells"), moves, len(new))
+        out = self._sums(rows.select("x", "cells"), moves, len(new))
+        tables.destroy()
+        drop_shared(ids)
+        return out
 
     def _sums(self, rows: DataFrame, moves, k: int) -> list[list[int]]:
         dims = self.dims
