@@ -37,6 +37,12 @@ _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 def _buckets(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of every n-gram of the rows (indicators not yet made distinct)."""
+    (a, i), (b, j) = _byte_buckets(buf, offsets, bits), _sign_buckets(buf, offsets, bits)
+    return np.concatenate([a, b]), np.concatenate([i, j])
+
+
+def _byte_buckets(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the byte 2- and 3-grams."""
     shift = np.uint32(32 - bits)
     n = len(buf)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
@@ -55,6 +61,15 @@ def _buckets(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
             same = row[:-2] == row[2:]
             parts.append(((x * _B) >> shift)[same])
             rows.append(row[:-2][same])
+    if not parts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
+    return np.concatenate(parts), np.concatenate(rows)
+
+
+def _sign_buckets(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the 1- to 4-grams of the word-repetition signs."""
+    shift, parts, rows = np.uint32(32 - bits), [], []
+    with np.errstate(over="ignore"):
         h, owner = word_hashes(buf, offsets)
         if len(h) > 1:
             inside = owner[1:] == owner[:-1]
@@ -73,7 +88,7 @@ def _buckets(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     return np.concatenate(parts), np.concatenate(rows)
 
 
-#: Bytes of texts whose features are held at once; a longer text is cut into slices that overlap by two bytes.
+#: Bytes of texts whose features are held at once; the byte n-grams of a longer text are found in slices that overlap by two bytes.
 SLICE = 1 << 20
 
 
@@ -109,9 +124,10 @@ def _row_buckets(buf, offsets, i, bits) -> np.ndarray:
     """The distinct buckets of one row, read in slices."""
     seen = np.zeros(1 << bits, dtype=bool)
     lo, hi = int(offsets[i]), int(offsets[i + 1])
-    for at in range(lo, hi, SLICE):
-        part = buf[max(lo, at - 64):min(hi, at + SLICE)]
-        seen[_buckets(part, np.array([0, len(part)], dtype=np.int64), bits)[0]] = True
+    for at in range(lo, hi, SLICE):  # the two bytes before a slice belong to its first n-grams
+        part = buf[max(lo, at - 2):min(hi, at + SLICE)]
+        seen[_byte_buckets(part, np.array([0, len(part)], dtype=np.int64), bits)[0]] = True
+    seen[_sign_buckets(buf[lo:hi], np.array([0, hi - lo], dtype=np.int64), bits)[0]] = True  # words are never cut
     return np.flatnonzero(seen)
 
 

@@ -396,3 +396,14 @@ def test_sketches_never_exceed_the_edits(spark):
     s = [line_dedup.sketches([a, b]).tolist() + [distance(a, b)] for a, b in pairs]
     df = spark.createDataFrame(s, "a bigint, b bigint, d int").select("d", line_dedup.sketch_distance(F.col("a"), F.col("b")).alias("s"))
     assert all(r["s"] <= 2 * r["d"] for r in df.collect()) and df.where("s > 0").count() > 100
+
+
+def test_quality_features_of_long_texts_do_not_depend_on_slices(monkeypatch):
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(["word", "other", "x" * 90, "word"]) for _ in range(4000)).encode()
+    buf, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)], dtype=np.int64)
+    weights = np.random.default_rng(1).normal(size=(1 << 18, 2))
+    whole, sums = quality_classifier._row_buckets(buf, offsets, 0, 18), quality_classifier.indicator_sums(buf, offsets, weights)
+    monkeypatch.setattr(quality_classifier, "SLICE", 1000)
+    assert (quality_classifier._row_buckets(buf, offsets, 0, 18) == whole).all()
+    assert np.allclose(quality_classifier.indicator_sums(buf, offsets, weights), sums)
