@@ -1,13 +1,12 @@
-"""Ranks of several columns in one pass over the rows, in long form (rank, value, id).
+"""Ranks of several columns in one pass over the rows, in long form (rank, value, id), with no window over all rows.
 
-:func:`ranking_report` ranks machines, one row each: one shuffle by rank, one window, one pivot.  A task sorts one
-number per machine, which is bounded by the machine dimension, not by the readings, and may spill.
+Quantiles cut every rank's values into up to ``RANGES`` ranges; one shuffle brings the rows of a
+range together, where one window ranks them, and the number of rows in earlier ranges is added.  Equal
+values always fall into one range, so ties are exact.
 
-:func:`positions` is for rows without such a bound: quantiles (one row of numbers for
-all ranks) cut every rank's values into up to ``RANGES`` ranges; one shuffle brings the rows of a
-range together, where one window counts the smaller and equal values inside the range.  The rows of
-earlier ranges, a few numbers per rank, are added from a single row.  Equal values always
-fall into one range, so ties are exact.
+:func:`ranking_report` ranks machines, one cheap row each: the bounds and the sizes of the ranges (a few numbers per
+rank) are fetched first and are literals of the plan.  :func:`positions` is for rows that cost more to make: bounds and sizes
+come from the same shuffles as the rows.
 """
 
 from __future__ import annotations
@@ -26,8 +25,7 @@ def positions(rows: DataFrame, ids: list[str], values: dict[str, Column]) -> Dat
     items = [F.struct(F.lit(n).alias("rank"), v.cast("double").alias("value"), F.col(f"_e{i}").alias("_edges"))
              for i, (n, v) in enumerate(values.items())]
     long = rows.crossJoin(F.broadcast(edges)).select(*ids, F.inline(F.array(*items)))  # one row
-    place = F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("value"))))
-    long = long.withColumn("range", place).drop("_edges").repartition("rank", "range")
+    long = long.withColumn("range", _range_no(F.col("value"), F.col("_edges"))).drop("_edges").repartition("rank", "range")
     inside = Window.partitionBy("rank", "range")
     ordered = inside.orderBy("value")
     counted = long.withColumns({
@@ -40,17 +38,36 @@ def positions(rows: DataFrame, ids: list[str], values: dict[str, Column]) -> Dat
     return counted.crossJoin(F.broadcast(table)).select(*ids, "rank", "value", (F.col("_own") + earlier).alias("before"), "ties")
 
 
+def _range_no(value: Column, edges: Column) -> Column:
+    return F.when(value.isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e < value)))
+
+
+def _bounds(rows: DataFrame, values: dict[str, Column]) -> tuple[dict[str, list[float]], dict[str, list[int]]]:
+    """Per rank, the bounds between its ranges, and how many rows lie in earlier ranges (the first holds the NULLs)."""
+    at = [i / RANGES for i in range(1, RANGES)]
+    edges = F.broadcast(rows.agg(F.struct(*[F.percentile_approx(v, at, 1_000).alias(n) for n, v in values.items()]).alias("_edges")))  # one row
+    found = rows.crossJoin(edges).select("_edges", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("rank"), _range_no(v, F.col(f"_edges.{n}")).alias("no")) for n, v in values.items()]))) \
+        .groupBy("rank", "no").agg(F.count(F.lit(1)).alias("n"), F.first("_edges").alias("_edges")).collect()  # RANGES + 1 rows per rank
+    sizes = {(r["rank"], r["no"]): r["n"] for r in found}
+    full = {n: (found[0]["_edges"][n] or []) if found else [] for n in values}
+    earlier = {n: [sum(c for (k, j), c in sizes.items() if k == n and j < no) for no in range(-1, len(full[n]) + 1)] for n in values}
+    return full, earlier
+
+
 def ranking_report(per: DataFrame) -> DataFrame:
     """Machines (unique ``machine_id``) ranked three ways: speed (high first), error rate and power per unit (low first), on
     unrounded values; ties share the smallest rank, NULL is the least value."""
-    item = lambda name, value: F.struct(F.lit(name).alias("rank"), value.alias("value"))
-    long = per.select("*", F.inline(F.array(
-        item("speed", F.coalesce(-F.col("avg_speed"), F.lit(float("inf")))), item("error", F.col("avg_error_rate")),
-        item("energy", F.col("avg_power_per_unit")))))
-    placed = long.withColumn("place", F.rank().over(Window.partitionBy("rank").orderBy("value")))
-    own = lambda name: F.max(F.when(F.col("rank") == name, F.col("place"))).cast("int").alias(f"{name}_rank")
+    values = {"speed": F.coalesce(-F.col("avg_speed"), F.lit(float("inf"))), "error": F.col("avg_error_rate"), "energy": F.col("avg_power_per_unit")}
+    edges, earlier = _bounds(per, values)
+    long = per.select("*", F.inline(F.array(*[F.struct(
+        F.lit(n).alias("rank"), v.alias("value"), _range_no(v, F.lit(edges[n]).cast("array<double>")).alias("_range_no")) for n, v in values.items()])))
+    before = F.coalesce(*[F.when(F.col("rank") == n, F.get(F.lit(earlier[n]).cast("array<bigint>"), F.col("_range_no") + 1)) for n in values])
+    own = F.rank().over(Window.partitionBy("rank", "_range_no").orderBy("value"))
+    placed = long.withColumn("own", own).withColumn("place", F.col("own") + before)
+    mine = lambda name: F.max(F.when(F.col("rank") == name, F.col("place"))).cast("int").alias(f"{name}_rank")
     same = lambda c: F.max(c).alias(c)  # noqa: E731  one machine's rows agree on it
-    wide = placed.groupBy("machine_id").agg(own("speed"), own("error"), own("energy"), same("avg_speed"), same("avg_error_rate"),
+    wide = placed.groupBy("machine_id").agg(mine("speed"), mine("error"), mine("energy"), same("avg_speed"), same("avg_error_rate"),
                                             same("avg_power_per_unit"))
     return wide.select("machine_id", "avg_speed", "speed_rank", "avg_error_rate", "error_rank",
                        F.round("avg_power_per_unit", 9).alias("avg_power_per_unit"), "energy_rank").orderBy("speed_rank", "machine_id")

@@ -50,7 +50,8 @@ def test_fact_join_tasks_follow_the_data(spark, star):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
-        text = plan_text(A.production_quality(star).groupBy("machine_key").count())
+        # (a star without the wide fact, as built in memory)
+        text = plan_text(A.production_quality(star._replace(wide=None)).groupBy("machine_key").count())
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -136,5 +137,5 @@ def test_dashboard_range_prunes_date_partitions(spark):
     expect = charts.filter_readings(flat, **kw).drop("reading_id")
     assert sorted(df.collect()) == sorted(expect.select(*df.columns).collect())
     filters = re.findall(r"PartitionFilters: \[[^\n]*\]", plan_formatted(df))
-    dated = [f for f in filters if "reading_date" in f]  # the two fact scans
-    assert len(dated) == 2 and all(">= 2024-01-08" in f and "<= 2024-01-21" in f for f in dated)
+    dated = [f for f in filters if "reading_date" in f]  # the fact scan, of both facts side by side
+    assert len(dated) == 1 and all(">= 2024-01-08" in f and "<= 2024-01-21" in f for f in dated)
