@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,6 +64,13 @@ def drop_shared(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results are written: it does so when the driver's
+    plans are collected, which without this may take until the next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint when its counted ``rows`` allow it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
