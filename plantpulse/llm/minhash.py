@@ -21,7 +21,9 @@ probability (1 - 0.85**5)**25 < 5e-7, at 0.8 with (1 - 0.8**5)**37 < 5e-7; every
 Defined results: null, empty and blank texts have an empty set, link with
 nothing and stay (component: their own id).  A text with fewer than five words
 has one shingle, of all its words.  Equal sets link.  Very long texts are read
-whole.  Repeated ids with equal rows are one document that appears as often as
+whole.  An empty table gives an empty result.  Sets are told apart by a digest, not by the id: different texts under one id (or
+under a null id) have a component each, or share one only if links join them.  A component's id is its smallest id, null if it
+has none; rows with that id are kept, so rows that agree in id and component are one document that appears as often as
 the input has it.  Other columns of the input are not carried.
 """
 
@@ -122,7 +124,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, digest`` (hash of the whole set; null if empty) and ``keys`` (one per band)."""
+    """``doc_id, text_hash, n_shingles, digest`` (hash of the whole set; null if empty) and ``keys`` (one per band)."""
     ship(docs.sparkSession)
     bands = bands_for(percent)
 
@@ -135,14 +137,19 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     low, high = (mix(x + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2))
                 digest.append(low.tobytes() + high.tobytes() if len(x) else None)
                 keys.append(buckets(x, bands).tolist() if len(x) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                              pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                                              pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "digest", "keys"])
 
-    return _binary(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return _binary(docs, text_hash()).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, keys array<bigint>")
 
 
-def _binary(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+def _binary(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *more)
+
+
+def text_hash() -> Column:
+    """What tells texts under one id apart."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
 
 
 def alike(both: Column, a: Column, b: Column, percent: int = PERCENT) -> Column:
@@ -204,20 +211,31 @@ def links_within(clouds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
+    """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
     found = write_shared(sketches(docs, percent), "sketches")
-    # equal sets are one class; its smallest document stands for it
-    same = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
-                                                                   F.min_by("keys", "doc_id").alias("keys"))
+    # equal sets are one class; a row with its smallest id stands for it
+    same = found.where("digest is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.min_by(F.struct("text_hash", "keys"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("x")) \
+        .select("digest", "rep", F.col("x.text_hash").alias("th"), F.col("x.keys").alias("keys"))
     reps = write_shared(same, "classes")
-    keys = reps.select("rep", F.explode("keys").alias("key"))
-    centers = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = write_shared(keys.join(centers, "key").where("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
-    members = write_shared(stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "members")
+    # a class is known by its smallest id, or by a hash of its digest where that id is null or stands for several sets
+    shared = write_shared(reps.groupBy("rep").agg(F.count("*").alias("sets")).where("sets > 1 or rep is null").select(F.col("rep").alias("id")), "shared-ids")
+    n_shared = shared.count()
+    odd = small_side(shared.withColumn("odd", F.lit(True)), n_shared)
+    reps = reps.join(odd, F.col("rep").eqNullSafe(F.col("id")), "left") \
+        .select("digest", "rep", "th", "keys", F.when(F.col("odd"), F.xxhash64("digest")).otherwise(F.col("rep")).alias("node")) \
+        if n_shared else reps.withColumn("node", F.col("rep"))
+    keys = reps.select("node", F.explode("keys").alias("key"))
+    centers = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c")
+    stars = write_shared(keys.join(centers, "key").where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    members = write_shared(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "members")
     n = members.count()
     if n:
         # only documents that share a bucket need their whole sets
-        wanted = docs.select("doc_id", "text").join(small_side(members, n), "doc_id").dropDuplicates(["doc_id"]) if n > 0 else None
+        asked = reps.select("node", "rep", "th").join(small_side(members, n), "node")
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_hash())
+        wanted = rows.join(small_side(asked, n), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("th"))) \
+            .select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
         sets = write_shared(shingle_sets(wanted), "sets")
         left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
         right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
@@ -233,16 +251,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if more.limit(1).count():
             classes = connected_components(classes.select(F.col("node").alias("u"), F.col("class").alias("v")).union(more)) \
                 .select("node", F.col("component").alias("class"))
-        reps = reps.join(classes, F.col("rep") == classes["node"], "left").select("digest", F.coalesce("class", "rep").alias("component_id"))
+        reps = reps.join(classes, "node", "left").select("digest", "rep", F.coalesce("class", "node").alias("class"))
+    else:
+        reps = reps.select("digest", "rep", F.col("node").alias("class"))
+    if n_shared:  # the smallest node need not be the smallest id
+        reps = write_shared(reps, "components")
+        reps = reps.join(reps.groupBy("class").agg(F.min("rep").alias("least")), "class").select("digest", F.col("least").alias("component_id"))
     else:
-        reps = reps.select("digest", F.col("rep").alias("component_id"))
+        reps = reps.select("digest", F.col("class").alias("component_id"))
     out = found.drop("keys").join(reps, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")) \
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")) \
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 OP5_SQL = r"""

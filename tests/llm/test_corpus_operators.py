@@ -407,3 +407,16 @@ def test_quality_features_of_long_texts_do_not_depend_on_slices(monkeypatch):
     monkeypatch.setattr(quality_classifier, "SLICE", 1000)
     assert (quality_classifier._row_buckets(buf, offsets, 0, 18) == whole).all()
     assert np.allclose(quality_classifier.indicator_sums(buf, offsets, weights), sums)
+
+
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    w, v, x = words("w"), words("v"), words("x")
+    rows = [(1, w), (2, w), (2, v), (3, v + " tail"), (None, v), (None, x), (None, x), (None, None), (4, "  "), (2, words("own")), (2, w)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=str)
+    want = [(1, 36, 1, True), (2, 36, 1, False), (2, 36, 1, False), (2, 36, 2, True), (3, 37, 2, False), (None, 36, 2, False),
+            (None, 36, None, True), (None, 36, None, True), (None, 0, None, True), (4, 0, 4, True), (2, 36, 2, True)]
+    assert got == sorted(want, key=str)
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
+    assert left == sorted([(1, w), (2, v), (None, x), (None, x), (None, None), (4, "  "), (2, words("own"))], key=str)
