@@ -48,10 +48,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    gone = near_duplicates(docs.select("doc_id", "text"), NEAR_PERCENT).where("not kept").select("doc_id").distinct()
-    gone = write_shared(gone, "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Decisions belong to an id and its text together: different texts under one id (or a null id) are judged apart."""
+    gone = near_duplicates(docs.select("doc_id", "text"), NEAR_PERCENT).where("not kept")
+    gone = write_shared(gone.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "near-copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
