@@ -7,7 +7,7 @@ joined by redirects, canonical links or refreshes form one connected component
 (aliases of one resource), and a block on any member blocks the members that no
 rule allows.  An allow rule always wins for its own url.
 
-Edges come from ``<link rel=canonical>`` and refresh tags of the html, from an
+Edges come from ``<link rel=canonical>`` and refresh tags of the html (relative references are resolved against the page), from an
 optional table of redirects (``src``, ``dst``), and from the standing redirects of every
 site: scheme, default port, fragment, and trailing slash lead to one url.
 
@@ -83,19 +83,51 @@ def canonical(url: Column) -> Column:
     return F.when(h != "", F.concat(h, p, query))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, in either quotes or none; empty if there is none."""
+    found = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)])
+
+
+def resolved(url: Column, href: Column) -> Column:
+    """``href`` as seen from the page ``url``, made absolute: references with a scheme, a host, a path from
+    the root or from the page's directory, or a query only; dot segments are worked off.  Null for references into the page and for
+    schemes without a host."""
+    origin = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*", 0)
+    at = F.regexp_extract(href, r"(?s)\A[^?#]*", 0)
+    rest = F.regexp_extract(href, r"(?s)\A[^?#]*(.*)", 1)
+    directory = F.regexp_replace(path(url), r"[^/]*$", "")
+    directory = F.when(directory == "", F.lit("/")).otherwise(directory)
+    joined = F.when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), href) \
+        .when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:") | href.startswith("#") | (href == ""), F.lit(None).cast("string")) \
+        .when(href.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), F.lit(":"), href)) \
+        .when(href.startswith("/"), F.concat(origin, href)) \
+        .when(at == "", F.concat(origin, path(url), href)) \
+        .otherwise(F.concat(origin, directory, at, rest))
+    return let(joined, without_dots)
+
+
+def without_dots(url: Column) -> Column:
+    """The url with ``.`` and ``..`` worked off its path."""
+    origin = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*", 0)
+    rest = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*[^?#]*(.*)", 1)
+    steps = F.split(F.regexp_replace(path(url), r"\A/", ""), "/")
+    walked = F.aggregate(steps, F.lit(""), lambda done, x: F.when(x == "..", F.regexp_replace(done, r"/[^/]*$", ""))
+                         .when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x)))
+    walked = F.concat(walked, F.when(path(url).rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path(url).rlike(r"/\.{1,2}(/|$)"), F.concat(origin, walked, rest)).otherwise(url)
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """``src, dst``: canonical links and refresh targets of the html, made absolute."""
     tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    attr = lambda tag, name: F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']?([^"'>]*)""", 1)
     wanted = pages.where(F.col("html").rlike(r"(?i)<link\b[^>]*canonical|<meta\b[^>]*refresh")) \
         .select("url", F.explode(tags).alias("tag"))
     t = F.col("tag")
-    href = F.when(F.lower(attr(t, "rel")).rlike(r"\bcanonical\b"), F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]*)""", 1)) \
-        .when(F.lower(attr(t, "http-equiv")) == "refresh", F.regexp_extract(attr(t, "content"), r"(?i)url\s*=\s*(\S+)", 1))
-    scheme, h = F.regexp_extract("url", r"\A(.*?)://", 1), F.regexp_extract("url", r"\A.*?://([^/?#]*)", 1)
-    target = F.when(href.contains("://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)) \
-        .when(href.startswith("/"), F.concat(scheme, F.lit("://"), h, href))
-    return wanted.select(F.col("url").alias("src"), target.alias("dst")).where(F.col("src").isNotNull() & (F.col("dst") != ""))
+    href = F.when(F.lower(attribute(t, "rel")).rlike(r"\bcanonical\b"), attribute(t, "href")) \
+        .when(F.lower(attribute(t, "http-equiv")) == "refresh", F.regexp_extract(attribute(t, "content"), r"""(?i)url\s*=\s*["']?([^"'\s]+)""", 1))
+    found = wanted.select("url", F.replace(F.btrim(href, F.lit(" \t\n\r\f")), F.lit("&amp;"), F.lit("&")).alias("href")).where("href <> '' and url is not null")
+    return found.select(F.col("url").alias("src"), resolved(F.col("url"), F.col("href")).alias("dst")).where("dst <> ''")
 
 
 def url_filters(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -163,21 +195,37 @@ WITH RECURSIVE rules(rule, verdict) AS (
   FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND fit.k = 1
 ), tags AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p
-), hrefs AS (
+), attributes AS (
   SELECT page_id, url,
-         CASE WHEN regexp_matches(lower(regexp_extract(tag, '(?i)\brel\s*=\s*["'']?([^"''>]*)', 1)), '\bcanonical\b')
-              THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)
-              WHEN lower(regexp_extract(tag, '(?i)\bhttp-equiv\s*=\s*["'']?([^"''>]*)', 1)) = 'refresh'
-              THEN regexp_extract(regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?([^"''>]*)', 1), '(?i)url\s*=\s*(\S+)', 1) END AS href
+         [concat(regexp_extract(tag, p, 1), regexp_extract(tag, p, 2), regexp_extract(tag, p, 3)) FOR p IN [
+           '(?i)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', '(?i)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))',
+           '(?i)[\s"''/]http-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', '(?i)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))']] AS vals
   FROM tags
+), hrefs AS (
+  SELECT page_id, url, replace(trim(CASE WHEN regexp_matches(lower(vals[1]), '\bcanonical\b') THEN vals[2]
+              WHEN lower(vals[3]) = 'refresh' THEN regexp_extract(vals[4], '(?i)url\s*=\s*["'']?([^"''\s]+)', 1) END, e' \t\n\r\f'), '&amp;', '&') AS href,
+         regexp_extract(url, '^[\s\S]*?://[^/?#]*') AS origin, regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS place
+  FROM attributes
+), joined AS (
+  SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+              WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(href, '#') THEN NULL
+              WHEN starts_with(href, '//') THEN regexp_extract(url, '^([\s\S]*?)://', 1) || ':' || href
+              WHEN starts_with(href, '/') THEN origin || href
+              WHEN starts_with(href, '?') THEN origin || place || href
+              ELSE origin || coalesce(nullif(regexp_replace(place, '[^/]*$', ''), ''), '/') || href END AS dst
+  FROM hrefs WHERE href <> '' AND url IS NOT NULL
+), parts AS (
+  SELECT page_id, dst, regexp_extract(dst, '^[\s\S]*?://[^/?#]*') AS origin, regexp_extract(dst, '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS place,
+         regexp_extract(dst, '^[\s\S]*?://[^/?#]*[^?#]*([\s\S]*)$', 1) AS rest
+  FROM joined WHERE dst <> ''
 ), links AS (
   SELECT j.canon AS a, t.dst AS dst,
          translate(regexp_extract(t.dst, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
          regexp_extract(t.dst, '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS pa
-  FROM (SELECT page_id, CASE WHEN contains(href, '://') THEN href
-                             WHEN starts_with(href, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || href
-                             WHEN starts_with(href, '/') THEN regexp_extract(url, '^(.*?)://', 1) || '://' || regexp_extract(url, '^.*?://([^/?#]*)', 1) || href END AS dst
-        FROM hrefs WHERE href <> '') t JOIN j ON t.page_id = j.page_id WHERE t.dst <> ''
+  FROM (SELECT page_id, CASE WHEN regexp_matches(place, '/\.{1,2}(/|$)') THEN origin || list_reduce(list_concat([''], string_split(substr(place, 2), '/')),
+               lambda done, x: CASE WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN x = '.' THEN done ELSE done || '/' || x END)
+               || CASE WHEN regexp_matches(place, '/\.{1,2}$') THEN '/' ELSE '' END || rest ELSE dst END AS dst FROM parts) t
+  JOIN j ON t.page_id = j.page_id
 ), far AS (
   SELECT dst, h, pa,
          CASE WHEN h <> '' THEN regexp_replace(h, ':(80|443)$', '') || regexp_replace(pa, '/+$', '') || regexp_extract(dst, '^[^?#]*(\?[^#]*)', 1) END AS canon,

@@ -420,3 +420,38 @@ def test_near_duplicates_tell_texts_of_one_id_apart(spark):
     assert got == sorted(want, key=str)
     left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
     assert left == sorted([(1, w), (2, v), (None, x), (None, x), (None, None), (4, "  "), (2, words("own"))], key=str)
+
+
+HREFS = ["/es/a", "b", "../es/a", "../../es/a?x=1&amp;y=2", "./../x/./c", "..", ".", "?p=1", "#top", "//other.net/es/a", "http://x.net/es/a", "HTTP://x.net/q/../es/a#f",
+         "mailto:a@b.c", "/es/go?to=http://free.org/", "  es/a ", "a:b", "x/?u=../y", ""]
+PAGES = ["http://x.net/q/r/page", "http://x.net", "http://x.net?p=2", "https://x.net/q/#f", "http://x.net/q/r/?a=/b/c"]
+
+
+def test_links_resolve_as_urls_do(spark):
+    from urllib.parse import urldefrag, urljoin, urlsplit
+
+    rows = [(p, h) for p in PAGES for h in HREFS]
+    df = spark.createDataFrame([(p, f'''<p><LINK data-x='1' rel="canonical" href='{h}'>''') for p, h in rows], "url string, html string")
+    got = {(r["src"], urldefrag(r["dst"])[0].rstrip("/")) for r in url_filters.html_links(df).collect()}
+    want = set()
+    for p, h in rows:
+        h = h.strip().replace("&amp;", "&")
+        if h and not h.startswith(("#", "mailto", "a:b")):
+            d = urldefrag(urljoin(p, h))[0].replace("HTTP", "http")
+            at = urlsplit(d)  # joined once more, as urljoin leaves dots of a reference with a host
+            want.add((p, (urljoin(d, at._replace(scheme="", netloc="").geturl()) if at.path else d).rstrip("/")))
+    assert {(s, d.replace("HTTP", "http")) for s, d in got} == want
+
+
+def test_url_query_follows_relative_links_as_duckdb(spark, tmp_path):
+    link = "<html><link rel=canonical href='{}'><meta http-equiv=\"Refresh\" content=\"0; url='{}'\">"
+    rows = [(i, f"http://s{i}.org/d/e", link.format(h, "")) for i, h in enumerate(h.replace("../es", "http://x.net/z/../es") for h in HREFS)]
+    rows += [(100, "http://x.net/fr/p", "<link rel='canonical' href='../es/a'>"), (101, "http://y.org/", link.format("", "http://x.net/es/a")),
+             (102, "http://x.net/other/p", "<link href='../es/a' rel='x canonical'>"), (103, "http://x.net/es/a", None), (104, None, link.format("/es/a", "")),
+             (105, "http://www.free.com/k", "<link rel=canonical href=http://x.net/es/a>"), (106, "http://x.net/n", "<meta http-equiv=refresh content='3;URL=es/a'>")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.op3_url_filters(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in con.execute(url_filters.OP3_SQL).fetchall()}
+    assert {i for i in got if got[i][2] is None and got[i][3] == "block"} >= {101, 102, 106} and got[105][3] == "allow"
