@@ -27,7 +27,7 @@ from plantpulse.sources.warehouse import Warehouse  # noqa: E402
 
 def run_etl(spark: SparkSession, source: str, warehouse: str, staging: str | None = None,
             source_format: str = "csv", date_grain: str | None = None,
-            batch_key: str | None = None, compact: bool = False) -> int | None:
+            batch_key: str | None = None) -> int | None:
     """Load one source batch; returns the committed load id (None if a batch of
     this key is loaded already; nothing is staged then).  An empty source raises."""
     wh = Warehouse(spark, warehouse, date_grain=date_grain)
@@ -43,11 +43,7 @@ def run_etl(spark: SparkSession, source: str, warehouse: str, staging: str | Non
         raise ValueError(f"no records in {source}")
     if staging:
         land_raw(raw, staging)
-    load_id = wh.load(convert(raw), batch_key=batch_key)
-    if compact:
-        wh.compact()
-        wh.vacuum()
-    return load_id
+    return wh.load(convert(raw), batch_key=batch_key)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -58,7 +54,6 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--date-grain", choices=["day", "month"])
     ap.add_argument("--batch-key")
-    ap.add_argument("--compact", action="store_true")
     a = ap.parse_args(argv)
     builder = SparkSession.builder.appName("plantpulse-etl")
     width = os.environ.get("PLANTPULSE_SHUFFLE_PARTITIONS")
@@ -66,7 +61,7 @@ def main(argv: list[str] | None = None) -> None:
     if not width:
         del conf["spark.sql.shuffle.partitions"]  # the cluster's own setting
     spark = builder.config(map=conf).getOrCreate()
-    load_id = run_etl(spark, a.source, a.warehouse, a.staging, a.format, a.date_grain, a.batch_key, a.compact)
+    load_id = run_etl(spark, a.source, a.warehouse, a.staging, a.format, a.date_grain, a.batch_key)
     print(f"committed load {load_id}" if load_id else "batch already loaded")
 
 

@@ -31,9 +31,6 @@ Why this shape at scale
 * An incremental load checks "already loaded?" only against the existing
   partitions of the dates present in its batch (a semi-join on the partition
   column, which the planner may turn into dynamic partition pruning).
-* :meth:`Warehouse.compact` rewrites many small loads (e.g. streaming
-  micro-batches) into one, and records which ids it supersedes; readers then
-  skip the superseded ids.
 * Single writer per warehouse (no concurrent loads).
 """
 
@@ -67,7 +64,6 @@ _LOG_SCHEMA = T.StructType([
     T.StructField("load_id", T.LongType(), False),
     T.StructField("committed_at", T.TimestampType(), False),
     T.StructField("batch_key", T.StringType(), True),
-    T.StructField("supersedes", T.ArrayType(T.LongType()), True),
 ])
 
 
@@ -85,6 +81,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def date_partition(ts: F.Column, grain: str) -> F.Column:
     """Partition value of a timestamp: its day, or the first day of its month."""
     if grain == "day":
@@ -111,7 +112,6 @@ class Warehouse:
         self._recover = False
         self._ids: list[int] | None = None
         self._keys: set[str] = set()
-        self._key_of: dict[int, str | None] = {}
         self._star: Star | None = None
         self._rollups: Rollups | None = None
         self._latest = None
@@ -170,24 +170,17 @@ class Warehouse:
         return self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.root}/_loads")
 
     def committed_ids(self) -> list[int]:
-        """Live load ids: committed and not superseded by a compaction.  The log
-        holds one row per load (not per record); it is read once and kept, and
-        :meth:`refresh` re-reads it after another writer's load."""
+        """Ids of the committed loads.  The log holds one row per load (not per
+        record); it is read once and kept, and :meth:`refresh` re-reads it
+        after another writer's load."""
         if self._ids is None:
             if not _exists(self.spark, f"{self.root}/_loads"):
                 return []
             rows = self.log().collect()
-            dead = {i for r in rows for i in (r["supersedes"] or [])}
-            self._ids = sorted(r["load_id"] for r in rows if r["load_id"] not in dead)
+            self._ids = sorted(r["load_id"] for r in rows)
             self._keys = {r["batch_key"] for r in rows if r["batch_key"] is not None}
-            self._key_of = {r["load_id"]: r["batch_key"] for r in rows}
         return list(self._ids)
 
-    def live_ids_with_key_prefix(self, prefix: str) -> list[int]:
-        """Live loads whose batch key starts with ``prefix`` (e.g. the stream's
-        micro-batches not yet compacted)."""
-        return [i for i in self.committed_ids() if (self._key_of.get(i) or "").startswith(prefix)]
-
     def has_batch(self, batch_key: str) -> bool:
         self.committed_ids()
         return batch_key in self._keys
@@ -202,10 +195,9 @@ class Warehouse:
         self._ensured = False
         self._recover = True
 
-    def _commit(self, load_id: int, batch_key: str | None, supersedes: list[int] | None = None) -> None:
-        (self.spark.createDataFrame([(load_id, batch_key, supersedes)],
-                                    "load_id bigint, batch_key string, supersedes array<bigint>")
-         .select("load_id", F.current_timestamp().alias("committed_at"), "batch_key", "supersedes")
+    def _commit(self, load_id: int, batch_key: str | None) -> None:
+        (self.spark.createDataFrame([(load_id, batch_key)], "load_id bigint, batch_key string")
+         .select("load_id", F.current_timestamp().alias("committed_at"), "batch_key")
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_loads"))
         self._ids = None
         self._star = None
@@ -362,45 +354,5 @@ class Warehouse:
         if with_rejects:
             self._append("rejects", reject_rows(converted), load_id)
         self._commit(load_id, batch_key)
+        _delete(self.spark, batch_path)
         return load_id
-
-    def vacuum(self) -> list[str]:
-        """Delete what no reader can see any more: partitions of superseded
-        loads and the converted batches of committed loads.  Uncommitted
-        partitions are left alone (a load may still be running).  Returns the
-        deleted paths (all under this warehouse's root)."""
-        if not _exists(self.spark, f"{self.root}/_loads"):
-            return []
-        rows = self.log().collect()
-        dead = sorted({i for r in rows for i in (r["supersedes"] or [])})
-        done = sorted(r["load_id"] for r in rows)
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        removed = []
-        targets = [f"{self.path(t)}/load_id={i}" for t in TABLES for i in dead]
-        targets += [f"{self.root}/_batches/load_id={i}" for i in done]
-        for p in targets:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            fs = path.getFileSystem(conf)
-            if fs.exists(path):
-                fs.delete(path, True)
-                removed.append(p)
-        for t in TABLES:
-            for i in dead:
-                self.spark.sql(f"ALTER TABLE {self.name(t)} DROP IF EXISTS PARTITION (load_id={i})")
-        return removed
-
-    def compact(self, ids: list[int] | None = None) -> int | None:
-        """Rewrite the given live loads (default: all) as one new load and
-        commit it as superseding them.  Keys are unchanged, so facts still
-        join their dimensions.  Old partitions stay on disk until removed by a
-        separate clean-up; nothing reads them once the commit lands."""
-        live = self.committed_ids()
-        ids = live if ids is None else [i for i in ids if i in live]
-        if len(ids) < 2:
-            return None
-        new_id = int(time.time() * 1_000_000)
-        for t in TABLES:
-            self._append(t, self.table(t, ids), new_id)
-        self._commit(new_id, None, supersedes=ids)
-        return new_id

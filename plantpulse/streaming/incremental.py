@@ -20,14 +20,12 @@ from plantpulse.sources.warehouse import Warehouse
 def start_incremental_load(spark: SparkSession, staging_path: str, wh: Warehouse,
                            checkpoint: str | None = None, available_now: bool = False,
                            max_files_per_trigger: int = 1000,
-                           processing_time: str = "1 minute",
-                           compact_after: int | None = 50) -> StreamingQuery:
+                           processing_time: str = "1 minute") -> StreamingQuery:
     """Start the stream.  ``available_now=True`` loads everything present and
     stops (a catch-up run); otherwise it polls on ``processing_time``.
 
-    Every micro-batch adds a small partition to each table; once
-    ``compact_after`` of them are live they are rewritten as one load (only
-    the stream's own recent loads, never the large historical ones)."""
+    Every micro-batch is a load and adds a partition to each table, so the
+    trigger's interval decides how large these are."""
     checkpoint = checkpoint or f"{wh.root}/_stream_checkpoint"
     stream = (spark.readStream.schema(T.StructType([*RAW.fields, *SOURCE_NOTES]))
               .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -37,10 +35,6 @@ def start_incremental_load(spark: SparkSession, staging_path: str, wh: Warehouse
         # the query's id lives in its checkpoint: another stream, or a reset one, has another id
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         wh.load(convert(batch), batch_key=f"stream:{query_id}:{epoch_id}")
-        if compact_after:
-            recent = wh.live_ids_with_key_prefix("stream:")
-            if len(recent) >= compact_after:
-                wh.compact(recent)
 
     writer = stream.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
