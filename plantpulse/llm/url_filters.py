@@ -8,8 +8,9 @@ joined by redirects, canonical links or refreshes form one connected component
 rule allows.  An allow rule always wins for its own url.
 
 Edges come from ``<link rel=canonical>`` and refresh tags of the html (relative references are resolved against the page), from an
-optional table of redirects (``src``, ``dst``), and from the standing redirects of every
-site: scheme, default port, fragment, and trailing slash lead to one url.
+optional table of redirects (``src``, ``dst``).  Urls that name one resource by definition
+are one node: the scheme's default port, an empty path and the fragment do not tell urls apart.  With ``standing``
+the redirects that most sites have are taken for granted, too: http to https and the trailing slash.  The query leaves these out.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 no rule and the verdict allow.  Repeated urls share their verdict.  Html may be
@@ -74,13 +75,18 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
 
 
-def canonical(url: Column) -> Column:
-    """Where a site's standing redirects end: scheme, default port, fragment
-    and trailing slash removed.  Null without a host."""
-    h = F.regexp_replace(host(url), ":(80|443)$", "")
-    p = F.regexp_replace(path(url), "/+$", "")
+def canonical(url: Column, standing: bool = False) -> Column:
+    """The name of a url's node: without the scheme's default port, an empty path or a fragment;
+    with ``standing`` also without scheme and trailing slash.  Null without a host."""
+    scheme = F.translate(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), UPPER, LOWER)
     query = F.regexp_extract(url, r"(?s)\A[^?#]*(\?[^#]*)", 1)
-    return F.when(h != "", F.concat(h, p, query))
+    if standing:
+        name = F.concat(F.regexp_replace(host(url), r":(80|443)\z", ""), F.regexp_replace(path(url), r"/+\z", ""), query)
+    else:
+        h = F.when(scheme == "http", F.regexp_replace(host(url), r":80\z", "")) \
+            .when(scheme == "https", F.regexp_replace(host(url), r":443\z", "")).otherwise(host(url))
+        name = F.concat(scheme, F.lit("://"), h, F.when(path(url) == "", F.lit("/")).otherwise(path(url)), query)
+    return F.when(host(url) != "", name)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -130,7 +136,7 @@ def html_links(pages: DataFrame) -> DataFrame:
     return found.select(F.col("url").alias("src"), resolved(F.col("url"), F.col("href")).alias("dst")).where("dst <> ''")
 
 
-def url_filters(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+def url_filters(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, standing: bool = False) -> DataFrame:
     """The pages plus ``host, path, rule, verdict, component``.
 
     ``component`` is the 64-bit id of the url's alias group (null: no alias).
@@ -147,14 +153,14 @@ def url_filters(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
         # targets that are no page themselves can carry a rule, too
         urls = urls.union(links.select("src")).union(links.select("dst")).distinct()
     judged = write_shared(ruled(urls.select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules)
-                          .withColumn("canon", F.xxhash64(canonical(F.col("url")))).withColumn(
+                          .withColumn("canon", F.xxhash64(canonical(F.col("url"), standing))).withColumn(
                               "canon", F.when(F.col("host") != "", F.col("canon"))), "judged")
     # urls that redirect to one canonical url are one node of the graph; only links between nodes need the search
     if links is None:
         groups = judged.select(F.col("canon").alias("node"), F.col("canon").alias("component")).limit(0)
     else:
-        ends = links.select(F.xxhash64(canonical(F.col("src"))).alias("u"), F.xxhash64(canonical(F.col("dst"))).alias("v"),
-                            canonical(F.col("src")).isNotNull().alias("a"), canonical(F.col("dst")).isNotNull().alias("b"))
+        ends = links.select(F.xxhash64(canonical(F.col("src"), standing)).alias("u"), F.xxhash64(canonical(F.col("dst"), standing)).alias("v"),
+                            canonical(F.col("src"), standing).isNotNull().alias("a"), canonical(F.col("dst"), standing).isNotNull().alias("b"))
         groups = connected_components(ends.where("a and b").select("u", "v"))
     judged = judged.join(groups, F.col("canon") == groups["node"], "left") \
         .withColumn("component", F.coalesce("component", "canon"))
@@ -190,8 +196,10 @@ WITH RECURSIVE rules(rule, verdict) AS (
                    AND starts_with(path, substr(rule, instr(rule, '/')))
 ), j AS (
   SELECT p.page_id, p.host, p.path, fit.rule, fit.verdict,
-         CASE WHEN p.host <> '' THEN regexp_replace(p.host, ':(80|443)$', '') || regexp_replace(p.path, '/+$', '')
-              || regexp_extract(p.url, '^[^?#]*(\?[^#]*)', 1) END AS canon
+         CASE WHEN p.host <> '' THEN CASE translate(regexp_extract(p.url, '^([\s\S]*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN 'http' THEN 'http://' || regexp_replace(p.host, ':80\z', '')
+              WHEN 'https' THEN 'https://' || regexp_replace(p.host, ':443\z', '')
+              ELSE translate(regexp_extract(p.url, '^([\s\S]*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || p.host END
+              || CASE p.path WHEN '' THEN '/' ELSE p.path END || regexp_extract(p.url, '^[^?#]*(\?[^#]*)', 1) END AS canon
   FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND fit.k = 1
 ), tags AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p
@@ -228,7 +236,10 @@ WITH RECURSIVE rules(rule, verdict) AS (
   JOIN j ON t.page_id = j.page_id
 ), far AS (
   SELECT dst, h, pa,
-         CASE WHEN h <> '' THEN regexp_replace(h, ':(80|443)$', '') || regexp_replace(pa, '/+$', '') || regexp_extract(dst, '^[^?#]*(\?[^#]*)', 1) END AS canon,
+         CASE WHEN h <> '' THEN CASE translate(regexp_extract(dst, '^([\s\S]*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN 'http' THEN 'http://' || regexp_replace(h, ':80\z', '')
+              WHEN 'https' THEN 'https://' || regexp_replace(h, ':443\z', '')
+              ELSE translate(regexp_extract(dst, '^([\s\S]*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || h END
+              || CASE pa WHEN '' THEN '/' ELSE pa END || regexp_extract(dst, '^[^?#]*(\?[^#]*)', 1) END AS canon,
          (SELECT arg_max(r.verdict, length(r.rule)) FROM rules r
           WHERE (h = split_part(r.rule, '/', 1) OR ends_with(h, '.' || split_part(r.rule, '/', 1))) AND starts_with(pa, substr(r.rule, instr(r.rule, '/')))) AS verdict
   FROM links

@@ -235,9 +235,18 @@ def test_url_decisions_follow_links(spark):
         (1, "http://x.net/es/a", None), (2, "http://other.org/p", html.format("http://x.net/es/a")),
         (3, "https://other.org/p/#top", None), (4, "http://ok.com/q", html.format("http://x.net/es/a")),
         (5, "http://free.org/", None), (6, None, "x"), (7, "no scheme", None), (8, "http://other.org/p", None)], "page_id bigint, url string, html string")
-    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.url_filters(pages, url_filters.rules_frame(spark, url_filters.RULES)).collect()}
-    assert got == {1: ("net/es/", "block"), 2: (None, "block"), 3: (None, "block"), 4: ("com/", "allow"),
-                   5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "block")}
+    rules = url_filters.rules_frame(spark, url_filters.RULES)
+    for standing, third in ((True, "block"), (False, "allow")):  # page 3 differs by scheme and slash from page 2
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.url_filters(pages, rules, standing=standing).collect()}
+        assert got == {1: ("net/es/", "block"), 2: (None, "block"), 3: (None, third), 4: ("com/", "allow"),
+                       5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "block")}
+
+
+def test_a_slash_alone_links_no_pages(spark, tmp_path):
+    rows = [(1, "http://x.net/es/"), (2, "http://x.net/es"), (3, "https://x.net/es/"), (4, "http://x.net:80/es#a"), (5, "HTTP://X.net/es")]
+    spark.createDataFrame([(i, u, None) for i, u in rows], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.op3_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {1: ("net/es/", "block"), 2: (None, "allow"), 3: ("net/es/", "block"), 4: (None, "allow"), 5: (None, "allow")}
 
 
 def test_boundaries_are_optimal():
