@@ -2,9 +2,10 @@
 
 Character 1-, 2- and 3-grams of the lower-cased text (runs that are not
 letters count as a space) are hashed into ``2**BITS`` buckets.  The model is the
-matrix of log probabilities, buckets by languages; its size depends on the
+matrix of log probabilities, buckets by languages, and the languages' log priors; its size depends on the
 languages only, and it is broadcast.  A batch is scored by gathering the rows of
-its n-grams and summing them per text.
+its n-grams and summing them per text.  Languages with very many labelled texts are thinned each for itself, so
+a rare one is learned from all of its texts however large the corpus is; priors count all labelled texts.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0.0.
 Very long texts are scored whole, in slices.  Ties go to the language first in
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plantpulse.llm.common import group_by_bytes, ship, table, with_text
 
 BITS = 16
-#: Expected number of labelled documents that the model is fitted on; more are thinned by a hash of the text.
-MAX_FIT_DOCS = 20_000
+#: Expected number of labelled documents per language that the model is fitted on; more are thinned by a hash of the text.
+MAX_FIT_DOCS = 5_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
@@ -89,23 +90,25 @@ def summed(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
             part = np.add.reduceat(values, cuts, axis=0)
             owner = np.searchsorted(starts, cuts + lo, side="right") - 1
             np.add.at(total, i + owner, part)
-    n = np.maximum(3 * lens - np.where(lens > 1, 3, 2), 0) * (lens > 0) + (lens == 1)
+    n = np.maximum(3 * lens - np.where(lens > 1, 3, 2), 0) * (lens > 0)
     return total, np.maximum(n, 1)
 
 
-def fit(labelled: DataFrame, text: Column, lang: Column, expected: int, bits: int = BITS,
-        max_docs: int = MAX_FIT_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix of log probabilities (``2**bits`` x languages).
+def fit(labelled: DataFrame, text: Column, lang: Column, bits: int = BITS,
+        max_docs: int = MAX_FIT_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their log priors and the matrix of log probabilities (``2**bits`` x languages).
 
     N-gram counts are summed by Spark; the driver receives at most
-    ``2**bits`` counts per language.  ``expected`` is the number of candidate rows,
-    of which about ``max_docs`` are used.
+    ``2**bits`` counts per language, and one number of texts.  About ``max_docs`` texts of a language are used.
     """
     ship(labelled.sparkSession)
     t = F.coalesce(text, F.lit(""))
     sample = labelled.select(t.cast("binary").alias("text"), lang.cast("string").alias("lang")).where("lang is not null")
-    if expected > max_docs:
-        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(max_docs / expected * (1 << 20)))
+    texts = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    thinned = {name: int(max_docs / n * (1 << 20)) for name, n in texts.items() if n > max_docs}
+    if thinned:
+        part = F.create_map(*[F.lit(x) for pair in sorted(thinned.items()) for x in pair])
+        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(1 << 20)))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -133,25 +136,28 @@ def fit(labelled: DataFrame, text: Column, lang: Column, expected: int, bits: in
     for k, name in enumerate(langs):
         own = rows[rows["lang"] == name]
         counts[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32) if langs else np.zeros((1 << bits, 0), np.float32)
+    if not langs:
+        return [], np.zeros(0), np.zeros((1 << bits, 0), np.float32)
+    share = np.array([texts[name] for name in langs], dtype=float)
+    return langs, np.log(share / share.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def posterior(loglik: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Class probabilities from summed log likelihoods of ``n`` dependent n-grams.
+def posterior(loglik: np.ndarray, n: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Class probabilities from log priors and summed log likelihoods of ``n`` dependent n-grams.
 
     Neighbouring n-grams overlap, so the evidence of n of them is taken as
     that of their square root; else every longer text would score 0 or 1.
     """
-    x = loglik / np.sqrt(n)[:, None]
+    x = loglik / np.sqrt(n)[:, None] + prior
     x = np.exp(x - x.max(axis=1, keepdims=True))
     return x / x.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
     """The input plus ``lang_pred`` and ``score``."""
     kept = docs.drop(*[c for c in ("lang_pred", "score") if c in docs.columns])
     ship(docs.sparkSession)
-    langs, weights = model
+    langs, prior, weights = model
     matrix = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits x languages floats
     staged, taken = with_text(kept, docs, text)
     width = len(kept.columns)
@@ -165,7 +171,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                 known = np.array([bool(langs) and _LETTER.search(x) is not None for x in texts], dtype=bool)
                 if known.any():
                     own = [x for x, k in zip(texts, known, strict=True) if k]
-                    p = posterior(*summed(own, w))
+                    p = posterior(*summed(own, w), prior)
                     best = p.argmax(axis=1)
                     at = lo + np.flatnonzero(known)
                     names[at], scores[at] = np.array(langs, dtype=object)[best], p[np.arange(len(best)), best]
@@ -180,10 +186,10 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit_on(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def fit_on(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The model of labelled documents that are not held out."""
     rest = docs.where(~held_out() & F.col("lang").isNotNull())
-    return fit(rest, F.col("text"), F.col("lang"), rest.select("doc_id").count())
+    return fit(rest, F.col("text"), F.col("lang"))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
