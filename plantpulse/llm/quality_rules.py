@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in SQL expressions only.
 
 Every rule is a boolean expression that is true when a document fails it.
-Before the run each rule's cost (seconds per row) and selectivity (share of
-rows it rejects) are measured on a bounded sample, and rules are ordered by
-rejection per cost, so that later, dearer rules see fewer documents.  The order
+Before the run each rule's cost and selectivity (share of rows it rejects) are
+estimated on a bounded sample, and rules are ordered by rejection per cost, so that later,
+dearer rules see fewer documents.  The cost of a row is that of the rule's steps: those on counts cost alike,
+those that read the text cost its characters (their mean in the sample) by kind of step.  Clock times of such
+cheap rules are mostly noise; this estimate is the same on every run, and so is the order.  It
 changes the work, never the verdict: a document is kept when no rule fails.
 
 Defined results: null, empty and blank texts have no words, zero counts and
@@ -14,15 +16,16 @@ own columns win no name: result columns replace equal names.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantpulse.llm.common import let, table, words, write_shared
+from plantpulse.llm.common import let, table, words
 
-#: Rows of the sample that costs and selectivities are measured on (expected number).
+#: Rows of the sample that costs and selectivities are estimated on (expected number).
 SAMPLE_ROWS = 2_000
+#: Cost of a rule on counts alone, and per character of a step that reads the text: a plain search, a pattern.
+ON_COUNTS, SEARCH, PATTERN = 1.0, 0.01, 0.05
 SYMBOLS = "[#*$%&|<>]"
 GRAM = 5
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -34,6 +37,8 @@ RULE_COLUMNS = (*BASE_COLUMNS, "failed_rule", "kept")
 class Rule:
     name: str
     fails: Column
+    #: cost per character of the text, 0 for a rule on counts
+    per_char: float = 0.0
 
 
 def n_repeat_words(w: Column) -> Column:
@@ -100,37 +105,22 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
         # more than three lines in ten repeat an earlier line (six repeated lines at least)
         Rule("dup_lines", (F.col("n_dup_lines") >= 6)
-             & (10 * F.col("n_dup_lines") > 3 * F.regexp_count(t, F.lit("\n")))),
+             & (10 * F.col("n_dup_lines") > 3 * F.regexp_count(t, F.lit("\n"))), PATTERN),
         # shouting: more than half of the characters are upper-case letters A-Z
-        Rule("upper_case", 2 * (F.char_length(t) - F.char_length(F.regexp_replace(t, "[A-Z]+", ""))) > F.col("word_chars")),
+        Rule("upper_case", 2 * (F.char_length(t) - F.char_length(F.regexp_replace(t, "[A-Z]+", ""))) > F.col("word_chars"), PATTERN),
         # more than one exclamation mark to three words
-        Rule("exclamations", 3 * (F.char_length(t) - F.char_length(F.replace(t, F.lit("!"), F.lit("")))) > F.col("n_words")),
+        Rule("exclamations", 3 * (F.char_length(t) - F.char_length(F.replace(t, F.lit("!"), F.lit("")))) > F.col("n_words"), SEARCH),
     ]
 
 
-def measured_order(sample: DataFrame, rules: list[Rule], repeats: int = 2) -> list[tuple[Rule, float, float]]:
-    """Rules with seconds per row and rejected share on ``sample``, best first.
+def estimated_order(sample: DataFrame, rules: list[Rule], text: str = "text") -> list[tuple[Rule, float, float]]:
+    """Rules with cost per row and rejected share on ``sample``, best first.
 
-    A rule's cost is its evaluation over the sample less that of an empty
-    pass; rules that reject nothing go last, cheapest first.
+    Rules that reject nothing go last, cheapest first; ties go by name.
     """
-    n = sample.count()
-    if n == 0:
-        return [(r, 0.0, 0.0) for r in rules]
-
-    def timed(e: Column) -> tuple[float, int]:
-        best, hits = float("inf"), 0
-        for _ in range(repeats):
-            t0 = time.perf_counter()
-            hits = sample.agg(F.sum(F.when(e, 1).otherwise(0)).alias("x")).first()["x"] or 0
-            best = min(best, time.perf_counter() - t0)
-        return best, hits
-
-    floor, _ = timed(F.col("n_words") < 0)
-    found = []
-    for r in rules:
-        s, hits = timed(r.fails)
-        found.append((r, max(s - floor, 1e-4) / n, hits / n))
+    hits = [F.avg(F.when(r.fails, 1.0).otherwise(0.0)).alias(f"r{i}") for i, r in enumerate(rules)]
+    row = sample.agg(F.avg(F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("chars"), *hits).first()
+    found = [(r, ON_COUNTS + r.per_char * (row["chars"] or 0.0), row[f"r{i}"] or 0.0) for i, r in enumerate(rules)]
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
@@ -150,8 +140,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     rules = default_rules(text) if rules is None else rules
     n = docs.count()
     share = min(1.0, sample_rows / n) if n else 1.0
-    sample = write_shared(base_columns(docs.select(text).sample(False, share, 11), text), "rule-sample")
-    ordered = [r for r, _, _ in measured_order(sample, rules)]
+    ordered = [r for r, _, _ in estimated_order(base_columns(docs.select(text).sample(False, share, 11), text), rules, text)]
     return apply_cascade(base_columns(docs, text), ordered)
 
 
