@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import random
 import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -37,7 +39,7 @@ def frame(spark, texts=None, extra=True):
 def test_edge_rows_give_a_row_each(spark, texts):
     docs = frame(spark, texts)
     n = docs.count()
-    model = language_id.fit(docs, F.col("text"), F.lit("en"), n)
+    model = language_id.fit(docs, F.col("text"), F.lit("en"))
     got = language_id.identify(docs, model).collect()
     assert len(got) == n and all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if not (r["text"] or "").strip())
     nothing = quality_classifier.fit(docs.limit(0).select("text", F.lit(1).alias("label"), F.lit(1).alias("order")))
@@ -367,6 +369,60 @@ def test_held_out_accuracy(spark):
     assert marks.where("quality = predicted").count() >= 0.93 * marks.count() > 0
 
 
+def plain_language(texts, labelled, bits=language_id.BITS):
+    """Naive Bayes over counted n-grams, one text at a time."""
+    def grams(x):
+        x = x.lower()
+        codes = np.array([ord(c) for c in x], dtype=np.uint32)
+        g = language_id.features(codes, bits)
+        return [int(g[o][i]) for o in range(3) for i in range(o, len(x))]
+
+    counts, docs = {}, Counter()
+    for x, lang in labelled:
+        docs[lang] += 1
+        counts.setdefault(lang, Counter()).update(grams(x))
+    out = []
+    for x in texts:
+        g, logs = grams(x), {}
+        for lang, c in counts.items():
+            size = sum(c.values()) + (1 << bits)
+            logs[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((c[b] + 1) / size) for b in g) / math.sqrt(len(g))
+        top = max(logs.values())
+        odds = {lang: math.exp(v - top) for lang, v in logs.items()}
+        best = min(odds, key=lambda lang: (-odds[lang], lang))
+        out.append((best, odds[best] / sum(odds.values())))
+    return out
+
+
+def test_language_scores_against_plain_naive_bayes(spark):
+    rnd = random.Random(5)
+    labelled = [("".join(rnd.choice(a) for _ in range(rnd.randint(3, 60))), lang)
+                for lang, a, n in (("aa", "abcde fgh", 60), ("bb", "defghij kl", 12), ("cc", "kl mnoß", 3)) for _ in range(n)]
+    labelled = [(x + "a", lang) for x, lang in labelled]
+    texts = ["abc", "kl", "deg hij", "ß no", "zzz", "a", "mnk lkd eab", "fgh" * 40]
+    docs = spark.createDataFrame(labelled, "text string, lang string")
+    model = language_id.fit(docs, F.col("text"), F.col("lang"))
+    got = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, plain_language(texts, labelled), strict=True):
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+    # frequent languages are thinned, rare ones are not
+    few = language_id.fit(docs, F.col("text"), F.col("lang"), max_docs=12)
+    assert few[0] == ["aa", "bb", "cc"] and np.allclose(few[1], model[1])
+    assert np.allclose(few[2][:, 1:], model[2][:, 1:]) and not np.allclose(few[2][:, 0], model[2][:, 0])
+
+
+def test_cascade_order_follows_cost_and_rejection_and_repeats(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}x{i}" for j in range(20)) + "!" * (i % 2) + "#" * (i % 8 == 0)) for i in range(200)], "doc_id bigint, text string")
+    t = F.col("text")
+    rules = [quality_rules.Rule("dear", t.rlike("#"), quality_rules.PATTERN), quality_rules.Rule("never", F.col("n_words") < 0),
+             quality_rules.Rule("cheap", F.col("n_symbols") > 0), quality_rules.Rule("often", F.contains(t, F.lit("!")), quality_rules.SEARCH)]
+    sample = quality_rules.base_columns(docs)
+    orders = [[r.name for r, _, _ in quality_rules.estimated_order(sample, list(reversed(rules)) if k else rules)] for k in range(2)]
+    assert orders == [["often", "cheap", "dear", "never"]] * 2
+    failed = [sorted((r["doc_id"], r["failed_rule"] or "") for r in quality_rules.quality_rules(docs, rules=x).collect()) for x in (rules, rules[::-1])]
+    assert failed[0] == failed[1] and {x for _, x in failed[0]} == {"", "often", "cheap"}
+
+
 def test_only_lines_near_a_line_that_stays_are_removed(spark):
     rnd = random.Random(12)
     base = "".join(rnd.choice("abcdefghij ") for _ in range(60)).replace("\n", " ").strip() + " end of the line"
