@@ -13,18 +13,18 @@ Where one segment is shared by very many lines (a template), the group is not
 paired up.  Its lines agree on the segment, so the parts beside it must agree within what is left
 of the edits, and the same cut is made again inside the longest part:
 the key grows, the group falls apart, and no link is lost.  This repeats until groups
-are small or no part is longer than its edits.  ``dedup_lines`` needs classes only, not all links: there
-two lines of each large group are checked against the others first, and groups that
-are connected by now are not cut again.  (Index entries of a last group are all near each other.)
+are small or no part is longer than its edits.  ``dedup_lines`` first checks the earliest lines of
+each large group against all others of the group.  Lines decided by that leave it, and only what is still large is cut.
 
 A pair costs a join with both texts, so pairs are first held against a sketch of either line: 16
 counts of characters, four bits each.  An edit changes the counts by two at most, so pairs whose sketches
 are further apart than the edits allow are no links.
 
-A line is removed only if a checked link leads to a line that stays.  Rounds settle which: a line
-stays when none of its undecided neighbours comes before it, and its neighbours go.  Lines with more
-links come first (the centre of a group), then the first occurrence.  Of equal lines the first occurrence
-(smallest document, then text hash and line number) stays.
+A line is removed if, and only if, a checked link leads to an earlier line that stays: no two lines that stay are near.
+Rounds settle which: a line stays when all pairs it may be in are checked and none of its undecided
+neighbours comes before it, and its neighbours go.  Lines come in the order of their first occurrence
+(smallest document, then text hash and line number); of equal lines the first occurrence stays.
+Links between lines that both go decide nothing, so a large group of near copies is not paired up.
 
 Defined results: lines are split at ``\\n``; lines without a word are never
 removed, and lines under ``min_chars`` characters match exactly only.  Equality is of
@@ -58,11 +58,11 @@ BROADCAST_LINES = 100_000
 #: The table of index keys has 2 to this many words of 64 bits (32 MB).
 WORD_BITS = 22
 #: Characters of lines whose keys are made at once.
-SLICE = 1 << 19
+SLICE = 1 << 17
 _MASK, _SPAN = (1 << 64) - 1, 32
 #: What ``dedup_lines`` adds.
 LINE_COLUMNS = ("n_lines", "n_removed", "n_near")
-ROW = "key bigint, id bigint, probe boolean, gaps array<int>, sketch struct<sketch:bigint,may:int>"
+ROW = "key bigint, id bigint, probe boolean, gaps array<int>, sketch struct<sketch:bigint,may:int,place:bigint>"
 
 
 def line_id(line: str) -> int:
@@ -228,7 +228,7 @@ def first_gaps(line: str, key: int, probe: bool, k: int, per: int, least: int) -
 def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([_signed(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-        pa.array([r[2] for r in rows], pa.bool_()), pa.array([[x for g in r[3] for x in g] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.struct([("sketch", pa.int64()), ("may", pa.int32())]))],
+        pa.array([r[2] for r in rows], pa.bool_()), pa.array([[x for g in r[3] for x in g] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.struct([("sketch", pa.int64()), ("may", pa.int32()), ("place", pa.int64())]))],
         ["key", "id", "probe", "gaps", "sketch"])
 
 
@@ -312,16 +312,16 @@ def _narrow(gaps: Column) -> Column:
     return (F.size(gaps) == 0) | ~F.exists(at, lambda i: F.get(gaps, i + 4) - F.get(gaps, i + 3) > F.get(gaps, i + 2))
 
 
-def near_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, per: int = 0, stars: bool = False) -> DataFrame:
-    """Links ``u, v`` between ids of different lines at most ``allowed(shorter length, k, per)`` edits apart:
-    all of them, or with ``stars`` enough to connect the same lines."""
+def _candidates(docs: DataFrame, k: int, per: int, least: int):
+    """Index entries and probes (:data:`ROW`) of the keys where lines meet, and their ``id, line, sketch, may, place``,
+    both written, and how many lines these are.  ``place`` is a line's place in the order of first occurrences, if ``docs`` has a ``doc_id``."""
     spark = docs.sparkSession
     ship(spark)
-    least = max(min_chars, k + 1)
     entries = write_shared(key_rows(docs, k, per, least), "line-index")
     bits = spark.sparkContext.broadcast(key_bits(entries))
     forget_shuffles(spark)
     probes = write_shared(key_rows(docs, k, per, least, bits), "line-probes")
+    bits.destroy()
     all_rows = entries.withColumn("probe", F.lit(False)).union(probes.withColumn("probe", F.lit(True)))
     # keys where an index entry and another line meet; most lines have none
     shared = write_shared(all_rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("probe").alias("p"))
@@ -332,28 +332,72 @@ def near_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     both = F.explode(F.when(F.col("probe"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True))))
     rows = write_shared(rows.select("key", "id", both.alias("probe")).distinct()
                         .withColumn("gaps", F.lit(None).cast("array<int>")), "line-rows")
+    drop_shared(entries, probes, shared)
     ids = write_shared(rows.select("id").distinct(), "line-ids")
     n_ids = ids.count()
-    t = F.explode(F.split("text", "\n"))
-    texts = docs.select(t.alias("line")).withColumn("id", F.xxhash64("line")) \
-        .join(small_side(ids, n_ids), "id").groupBy("id").agg(F.first("line").alias("line"))
+    ordered = "doc_id" in docs.columns
+    at = F.struct("doc_id", F.xxhash64("text"), "line_no") if ordered else F.lit(0)
+    texts = docs.select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("id", F.xxhash64("line")) \
+        .select("id", "line", at.alias("own")).join(small_side(ids, n_ids), "id").groupBy("id").agg(F.first("line").alias("line"), F.min("own").alias("own"))
+    # sorted rows are numbered upwards
+    place = F.monotonically_increasing_id() if ordered else F.col("id")
+    texts = (texts.orderBy("own") if ordered else texts).select("id", "line", place.alias("place"))
 
     def with_sketch(batches):
         for batch in batches:
             lines = batch.column(1).to_pylist()
             may = pa.array([allowed(len(x), k, per) for x in lines], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches(lines)), may], ["id", "line", "sketch", "may"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sketches(lines)), may, batch.column(2)], ["id", "line", "sketch", "may", "place"])
 
-    texts = write_shared(texts.mapInArrow(with_sketch, "id bigint, line string, sketch bigint, may int"), "line-texts")
-    rows = write_shared(rows.join(small_side(texts.select("id", F.struct("sketch", "may").alias("sketch")), n_ids), "id"), "line-rows")
+    texts = write_shared(texts.mapInArrow(with_sketch, "id bigint, line string, sketch bigint, may int, place bigint"), "line-texts")
+    bare, rows = rows, write_shared(rows.join(small_side(texts.select("id", F.struct("sketch", "may", "place").alias("sketch")), n_ids), "id"), "line-rows")
+    drop_shared(bare, ids)
     forget_shuffles(spark)
-    drop_shared(entries, probes, shared)
+    return rows, texts, n_ids
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, n_ids: int, k: int, per: int) -> DataFrame:
+    """Those of the pairs ``x, p, y, q`` (ids and sketches) that are links, as ``u, v`` with the earlier line first; written."""
 
     def verify(batches):
         for batch in batches:
             keep = [within(a, b, allowed(min(len(a), len(b)), k, per)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    before = F.col("p.place") < F.col("q.place")
+    found = pairs.where("x <> y").where(sketch_distance(F.col("p.sketch"), F.col("q.sketch")) <= 2 * F.least("p.may", "q.may")) \
+        .select(F.when(before, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(before, F.col("y")).otherwise(F.col("x")).alias("v")).distinct()
+    # the checks cost much more than the few bytes of a pair, by which adaptive execution would put them into one task
+    found = found.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lines = F.broadcast(texts) if n_ids <= BROADCAST_LINES else texts
+    both = found.join(lines.select(F.col("id").alias("u"), F.col("line").alias("a")), "u") \
+        .join(lines.select(F.col("id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
+    return write_shared(both.mapInArrow(verify, "u bigint, v bigint"), "line-links")
+
+
+def _all_pairs(member: DataFrame, asking: DataFrame) -> DataFrame:
+    """Pairs of index entries and probes with a common key."""
+    return member.where("not probe").select("key", F.col("id").alias("x"), F.col("sketch").alias("p")) \
+        .join(asking.select("key", F.col("id").alias("y"), F.col("sketch").alias("q")), "key").select("x", "p", "y", "q")
+
+
+def _star_pairs(member: DataFrame) -> DataFrame:
+    """Pairs of the ``centers`` of a group and its lines."""
+    return member.select(F.explode("centers").alias("c"), F.col("id").alias("y"), F.col("sketch").alias("q")) \
+        .select(F.col("c.id").alias("x"), F.col("c.sketch").alias("p"), "y", "q")
+
+
+def _group_sizes() -> list[Column]:
+    return [F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("s"), F.sum(F.when(F.col("probe"), 1).otherwise(0)).alias("t")]
+
+
+def near_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, per: int = 0, stars: bool = False) -> DataFrame:
+    """Links ``u, v`` between ids of different lines at most ``allowed(shorter length, k, per)`` edits apart:
+    all of them, or with ``stars`` enough to connect the same lines."""
+    spark = docs.sparkSession
+    least = max(min_chars, k + 1)
+    rows, texts, n_ids = _candidates(docs.select("text"), k, per, least)
+
     def with_class(df, links):
         """``df`` with the ``class`` of its ``id``: what ``links`` join with ``stars``, else the id."""
         if links is None or not stars:
@@ -365,26 +409,18 @@ def near_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     while True:
         ids_of = F.when(~F.col("probe"), F.struct("id", "sketch"))
         sizes = with_class(rows, links).groupBy("key").agg(
-            F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("s"), F.sum(F.when(F.col("probe"), 1).otherwise(0)).alias("t"),
+            *_group_sizes(),
             F.max(_splittable(F.col("gaps"))).alias("more"), F.min("class").alias("a"), F.max("class").alias("b"),
             F.array_distinct(F.array(F.min(ids_of), F.max(ids_of))).alias("centers")) \
             .where("s > 0 and t > 0 and a <> b").withColumn("many", F.col("s") * F.col("t") > GROUP_PAIRS)
         sizes = write_shared(sizes.select("key", (F.col("many") & F.col("more")).alias("large"),
                                           (F.col("many") & F.lit(stars)).alias("star"), "centers"), "line-groups")
         member = rows.join(sizes, "key")
-        asking = member.where("probe and not large").where(~F.col("star") | ~_narrow(F.col("gaps")))
-        found = member.where("not probe and not large").select("key", F.col("id").alias("x"), F.col("sketch").alias("p")) \
-            .join(asking.select("key", F.col("id").alias("y"), F.col("sketch").alias("q")), "key").where("x <> y")
+        found = _all_pairs(member.where("not large"), member.where("probe and not large").where(~F.col("star") | ~_narrow(F.col("gaps"))))
         if stars:
-            found = found.select("x", "p", "y", "q").union(member.where("star").select(F.explode("centers").alias("c"), F.col("id").alias("y"), F.col("sketch").alias("q"))
-                                                           .select(F.col("c.id").alias("x"), F.col("c.sketch").alias("p"), "y", "q").where("x <> y"))
-        found = found.where(sketch_distance(F.col("p.sketch"), F.col("q.sketch")) <= 2 * F.least("p.may", "q.may")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        # the checks cost much more than the few bytes of a pair, by which adaptive execution would put them into one task
-        found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-        lines = F.broadcast(texts) if n_ids <= BROADCAST_LINES else texts
-        both = found.join(lines.select(F.col("id").alias("u"), F.col("line").alias("a")), "u") \
-            .join(lines.select(F.col("id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
-        sure = write_shared(both.mapInArrow(verify, "u bigint, v bigint"), "line-links")
+            # index entries of a last group are all near each other
+            found = found.union(_star_pairs(member.where("star")))
+        sure = _checked(found, texts, n_ids, k, per)
         links = sure if links is None else links.union(sure)
         large = sizes.where("large").select("key")
         if not large.limit(1).count():
@@ -394,62 +430,92 @@ def near_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
         spent, rows = rows, write_shared(refined(rows.join(again.select("key"), "key"), texts, k, per, least), "line-rows")
         drop_shared(spent, sizes)
         forget_shuffles(spark)
-    bits.destroy()
-    done = write_shared(links.distinct(), "line-links")
-    drop_shared(links, rows, sizes, texts, ids)
+    done = write_shared(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-links")
+    drop_shared(links, rows, sizes, texts)
     forget_shuffles(spark)
     return done
 
 
-def settled(links: DataFrame, own: DataFrame) -> DataFrame:
-    """``id`` of the lines that go because a link leads to a line that stays.
+def settled(links: DataFrame, waiting: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The links (earlier line ``u``, later line ``v``) that are still open, and the ``id`` of the lines that go (None: no line).
 
-    ``links`` (u, v) and ``own`` (id, own: first occurrence) of all linked lines.  A line comes before another with
-    fewer links, or with as many and a later first occurrence.
+    A line of ``waiting`` (``id``) may have links not found yet, so it does not stay for the time being.
     """
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    place = degree.join(own, "id").select("id", F.struct((-F.col("n")).alias("n"), "own", "id").alias("place"))
-    edges = both.join(place.select(F.col("id").alias("u"), F.col("place").alias("pu")), "u") \
-        .join(place.select(F.col("id").alias("v"), F.col("place").alias("pv")), "v")
-    edges = write_shared(edges, "line-order")
     gone = None
-    while True:
-        # undecided lines with no undecided neighbour before them stay; their neighbours go
-        stay = edges.groupBy("u").agg(F.min("pv").alias("best"), F.first("pu").alias("pu")).where("pu < best").select("u")
-        out = write_shared(edges.join(stay, "u", "left_semi").select(F.col("v").alias("id")).distinct(), "line-gone")
+    while links.limit(1).count():
+        # lines with no undecided neighbour before them stay; their neighbours go
+        stay = links.select("u").distinct().join(links.select(F.col("v").alias("u")), "u", "left_anti")
+        if waiting is not None:
+            stay = stay.join(waiting.select(F.col("id").alias("u")), "u", "left_anti")
+        out = write_shared(links.join(stay, "u", "left_semi").select(F.col("v").alias("id")).distinct(), "line-gone")
+        if not out.limit(1).count():
+            break
         gone = out if gone is None else gone.union(out)
-        decided = stay.union(out.select("id"))
-        spent, edges = edges, write_shared(edges.join(out.select(F.col("id").alias("u")), "u", "left_anti")
-                                           .join(out.select(F.col("id").alias("v")), "v", "left_anti")
-                                           .join(decided, "u", "left_anti"), "line-order")
+        spent, links = links, write_shared(links.join(out.select(F.col("id").alias("u")), "u", "left_anti")
+                                           .join(out.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"), "line-open")
         drop_shared(spent)
-        forget_shuffles(edges.sparkSession)
-        if not edges.limit(1).count():
-            return gone
+    return links, gone
+
+
+def near_copies(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, per: int = EDIT_CHARS) -> DataFrame:
+    """``id`` of the lines of ``docs`` (``doc_id, text``) that are near an earlier line that stays."""
+    spark = docs.sparkSession
+    least = max(min_chars, k + 1)
+    rows, texts, n_ids = _candidates(docs.select("doc_id", "text"), k, per, least)
+    gone = spark.createDataFrame([], "id bigint")
+    links = None
+    while True:
+        line = F.struct(F.col("sketch.place").alias("place"), "id", "sketch")
+        sizes = rows.groupBy("key").agg(
+            *_group_sizes(), F.max(_splittable(F.col("gaps"))).alias("cut"), F.min("id").alias("a"), F.max("id").alias("b"),
+            F.array_distinct(F.array(F.min(line), F.min(F.when(~F.col("probe"), line)))).alias("centers")) \
+            .where("s > 0 and t > 0 and a <> b").withColumn("large", F.col("s") * F.col("t") > GROUP_PAIRS)
+        sizes = write_shared(sizes.select("key", "large", "cut", F.when(F.col("large"), F.col("centers")).alias("centers")), "line-groups")
+        member = rows.join(sizes, "key")
+        small, large = member.where("not large"), member.where("large")
+        sure = _checked(_all_pairs(small, small.where("probe")).union(_star_pairs(large)), texts, n_ids, k, per)
+        links = sure if links is None else links.union(sure)
+        # pairs of the centers are done; the others of a large group wait
+        left = write_shared(large.where(~F.exists("centers", lambda c: c["id"] == F.col("id")))
+                            .select("key", "id", "probe", "gaps", "sketch", "cut"), "line-left")
+        waits = left.limit(1).count() > 0
+        links, out = settled(links, left.select("id").distinct() if waits else None)
+        if out is not None:
+            gone = gone.union(out)
+            left = left.join(out, "id", "left_anti")
+        if not waits:
+            break
+        open_ = write_shared(left.groupBy("key").agg(*_group_sizes(), F.min("id").alias("a"), F.max("id").alias("b"), F.first("cut").alias("cut"))
+                             .where("s > 0 and t > 0 and a <> b").select("key", (F.col("cut") & (F.col("s") * F.col("t") > GROUP_PAIRS)).alias("again")), "line-groups")
+        left = left.drop("cut").join(open_, "key")
+        names = ("key", "id", "probe", "gaps", "sketch")
+        spent, rows = rows, write_shared(refined(left.where("again").select(*names), texts, k, per, least)
+                                         .union(left.where("not again").select(*names)), "line-rows")
+        drop_shared(spent, sizes)
+        forget_shuffles(spark)
+    done = write_shared(gone.distinct(), "line-gone")
+    drop_shared(rows, sizes, texts, links)
+    forget_shuffles(spark)
+    return done
 
 
 def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, per: int = EDIT_CHARS) -> DataFrame:
     """The input with later copies of lines removed from ``text``, plus
     ``n_lines`` (with a word, before), ``n_removed`` and ``n_near`` (removed without an equal earlier line)."""
     kept = docs.drop(*[c for c in LINE_COLUMNS if c in docs.columns])
-    links = near_lines(docs.select("text"), k, min_chars, per, True)
-    linked = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    near = near_copies(kept.select("doc_id", "text"), k, min_chars, per).withColumn("gone", F.lit(True))
     all_lines, blank = F.split("text", "\n"), " \t\n\x0b\x0c\r"
     lines = kept.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(all_lines).alias("line_no", "line")) \
         .where(F.length(F.btrim("line", F.lit(blank))) > 0).select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
     at = F.struct("doc_id", "th", "line_no")
-    firsts = lines.groupBy("id").agg(F.min(at).alias("own"), F.count("*").alias("n")).join(linked.withColumn("near", F.lit(True)), "id", "left")
     # only lines with a copy or a near copy have anything to remove
-    firsts = write_shared(firsts.where("n > 1 or near"), "line-firsts")
-    gone = settled(links, firsts.where("near").select("id", "own")).distinct()
-    rule = write_shared(firsts.join(gone.withColumn("gone", F.lit(True)), "id", "left").where("n > 1 or gone")
+    rule = write_shared(lines.groupBy("id").agg(F.min(at).alias("own"), F.count("*").alias("n")).join(near, "id", "left").where("n > 1 or gone")
                         .select("id", "own", F.coalesce("gone", F.lit(False)).alias("gone")), "line-rules")
     removed = lines.join(small_side(rule, rule.count()), "id").withColumn("first", at.eqNullSafe(F.col("own"))) \
         .where(F.col("gone") | ~F.col("first")).select("doc_id", "th", "line_no", (F.col("gone") & F.col("first")).alias("near"))
     removed = write_shared(removed.distinct().groupBy("doc_id", "th").agg(
         F.collect_list("line_no").alias("__gone"), F.sum(F.col("near").cast("bigint")).alias("n_near")), "line-removed")
-    drop_shared(firsts, rule)
+    drop_shared(rule, near)
     forget_shuffles(docs.sparkSession)
     size = removed.agg(F.sum(F.size("__gone"))).first()[0] or 0
     # bound once per row: inside the loop over lines the text would be split again for every line

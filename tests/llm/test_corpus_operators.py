@@ -520,3 +520,27 @@ def test_url_query_follows_relative_links_as_duckdb(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == {r[0]: r[1:] for r in con.execute(url_filters.OP3_SQL).fetchall()}
     assert {i for i in got if got[i][2] is None and got[i][3] == "block"} >= {101, 102, 106} and got[105][3] == "allow"
+
+
+@pytest.mark.parametrize("group_pairs", [4096, 6])
+def test_line_dedup_leaves_no_two_near_lines(spark, monkeypatch, group_pairs):
+    monkeypatch.setattr(line_dedup, "GROUP_PAIRS", group_pairs)
+    rnd = random.Random(8)
+    lines = []
+    for n in (30, 64, 110):
+        base = "".join(rnd.choice("abcdefghij ") for _ in range(n)).strip() + "end"
+        for _ in range(45):  # more than the edits part many of them, but each is near many others
+            x = base
+            for _ in range(rnd.randrange(1, 5)):
+                p = rnd.randrange(len(x))
+                x = rnd.choice([x[:p] + x[p + 1:], x[:p] + rnd.choice("QZ") + x[p:], x[:p] + "Y" + x[p + 1:]])
+            lines.append(x)
+    rnd.shuffle(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]}
+    near = lambda a, b: a == b or line_dedup.within(a, b, min(5, max(1, min(len(a), len(b)) // 20)))
+    want = []
+    for i, x in enumerate(lines):
+        if not any(near(lines[j], x) for j in want):
+            want.append(i)
+    assert got == set(want) and 3 < len(want) < 100
