@@ -210,21 +210,30 @@ def pre_failure_conditions(star: Star, previous: str = "failure") -> DataFrame:
     return _first(with_machine_id(out, star), "machine_id")
 
 
-def previous_reading_values(df: DataFrame, cols: list[str], chunk_micros: int = MICROS_PER_HOUR) -> DataFrame:
+#: A machine with up to so many readings is one window group; only those with more are cut into chunks of time.
+WHOLE_MACHINE = 500_000
+
+
+def previous_reading_values(df: DataFrame, cols: list[str], chunk_micros: int = MICROS_PER_HOUR,
+                            whole: int = WHOLE_MACHINE) -> DataFrame:
     """``lag(c, 1) over (partition by machine_key order by time_key)`` for each
     column, computed without putting a whole machine into one task.
 
-    Rows are cut into (machine, time chunk) groups.  Inside a chunk the lag is
-    an ordinary window over that chunk.  For the first row of a chunk, the
+    Machines with more than ``whole`` rows are cut into (machine, time chunk) groups; the
+    others are one group each.  Inside a group the lag is
+    an ordinary window, and this shuffle is the only one that all rows take.  For the first row of a chunk, the
     previous row is the last row of the machine's previous non-empty chunk:
     chunk tails are a partial aggregation (one row per chunk), and ordering the
     tails per machine touches one row per chunk, not per reading.
     """
-    d = df.withColumn("_chunk", F.floor(F.col("time_key") / chunk_micros))
+    large = df.groupBy("machine_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole) \
+        .select("machine_key", F.lit(True).alias("_large"))  # at most one machine for every ``whole`` rows
+    d = df.join(F.broadcast(large), "machine_key", "left") \
+        .withColumn("_chunk", F.when(F.col("_large"), F.floor(F.col("time_key") / chunk_micros))).drop("_large")
     w = Window.partitionBy("machine_key", "_chunk").orderBy("time_key")
     inner = d.withColumns({f"_prev_{c}": F.lag(c, 1).over(w) for c in cols}) \
              .withColumn("_first", F.row_number().over(w) == 1)
-    tails = (d.groupBy("machine_key", "_chunk")
+    tails = (d.where(F.col("_chunk").isNotNull()).groupBy("machine_key", "_chunk")
              .agg(F.max(F.struct("time_key", *cols)).alias("_tail")))
     tw = Window.partitionBy("machine_key").orderBy("_chunk")
     prev_tail = (tails.withColumn("_prev_tail", F.lag("_tail", 1).over(tw))

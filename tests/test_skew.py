@@ -50,3 +50,14 @@ def test_hot_machine_lag_is_split_into_chunks(hot_star):
     expect = {(r[0], r[1]): r[2] for r in base.select("machine_key", "time_key", F.lag("temperature_c").over(w)).collect()}
     got = A.previous_reading_values(base, ["temperature_c"])
     assert {(r["machine_key"], r["time_key"]): r["prev_temperature_c"] for r in got.collect()} == expect
+
+
+def test_only_large_machines_are_cut_into_chunks(hot_star):
+    base = hot_star.production.select("machine_key", "time_key", "temperature_c")
+    per = {r[0]: r[1] for r in base.groupBy("machine_key").count().collect()}
+    whole = sorted(per.values())[-2]  # all machines but the largest
+    w = Window.partitionBy("machine_key").orderBy("time_key")
+    expect = {(r[0], r[1]): r[2] for r in base.select("machine_key", "time_key", F.lag("temperature_c").over(w)).collect()}
+    for limit in (0, whole):
+        got = A.previous_reading_values(base, ["temperature_c"], whole=limit)
+        assert {(r["machine_key"], r["time_key"]): r["prev_temperature_c"] for r in got.collect()} == expect
