@@ -35,13 +35,25 @@ class Rollups(NamedTuple):
 
 
 # -- made by a load ----------------------------------------------------------
-def _hourly(fact: DataFrame):
+#: Rows that one task of a rollup aggregates; a group's sums take about ten times the room of a reading.
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(n_rows: int) -> int:
+    """Tasks that a rollup of so many rows is dealt to."""
+    return max(1, -(-n_rows // ROWS_A_TASK))
+
+
+def _hourly(fact: DataFrame, tasks: int):
+    """Rows by group.  Where groups hold few readings, a map-side part would only grow them before the shuffle, so the
+    readings of more than one task are dealt by group first."""
     ts = ts_of_time_key()
-    return fact.withColumns({"day": F.to_date(ts), "hour": F.hour(ts)}).groupBy(*KEYS)
+    rows = fact.withColumns({"day": F.to_date(ts), "hour": F.hour(ts)})
+    return (rows.repartition(tasks, *KEYS) if tasks > 1 else rows).groupBy(*KEYS)
 
 
-def production_rollup(fact: DataFrame) -> DataFrame:
-    """Rollup rows of new production rows; one hash aggregate with a map-side part."""
+def production_rollup(fact: DataFrame, tasks: int = 1) -> DataFrame:
+    """Rollup rows of new production rows, aggregated in so many tasks."""
     failed, energy = is_failure(), safe_ratio("power_kw", "speed_uph")
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failures"),
             F.min(F.when(failed, F.col("time_key"))).alias("first_failure"),
@@ -50,14 +62,14 @@ def production_rollup(fact: DataFrame) -> DataFrame:
     for m in PRODUCTION_MEASURES:
         aggs += [F.count(m).alias(f"{m}_n"), F.sum(m).alias(f"{m}_sum"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"),
                  (F.var_pop(m) * F.count(m)).alias(f"{m}_m2")]
-    return _hourly(fact).agg(*aggs).select(*PRODUCTION_ROLLUP.fieldNames())
+    return _hourly(fact, tasks).agg(*aggs).select(*PRODUCTION_ROLLUP.fieldNames())
 
 
-def paired_rollup(wide: DataFrame) -> DataFrame:
+def paired_rollup(wide: DataFrame, tasks: int = 1) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n")]
     for m in PAIRED_MEASURES:
         aggs += [F.count(m).alias(f"{m}_n"), F.sum(m).alias(f"{m}_sum"), F.max(m).alias(f"{m}_max")]
-    return _hourly(wide).agg(*aggs).select(*PAIRED_ROLLUP.fieldNames())
+    return _hourly(wide, tasks).agg(*aggs).select(*PAIRED_ROLLUP.fieldNames())
 
 
 # -- merging -----------------------------------------------------------------

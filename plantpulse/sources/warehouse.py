@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from plantpulse.functions.columns import ts_of_time_key
 from plantpulse.operators.clean import rejects as reject_rows
-from plantpulse.operators.rollups import Rollups, paired_rollup, production_rollup
+from plantpulse.operators.rollups import Rollups, paired_rollup, production_rollup, tasks_for
 from plantpulse.operators.star import (
     Star, new_machine_rows, new_production_rows, new_quality_rows, new_time_rows, new_wide_rows,
 )
@@ -349,8 +349,9 @@ class Warehouse:
         old_facts = [self._on_dates(t, ids, dates) for t in ("production_fact", "quality_fact")]
         new_facts = [self.table(t, [load_id]) for t in ("production_fact", "quality_fact")]
         self._append("wide_fact", new_wide_rows(new_facts[0], old_facts[0], new_facts[1], old_facts[1]), load_id)
-        self._append("production_rollup", production_rollup(new_facts[0]), load_id)
-        self._append("paired_rollup", paired_rollup(self.table("wide_fact", [load_id])), load_id)
+        tasks = tasks_for(converted.count())
+        self._append("production_rollup", production_rollup(new_facts[0], tasks), load_id)
+        self._append("paired_rollup", paired_rollup(self.table("wide_fact", [load_id]), tasks), load_id)
         if with_rejects:
             self._append("rejects", reject_rows(converted), load_id)
         self._commit(load_id, batch_key)

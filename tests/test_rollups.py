@@ -152,3 +152,16 @@ def test_domains_with_nulls_and_without_rows(spark):
                         ("mode", 0, None), ("mode", 1, "A"), ("mode", 2, "B")}
     assert charts.filter_domains(df.limit(0)).count() == 0
     assert charts.score_histogram(df.limit(0)).count() == 0
+
+
+def test_rollups_dealt_to_several_tasks_are_the_same(spark, monkeypatch):
+    readings = as_converted(sensor_readings(spark, SF_SMALL))
+    monkeypatch.setattr(R, "ROWS_A_TASK", 300)
+    n = readings.count()
+    assert 1 < R.tasks_for(n) == -(-n // 300) and R.tasks_for(0) == 1
+    dealt = fresh(spark, readings)
+    for name, fn in R.ROLLED_UP.items():
+        assert rows(fn(dealt.rollups())) == rows(FACT_WAY[name](dealt.star())), name
+    for made, bare in ((R.production_rollup, dealt.star().production), (R.paired_rollup, dealt.star().wide)):
+        assert plan_text(made(bare, 4)).count("Exchange hashpartitioning") == 1
+        assert rows(made(bare, 4)) == rows(made(bare))
