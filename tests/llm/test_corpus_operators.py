@@ -221,7 +221,7 @@ def test_near_cloud_against_all_pairs(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     columns = sorted(c[0] for c in want.description)
