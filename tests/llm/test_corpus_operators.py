@@ -544,3 +544,20 @@ def test_line_dedup_leaves_no_two_near_lines(spark, monkeypatch, group_pairs):
         if not any(near(lines[j], x) for j in want):
             want.append(i)
     assert got == set(want) and 3 < len(want) < 100
+
+
+def test_line_dedup_misses_no_link_inside_connected_groups(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP_PAIRS", 6)
+    rnd, lines = random.Random(3), []
+    for n in (104, 140):
+        base = "".join(rnd.choice("abcdefghij ") for _ in range(n)).strip() + "end"
+        for _ in range(70):
+            x = base
+            for _ in range(rnd.randrange(2, 5)):
+                p = rnd.randrange(len(x))
+                x = rnd.choice([x[:p] + x[p + 1:], x[:p] + rnd.choice("QZ") + x[p:], x[:p] + "Y" + x[p + 1:]])
+            lines.append(x)
+    rnd.shuffle(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    left = [r["text"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]]
+    assert left and not any(line_dedup.within(a, b, 5) for a, b in itertools.combinations(left, 2))
