@@ -42,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plantpulse.llm.common import drop_shared, forget_shuffles, group_by_bytes, let, ship, small_side, table, write_shared
+from plantpulse.llm.common import drop_shared, forget_shuffles, lean, let, ship, small_side, table, write_shared
 from plantpulse.llm.graph import connected_components
 from plantpulse.llm.kernels import CharHashes, mix
 
@@ -59,6 +59,10 @@ BROADCAST_LINES = 100_000
 WORD_BITS = 22
 #: Characters of lines whose keys are made at once.
 SLICE = 1 << 17
+#: Lines that a task knows as seen before it starts anew.
+SEEN = 200_000
+#: Rows of large groups that are made before they leave the worker.
+REFINED_ROWS = 20_000
 _MASK, _SPAN = (1 << 64) - 1, 32
 #: What ``dedup_lines`` adds.
 LINE_COLUMNS = ("n_lines", "n_removed", "n_near")
@@ -236,7 +240,9 @@ def key_rows(docs: DataFrame, k: int, per: int, least: int, bits=None) -> DataFr
     """``key, id`` of all lines that may match within edits: their index entries, or, where ``bits``
     (the broadcast table of the index keys) is given, the other probes that may find one."""
 
-    def lines_of(batch, seen):
+    def slices(batch, seen):
+        """New lines and their ids, of ``SLICE`` characters together at most (one line at least)."""
+        lines, ids, total = [], [], 0
         for text in batch.column(0):
             for line in text.as_py().decode("utf-8", "replace").split("\n"):
                 if len(line) < least:
@@ -245,17 +251,23 @@ def key_rows(docs: DataFrame, k: int, per: int, least: int, bits=None) -> DataFr
                 if own in seen or not line.strip(" \t\n\x0b\x0c\r"):
                     continue
                 seen.add(own)
-                yield line, own
-            if len(seen) >= 1_000_000:
+                if lines and total + len(line) > SLICE:
+                    yield lines, ids
+                    lines, ids, total = [], [], 0
+                lines.append(line)
+                ids.append(own)
+                total += len(line)
+            if len(seen) >= SEEN:
                 seen.clear()
+        if lines:
+            yield lines, ids
 
     def run(batches):
         words = None if bits is None else bits.value
+        seen = set()
         for batch in batches:
-            found = list(lines_of(batch, set()))
-            for lo, hi in group_by_bytes([len(x) for x, _ in found], SLICE):
-                ids = np.array([x for _, x in found[lo:hi]], dtype=np.int64)
-                keys, owner = line_keys([x for x, _ in found[lo:hi]], k, per, least, words is None)
+            for lines, ids in slices(batch, seen):
+                keys, owner = line_keys(lines, k, per, least, words is None)
                 if words is not None:
                     u = keys.view(np.uint64)
                     one = np.uint64(1)
@@ -263,9 +275,9 @@ def key_rows(docs: DataFrame, k: int, per: int, least: int, bits=None) -> DataFr
                     hit = words[u >> np.uint64(64 - WORD_BITS)] & mask == mask
                     keys, owner = keys[hit], owner[hit]
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[owner])], ["key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(ids, dtype=np.int64)[owner])], ["key", "id"])
 
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(run, "key bigint, id bigint")
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(lean(run), "key bigint, id bigint")
 
 
 def key_bits(keys: DataFrame) -> np.ndarray:
@@ -290,13 +302,13 @@ def refined(rows: DataFrame, texts: DataFrame, k: int, per: int, least: int) ->
                     found = [tuple(tuple(gaps[i:i + 5]) for i in range(0, len(gaps), 5))]
                 for g in found:
                     out += [(x, own, probe, down, sketch) for x, down in cut_gap(key & _MASK, g, line, probe)]
-                if len(out) >= 100_000:
+                if len(out) >= REFINED_ROWS:
                     yield _batch(out)
                     out = []
             if out:
                 yield _batch(out)
 
-    return rows.join(texts.select("id", "line"), "id").select("key", "id", "probe", "gaps", "sketch", "line").mapInArrow(run, ROW).distinct()
+    return rows.join(texts.select("id", "line"), "id").select("key", "id", "probe", "gaps", "sketch", "line").mapInArrow(lean(run), ROW).distinct()
 
 
 def _splittable(gaps: Column) -> Column:
@@ -317,10 +329,10 @@ def _candidates(docs: DataFrame, k: int, per: int, least: int):
     both written, and how many lines these are.  ``place`` is a line's place in the order of first occurrences, if ``docs`` has a ``doc_id``."""
     spark = docs.sparkSession
     ship(spark)
-    entries = write_shared(key_rows(docs, k, per, least), "line-index")
+    entries = write_shared(key_rows(docs, k, per, least), "line-index", texts=True)
     bits = spark.sparkContext.broadcast(key_bits(entries))
     forget_shuffles(spark)
-    probes = write_shared(key_rows(docs, k, per, least, bits), "line-probes")
+    probes = write_shared(key_rows(docs, k, per, least, bits), "line-probes", texts=True)
     bits.destroy()
     all_rows = entries.withColumn("probe", F.lit(False)).union(probes.withColumn("probe", F.lit(True)))
     # keys where an index entry and another line meet; most lines have none
@@ -349,7 +361,7 @@ def _candidates(docs: DataFrame, k: int, per: int, least: int):
             may = pa.array([allowed(len(x), k, per) for x in lines], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sketches(lines)), may, batch.column(2)], ["id", "line", "sketch", "may", "place"])
 
-    texts = write_shared(texts.mapInArrow(with_sketch, "id bigint, line string, sketch bigint, may int, place bigint"), "line-texts")
+    texts = write_shared(texts.mapInArrow(lean(with_sketch), "id bigint, line string, sketch bigint, may int, place bigint"), "line-texts")
     bare, rows = rows, write_shared(rows.join(small_side(texts.select("id", F.struct("sketch", "may", "place").alias("sketch")), n_ids), "id"), "line-rows")
     drop_shared(bare, ids)
     forget_shuffles(spark)
@@ -372,7 +384,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, n_ids: int, k: int, per: int) -
     lines = F.broadcast(texts) if n_ids <= BROADCAST_LINES else texts
     both = found.join(lines.select(F.col("id").alias("u"), F.col("line").alias("a")), "u") \
         .join(lines.select(F.col("id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
-    return write_shared(both.mapInArrow(verify, "u bigint, v bigint"), "line-links")
+    return write_shared(both.mapInArrow(lean(verify), "u bigint, v bigint"), "line-links")
 
 
 def _all_pairs(member: DataFrame, asking: DataFrame) -> DataFrame:
@@ -507,6 +519,7 @@ def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     all_lines, blank = F.split("text", "\n"), " \t\n\x0b\x0c\r"
     lines = kept.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(all_lines).alias("line_no", "line")) \
         .where(F.length(F.btrim("line", F.lit(blank))) > 0).select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
+    lines = write_shared(lines, "lines")
     at = F.struct("doc_id", "th", "line_no")
     # only lines with a copy or a near copy have anything to remove
     rule = write_shared(lines.groupBy("id").agg(F.min(at).alias("own"), F.count("*").alias("n")).join(near, "id", "left").where("n > 1 or gone")
@@ -515,7 +528,7 @@ def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
         .where(F.col("gone") | ~F.col("first")).select("doc_id", "th", "line_no", (F.col("gone") & F.col("first")).alias("near"))
     removed = write_shared(removed.distinct().groupBy("doc_id", "th").agg(
         F.collect_list("line_no").alias("__gone"), F.sum(F.col("near").cast("bigint")).alias("n_near")), "line-removed")
-    drop_shared(rule, near)
+    drop_shared(lines, rule, near)
     forget_shuffles(docs.sparkSession)
     size = removed.agg(F.sum(F.size("__gone"))).first()[0] or 0
     # bound once per row: inside the loop over lines the text would be split again for every line
