@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantpulse.llm.common import group_by_bytes, ship, small_side, table, write_shared
+from plantpulse.llm.common import group_by_bytes, lean, ship, small_side, table, write_shared
 from plantpulse.llm.graph import connected_components
 from plantpulse.llm.kernels import binary_column, distinct_per_row, mix, shingles, word_hashes
 
@@ -120,7 +120,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(
                 np.concatenate(found) if found else np.zeros(0, np.int64)))], ["doc_id", "shingles"])
 
-    return _binary(docs).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return _binary(docs).mapInArrow(lean(run), "doc_id bigint, shingles array<bigint>")
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -140,7 +140,7 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                                               pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "digest", "keys"])
 
-    return _binary(docs, text_hash()).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return _binary(docs, text_hash()).mapInArrow(lean(run), "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def _binary(docs: DataFrame, *more: Column) -> DataFrame:
@@ -212,7 +212,7 @@ def links_within(clouds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
-    found = write_shared(sketches(docs, percent), "sketches")
+    found = write_shared(sketches(docs, percent), "sketches", texts=True)
     # equal sets are one class; a row with its smallest id stands for it
     same = found.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.min_by(F.struct("text_hash", "keys"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("x")) \
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_hash())
         wanted = rows.join(small_side(asked, n), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("th"))) \
             .select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-        sets = write_shared(shingle_sets(wanted), "sets")
+        sets = write_shared(shingle_sets(wanted), "sets", texts=True)
         left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
         right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
         sure = stars.join(left, "u").join(right, "v") \

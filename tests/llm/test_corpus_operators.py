@@ -13,6 +13,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -561,3 +562,53 @@ def test_line_dedup_misses_no_link_inside_connected_groups(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
     left = [r["text"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]]
     assert left and not any(line_dedup.within(a, b, 5) for a, b in itertools.combinations(left, 2))
+
+
+def test_whole_texts_reach_python_workers_in_small_batches(spark, monkeypatch):
+    import plantpulse.llm.common as common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 2 * common.TEXT_ROWS + 10, 1, 1).mapInArrow(common.lean(sizes), "n bigint")
+    before = spark.conf.get(common.BATCH_ROWS)
+    got = [r["n"] for r in common.write_shared(rows, "sizes", texts=True).collect()]
+    assert max(got) <= common.TEXT_ROWS and sum(got) == 2 * common.TEXT_ROWS + 10
+    assert spark.conf.get(common.BATCH_ROWS) == before
+    seen = {}
+    for module in (line_dedup, minhash):
+        monkeypatch.setattr(module, "write_shared", lambda df, name, texts=False: (seen.__setitem__(name, texts), common.write_shared(df, name, texts))[1])
+    words = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, words), (2, words + " eleven"), (3, words + "\n" + words[:-1])], "doc_id bigint, text string")
+    assert [r["component_id"] for r in minhash.near_duplicates(docs, 80).orderBy("doc_id").collect()] == [1, 1, 3]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()) == [(1, 0), (2, 0), (3, 2)]
+    assert {name for name, texts in seen.items() if texts} == {"sketches", "sets", "line-index", "line-probes"}
+
+
+def test_keys_of_a_batch_hold_one_slice_of_lines(spark, monkeypatch):
+    import tracemalloc
+
+    class Taken:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rnd = random.Random(3)
+    texts = ["\n".join("%0500x" % rnd.getrandbits(2000) for _ in range(20)).encode() for _ in range(800)]
+    want = {line_dedup.line_id(x) for t in texts for x in t.decode().split("\n")}
+    asked = []
+    monkeypatch.setattr(line_dedup, "line_keys", lambda lines, *more: (asked.append(sum(map(len, lines))),
+                                                                       (np.zeros(len(lines), np.int64), np.arange(len(lines))))[1])
+    run = line_dedup.key_rows(Taken(), 5, 20, 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    found = set()
+    tracemalloc.start()
+    for out in run([batch]):
+        found.update(out.column(1).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 8 MB of lines, of which a slice is held, beside the ids of those seen
+    assert found == want and max(asked) <= line_dedup.SLICE and peak < 6 << 20
