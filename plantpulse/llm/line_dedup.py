@@ -16,8 +16,9 @@ the key grows, the group falls apart, and no link is lost.  This repeats until g
 are small or no part is longer than its edits.  ``dedup_lines`` first checks the earliest lines of
 each large group against all others of the group.  Lines decided by that leave it, and only what is still large is cut.
 
-A pair costs a join with both texts, so pairs are first held against a sketch of either line: 16
-counts of characters, four bits each.  An edit changes the counts by two at most, so pairs whose sketches
+A pair costs a join with both texts, so pairs are first held against sketches of either line: 16
+counts of characters, and which of 128 classes of neighbouring characters are odd in number.  An edit changes
+the counts by two and the classes by four at most, so pairs whose sketches
 are further apart than the edits allow are no links.
 
 A line is removed if, and only if, a checked link leads to an earlier line that stays: no two lines that stay are near.
@@ -66,7 +67,10 @@ REFINED_ROWS = 20_000
 _MASK, _SPAN = (1 << 64) - 1, 32
 #: What ``dedup_lines`` adds.
 LINE_COLUMNS = ("n_lines", "n_removed", "n_near")
-ROW = "key bigint, id bigint, probe boolean, gaps array<int>, sketch struct<sketch:bigint,may:int,place:bigint>"
+SKETCH = {"sketch": "bigint", "low": "bigint", "high": "bigint", "may": "int", "place": "bigint"}
+ROW = f"key bigint, id bigint, probe boolean, gaps array<int>, sketch struct<{','.join(f'{n}:{t}' for n, t in SKETCH.items())}>"
+#: Counts modulo 8 as four bits each, of which as many differ as the counts do (round the circle).
+_CIRCLE = np.array([0, 1, 3, 7, 15, 14, 12, 8], dtype=np.uint64)
 
 
 def line_id(line: str) -> int:
@@ -125,23 +129,40 @@ def within(a: str, b: str, k: int) -> bool:
     return bool(reach[k] >> (m - len(b) + k) & 1)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """Per line, 16 counts (modulo 16) of its characters by code, in the bits of one number."""
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines and the line of each."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return codes, np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    """Per line, 16 counts (modulo 8) of its characters by code, in the bits of one number."""
+    codes, owner = _codes(lines)
     bucket = (codes * np.uint32(0x9E3779B1)) >> np.uint32(28)
-    counts = np.bincount(owner * 16 + bucket, minlength=16 * len(lines)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
-    return np.bitwise_or.reduce(counts << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+    counts = np.bincount(owner * 16 + bucket, minlength=16 * len(lines)).reshape(-1, 16) & 7
+    return np.bitwise_or.reduce(_CIRCLE[counts] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+
+
+def pair_sketches(lines: list[str]) -> np.ndarray:
+    """Per line, whether each of 128 classes of two neighbouring characters is odd in number, as two numbers."""
+    codes, owner = _codes(lines)
+    with np.errstate(over="ignore"):
+        bucket = (mix(codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:].astype(np.uint64)) >> np.uint64(57)).astype(np.int64)
+    inside = owner[:-1] == owner[1:]
+    odd = np.bincount(owner[:-1][inside] * 128 + bucket[inside], minlength=128 * len(lines)).reshape(-1, 2, 64).astype(np.uint64) & np.uint64(1)
+    return np.bitwise_or.reduce(odd << np.arange(64, dtype=np.uint64), axis=2).view(np.int64)
 
 
 def sketch_distance(a: Column, b: Column) -> Column:
-    """A lower bound of twice the edits between the lines of two sketches."""
-    out = None
-    for i in range(16):
-        d = F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15))
-        d = F.least(F.pmod(d, F.lit(16)), F.pmod(-d, F.lit(16)))
-        out = d if out is None else out + d
-    return out
+    """Bits that differ: of :func:`sketches` two for an edit at most, of both :func:`pair_sketches` four together."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def may_be_near(p: str, q: str) -> Column:
+    """Whether the lines of two structs of sketches may be as near as the shorter one allows."""
+    edits = F.least(f"{p}.may", f"{q}.may")
+    apart = {n: sketch_distance(F.col(f"{p}.{n}"), F.col(f"{q}.{n}")) for n in ("sketch", "low", "high")}
+    return (apart["low"] + apart["high"] <= 4 * edits) & (apart["sketch"] <= 2 * edits)
 
 
 def cut_gap(key: int, gaps: tuple, line: str, probe: bool):
@@ -232,7 +253,7 @@ def first_gaps(line: str, key: int, probe: bool, k: int, per: int, least: int) -
 def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([_signed(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-        pa.array([r[2] for r in rows], pa.bool_()), pa.array([[x for g in r[3] for x in g] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.struct([("sketch", pa.int64()), ("may", pa.int32()), ("place", pa.int64())]))],
+        pa.array([r[2] for r in rows], pa.bool_()), pa.array([[x for g in r[3] for x in g] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.struct([(n, pa.int32() if t == "int" else pa.int64()) for n, t in SKETCH.items()]))],
         ["key", "id", "probe", "gaps", "sketch"])
 
 
@@ -325,7 +346,7 @@ def _narrow(gaps: Column) -> Column:
 
 
 def _candidates(docs: DataFrame, k: int, per: int, least: int):
-    """Index entries and probes (:data:`ROW`) of the keys where lines meet, and their ``id, line, sketch, may, place``,
+    """Index entries and probes (:data:`ROW`) of the keys where lines meet, and their ``id, line`` and :data:`SKETCH`,
     both written, and how many lines these are.  ``place`` is a line's place in the order of first occurrences, if ``docs`` has a ``doc_id``."""
     spark = docs.sparkSession
     ship(spark)
@@ -359,15 +380,22 @@ def _candidates(docs: DataFrame, k: int, per: int, least: int):
         for batch in batches:
             lines = batch.column(1).to_pylist()
             may = pa.array([allowed(len(x), k, per) for x in lines], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sketches(lines)), may, batch.column(2)], ["id", "line", "sketch", "may", "place"])
+            low, high = pair_sketches(lines).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sketches(lines)), pa.array(low), pa.array(high), may, batch.column(2)],
+                                             ["id", "line", *SKETCH])
 
-    texts = write_shared(texts.mapInArrow(lean(with_sketch), "id bigint, line string, sketch bigint, may int, place bigint"), "line-texts")
-    bare, rows = rows, write_shared(rows.join(small_side(texts.select("id", F.struct("sketch", "may", "place").alias("sketch")), n_ids), "id"), "line-rows")
+    texts = write_shared(texts.mapInArrow(lean(with_sketch), "id bigint, line string, " + ", ".join(f"{n} {t}" for n, t in SKETCH.items())), "line-texts")
+    bare, rows = rows, write_shared(rows.join(small_side(texts.select("id", F.struct(*SKETCH).alias("sketch")), n_ids), "id"), "line-rows")
     drop_shared(bare, ids)
     forget_shuffles(spark)
     return rows, texts, n_ids
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, whose rows may be wide, with a broadcast hint when there are few."""
+    return F.broadcast(df) if rows <= BROADCAST_LINES else df
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, n_ids: int, k: int, per: int) -> DataFrame:
     """Those of the pairs ``x, p, y, q`` (ids and sketches) that are links, as ``u, v`` with the earlier line first; written."""
 
@@ -377,11 +405,11 @@ def _checked(pairs: DataFrame, texts: DataFrame, n_ids: int, k: int, per: int) -
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     before = F.col("p.place") < F.col("q.place")
-    found = pairs.where("x <> y").where(sketch_distance(F.col("p.sketch"), F.col("q.sketch")) <= 2 * F.least("p.may", "q.may")) \
+    found = pairs.where("x <> y").where(may_be_near("p", "q")) \
         .select(F.when(before, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(before, F.col("y")).otherwise(F.col("x")).alias("v")).distinct()
     # the checks cost much more than the few bytes of a pair, by which adaptive execution would put them into one task
     found = found.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lines = F.broadcast(texts) if n_ids <= BROADCAST_LINES else texts
+    lines = _few(texts, n_ids)
     both = found.join(lines.select(F.col("id").alias("u"), F.col("line").alias("a")), "u") \
         .join(lines.select(F.col("id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
     return write_shared(both.mapInArrow(lean(verify), "u bigint, v bigint"), "line-links")
@@ -454,18 +482,26 @@ def settled(links: DataFrame, waiting: DataFrame | None) -> tuple[DataFrame, Dat
     A line of ``waiting`` (``id``) may have links not found yet, so it does not stay for the time being.
     """
     gone = None
-    while links.limit(1).count():
+    n = links.count()
+    held = None
+    if n and waiting is not None:
+        held = write_shared(waiting.join(small_side(links.select(F.col("u").alias("id")).distinct(), n), "id", "left_semi").distinct(), "line-held")
+    while n:
         # lines with no undecided neighbour before them stay; their neighbours go
-        stay = links.select("u").distinct().join(links.select(F.col("v").alias("u")), "u", "left_anti")
-        if waiting is not None:
-            stay = stay.join(waiting.select(F.col("id").alias("u")), "u", "left_anti")
-        out = write_shared(links.join(stay, "u", "left_semi").select(F.col("v").alias("id")).distinct(), "line-gone")
-        if not out.limit(1).count():
+        stay = links.select("u").distinct().join(small_side(links.select(F.col("v").alias("u")), n), "u", "left_anti")
+        if held is not None:
+            stay = stay.join(small_side(held.select(F.col("id").alias("u")), n), "u", "left_anti")
+        out = write_shared(links.join(small_side(stay, n), "u", "left_semi").select(F.col("v").alias("id")).distinct(), "line-gone")
+        n_out = out.count()
+        if not n_out:
             break
         gone = out if gone is None else gone.union(out)
-        spent, links = links, write_shared(links.join(out.select(F.col("id").alias("u")), "u", "left_anti")
-                                           .join(out.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"), "line-open")
+        spent, links = links, write_shared(links.join(small_side(out.select(F.col("id").alias("u")), n_out), "u", "left_anti")
+                                           .join(small_side(out.select(F.col("id").alias("v")), n_out), "v", "left_anti").select("u", "v"), "line-open")
         drop_shared(spent)
+        n = links.count()
+    if held is not None:
+        drop_shared(held)
     return links, gone
 
 
@@ -477,31 +513,40 @@ def near_copies(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     gone = spark.createDataFrame([], "id bigint")
     links = None
     while True:
-        line = F.struct(F.col("sketch.place").alias("place"), "id", "sketch")
-        sizes = rows.groupBy("key").agg(
+        # large groups alone are looked up: the earliest line and the earliest index entry are their centers
+        place = F.col("sketch.place")
+        sizes = write_shared(rows.groupBy("key").agg(
             *_group_sizes(), F.max(_splittable(F.col("gaps"))).alias("cut"), F.min("id").alias("a"), F.max("id").alias("b"),
-            F.array_distinct(F.array(F.min(line), F.min(F.when(~F.col("probe"), line)))).alias("centers")) \
-            .where("s > 0 and t > 0 and a <> b").withColumn("large", F.col("s") * F.col("t") > GROUP_PAIRS)
-        sizes = write_shared(sizes.select("key", "large", "cut", F.when(F.col("large"), F.col("centers")).alias("centers")), "line-groups")
-        member = rows.join(sizes, "key")
-        small, large = member.where("not large"), member.where("large")
-        sure = _checked(_all_pairs(small, small.where("probe")).union(_star_pairs(large)), texts, n_ids, k, per)
+            F.min(place).alias("first"), F.min(F.when(~F.col("probe"), place)).alias("entry"))
+            .where("a <> b").where(F.col("s") * F.col("t") > GROUP_PAIRS).select("key", "cut", "first", "entry"), "line-groups")
+        n_large = sizes.count()
+        small = rows.join(_few(sizes.select("key"), n_large), "key", "left_anti") if n_large else rows
+        pairs = _all_pairs(small, small.where("probe"))
+        if n_large:
+            large = rows.join(_few(sizes, n_large), "key")
+            heads = sizes.select("key", F.explode(F.array_distinct(F.array("first", "entry"))).alias("place"))
+            heads = texts.select(F.col("id").alias("x"), F.struct(*SKETCH).alias("p"), "place").join(_few(heads, 2 * n_large), "place").select("key", "x", "p")
+            pairs = pairs.union(rows.select("key", F.col("id").alias("y"), F.col("sketch").alias("q"))
+                                .join(_few(heads, 2 * n_large), "key").select("x", "p", "y", "q"))
+        sure = _checked(pairs, texts, n_ids, k, per)
         links = sure if links is None else links.union(sure)
         # pairs of the centers are done; the others of a large group wait
-        left = write_shared(large.where(~F.exists("centers", lambda c: c["id"] == F.col("id")))
-                            .select("key", "id", "probe", "gaps", "sketch", "cut"), "line-left")
-        waits = left.limit(1).count() > 0
-        links, out = settled(links, left.select("id").distinct() if waits else None)
+        left = None
+        if n_large:
+            left = write_shared(large.where((place != F.col("first")) & (place != F.col("entry"))).select("key", "id", "probe", "gaps", "sketch", "cut"), "line-left")
+        waits = left is not None and left.limit(1).count() > 0
+        links, out = settled(links, left.select("id") if waits else None)
         if out is not None:
             gone = gone.union(out)
-            left = left.join(out, "id", "left_anti")
         if not waits:
             break
+        if out is not None:
+            left = left.join(small_side(out, out.count()), "id", "left_anti")
         open_ = write_shared(left.groupBy("key").agg(*_group_sizes(), F.min("id").alias("a"), F.max("id").alias("b"), F.first("cut").alias("cut"))
                              .where("s > 0 and t > 0 and a <> b").select("key", (F.col("cut") & (F.col("s") * F.col("t") > GROUP_PAIRS)).alias("again")), "line-groups")
-        left = left.drop("cut").join(open_, "key")
+        left = left.drop("cut").join(_few(open_, open_.count()), "key")
         names = ("key", "id", "probe", "gaps", "sketch")
-        spent, rows = rows, write_shared(refined(left.where("again").select(*names), texts, k, per, least)
+        spent, rows = rows, write_shared(refined(left.where("again").select(*names), _few(texts, n_ids), k, per, least)
                                          .union(left.where("not again").select(*names)), "line-rows")
         drop_shared(spent, sizes)
         forget_shuffles(spark)
