@@ -43,6 +43,18 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW, _POW_INVERSE = _powers(_P, SLICE + 1), _powers(_P_INVERSE, SLICE + 1)
 
 
+#: Of the first code points, which nearly all characters are.
+_CODE = mix(np.arange(1, (1 << 16) + 1, dtype=U64) * U64(_ODD))
+
+
+def _code_hashes(codes: np.ndarray) -> np.ndarray:
+    out = _CODE[codes & np.uint32(0xFFFF)]
+    rare = np.flatnonzero(codes > 0xFFFF)
+    if len(rare):
+        out[rare] = mix((codes[rare].astype(U64) + U64(1)) * U64(_ODD))
+    return out
+
+
 class CharHashes:
     """Hashes of substrings of an array of code points."""
 
@@ -50,7 +62,10 @@ class CharHashes:
         n = len(codes)
         power, self.inverse = (_POW, _POW_INVERSE) if n <= SLICE else (_powers(_P, n + 1), _powers(_P_INVERSE, n + 1))
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix((codes.astype(U64) + U64(1)) * U64(_ODD)) * power[:n], dtype=U64)])
+            own = _code_hashes(codes)
+            own *= power[:n]
+            self.sums = np.zeros(n + 1, dtype=U64)
+            np.cumsum(own, out=self.sums[1:])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

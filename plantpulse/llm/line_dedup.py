@@ -228,11 +228,11 @@ def line_keys(lines: list[str], k: int, per: int, least: int, own: bool | None =
     tables = []
     for n in sizes.tolist():
         asked, first = _places(n, k, per, least)
-        tables.append(asked if own is None else asked[:, :first] if own else asked[:, first:])
+        tables.append(asked[2:] if own is None else asked[2:, :first] if own else asked[2:, first:])
     owner = np.repeat(np.arange(len(lines)), [x.shape[1] for x in tables])
-    flat = np.concatenate(tables, axis=1)
+    place, end, seed = np.concatenate(tables, axis=1)
     at = starts[owner]
-    return mix(hashes.of(flat[2] + at, flat[3] + at) ^ flat[4].view(np.uint64)).view(np.int64), owner
+    return mix(hashes.of(place + at, end + at) ^ seed.view(np.uint64)).view(np.int64), owner
 
 
 def first_gaps(line: str, key: int, probe: bool, k: int, per: int, least: int) -> list[tuple]:
@@ -369,8 +369,9 @@ def _candidates(docs: DataFrame, k: int, per: int, least: int):
     ids = write_shared(rows.select("id").distinct(), "line-ids")
     n_ids = ids.count()
     ordered = "doc_id" in docs.columns
-    at = F.struct("doc_id", F.xxhash64("text"), "line_no") if ordered else F.lit(0)
-    texts = docs.select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("id", F.xxhash64("line")) \
+    at = F.struct("doc_id", "th", "line_no") if ordered else F.lit(0)
+    # hashed before the lines are laid out: beside them, a text would be hashed for each of its lines
+    texts = docs.select("*", F.xxhash64("text").alias("th")).select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("id", F.xxhash64("line")) \
         .select("id", "line", at.alias("own")).join(small_side(ids, n_ids), "id").groupBy("id").agg(F.first("line").alias("line"), F.min("own").alias("own"))
     # sorted rows are numbered upwards
     place = F.monotonically_increasing_id() if ordered else F.col("id")
@@ -562,8 +563,8 @@ def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     kept = docs.drop(*[c for c in LINE_COLUMNS if c in docs.columns])
     near = near_copies(kept.select("doc_id", "text"), k, min_chars, per).withColumn("gone", F.lit(True))
     all_lines, blank = F.split("text", "\n"), " \t\n\x0b\x0c\r"
-    lines = kept.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(all_lines).alias("line_no", "line")) \
-        .where(F.length(F.btrim("line", F.lit(blank))) > 0).select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
+    lines = kept.select("doc_id", F.xxhash64("text").alias("th"), "text").select("doc_id", "th", F.posexplode(all_lines).alias("line_no", "line")) \
+        .where(F.ltrim("line", F.lit(blank)) != "").select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
     lines = write_shared(lines, "lines")
     at = F.struct("doc_id", "th", "line_no")
     # only lines with a copy or a near copy have anything to remove
@@ -581,7 +582,8 @@ def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
         F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("__gone")), lambda i: F.get(a, i)), "\n")))
     return kept.join(small_side(removed.withColumnsRenamed({"doc_id": "__d", "th": "__h"}), size),
                      F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left") \
-        .withColumn("n_lines", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("bigint")) \
+        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(
+            F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D])[^\n]*"), F.lit(1)))).cast("bigint")) \
         .withColumn("text", body).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")) \
         .withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("bigint")).select(*kept.columns, "n_lines", "n_removed", "n_near")
 

@@ -612,3 +612,61 @@ def test_keys_of_a_batch_hold_one_slice_of_lines(spark, monkeypatch):
     tracemalloc.stop()
     # 8 MB of lines, of which a slice is held, beside the ids of those seen
     assert found == want and max(asked) <= line_dedup.SLICE and peak < 6 << 20
+
+
+def test_pair_sketches_never_exceed_the_edits_and_part_swapped_words(spark):
+    rnd, pairs = random.Random(6), [("", ""), ("a", "b"), ("", "ab")]
+    for _ in range(300):
+        a = "".join(rnd.choice("abcdeé漢😀 ") for _ in range(rnd.randrange(120)))
+        b = list(a)
+        for _ in range(rnd.randrange(6)):
+            at = rnd.randrange(len(b) + 1)
+            b[at:at + rnd.randrange(2)] = rnd.choice(["x", "", "a"])
+        pairs.append((a, "".join(b)))
+    rows = [[int(x) for x in line_dedup.pair_sketches([a, b]).ravel()] + [distance(a, b)] for a, b in pairs]
+    apart = line_dedup.sketch_distance(F.col("a"), F.col("c")) + line_dedup.sketch_distance(F.col("b"), F.col("d"))
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint, n int").select("n", apart.alias("s"))
+    assert all(r["s"] <= 4 * r["n"] for r in df.collect()) and df.where("s > 0").count() > 100
+    # the same characters in another order: their counts agree, their neighbours do not
+    words = "marble lantern copper window garden thistle velvet harbour pepper silver".split()
+    lines = [" ".join(words), "".join(sorted(" ".join(words)))]
+    counts = line_dedup.sketches(lines).tolist()
+    assert counts[0] == counts[1]
+    row = [[*(int(x) for x in (counts[i], *line_dedup.pair_sketches(lines)[i])), 3, i] for i in range(2)]
+    names = ", ".join(f"{n} {t}" for n, t in line_dedup.SKETCH.items())
+    p, q = (spark.createDataFrame([x], names).select(F.struct("*").alias(n)) for x, n in zip(row, "pq", strict=True))
+    assert [r["near"] for r in p.crossJoin(q).select(line_dedup.may_be_near("p", "q").alias("near")).collect()] == [False]
+
+
+def test_settling_lines_shuffles_no_small_side(spark, monkeypatch):
+    plans = []
+    write = line_dedup.write_shared
+    monkeypatch.setattr(line_dedup, "write_shared", lambda df, name, **more: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), write(df, name, **more))[1])
+    links = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 6), (6, 7)], "u bigint, v bigint")
+    waiting = spark.createDataFrame([(4,), (4,), (99,)], "id bigint")
+    monkeypatch.setattr(line_dedup, "drop_shared", lambda *frames: None)
+    open_, gone = line_dedup.settled(links, waiting)
+    assert {r["id"] for r in gone.collect()} == {2}
+    assert {(r["u"], r["v"]) for r in open_.collect()} == {(4, 5), (5, 6), (6, 7)}
+    open_, gone = line_dedup.settled(links, None)
+    assert {r["id"] for r in gone.collect()} == {2, 5, 7} and not open_.count()
+    assert all("broadcast" in plan for name, plan in plans if name in ("line-gone", "line-open") and "Join" in plan)
+
+
+def test_hashes_of_rare_characters_are_those_of_all(spark):
+    from plantpulse.llm.kernels import CharHashes, _code_hashes, mix
+
+    text = "plain é漢😀\uffff𐀀end" * 40
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        assert (_code_hashes(codes) == mix((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))).all()
+    n = len(text) // 40
+    of = CharHashes(codes).of(np.arange(0, len(text), n), np.arange(n, len(text) + 1, n))
+    assert len(set(of.tolist())) == 1
+
+
+def test_lines_with_a_word_are_counted(spark):
+    texts = [None, "", " \t\n\x0b\x0c\r", "a", "\n a\n\n\tb \n\u00a0\n", "one\r\ntwo\n \x85", "\u2028\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["n_lines"] for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()]
+    assert got == [sum(any(c not in " \t\n\x0b\x0c\r" for c in x) for x in (t or "").split("\n")) for t in texts]
