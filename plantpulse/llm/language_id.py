@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plantpulse.llm.common import group_by_bytes, ship, table, with_text
+from plantpulse.llm.common import group_by_bytes, lean, ship, table, with_text
 
 BITS = 16
 #: Expected number of labelled documents per language that the model is fitted on; more are thinned by a hash of the text.
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, text: Column, lang: Column, bits: int = BITS,
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)),
                                               pa.array(mine[at])], ["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(lean(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.ones((1 << bits, len(langs)))  # add-one smoothing
     for k, name in enumerate(langs):
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], t
                                              [*batch.schema.names[:width], "lang_pred", "score"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return staged.mapInArrow(run, schema)
+    return staged.mapInArrow(lean(run), schema)
 
 
 def held_out() -> Column:

@@ -670,3 +670,14 @@ def test_lines_with_a_word_are_counted(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = [r["n_lines"] for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()]
     assert got == [sum(any(c not in " \t\n\x0b\x0c\r" for c in x) for x in (t or "").split("\n")) for t in texts]
+
+
+def test_pipeline_language_stage_gives_python_small_batches(spark, monkeypatch):
+    seen = {}
+    write = corpus_pipeline.write_shared
+    monkeypatch.setattr(corpus_pipeline, "write_shared", lambda df, name, texts=False: (seen.__setitem__(name, texts), write(df, name, texts))[1])
+    docs = spark.createDataFrame([(i, "these are the words of one text", "en") for i in range(12)] + [(12, "12 34", None), (13, None, "en")],
+                                 "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.language_id(spark, docs, SF)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == set(range(12))
+    assert True in seen.values()
